@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 from pyspark.sql.window import Window
 
-from tessera.session import current_rows, cut, key_form
+from tessera.session import current_rows, key_form
 
 #: Keys of a range fit one bitmap of 32,768 bits of ``bitmap_construct_agg``.
 RANGE_BITS = 32768
@@ -90,28 +90,34 @@ def _pack(bits: str):
     return F.pandas_udf(pack, BinaryType())(F.col(bits))
 
 
+def _coded_key(df: DataFrame) -> DataFrame:
+    """Keys of 128 bits (two independent 64-bit hashes of space and key) instead of strings: nothing longer is shuffled."""
+    return df.withColumns({"k1": F.xxhash64("space", "key"), "k2": F.xxhash64(F.lit(1), "key", "space")}).drop("space", "key")
+
+
 def dictionary(keys: DataFrame, buckets: int) -> DataFrame:
-    """``(space, key, range, bit)``: buckets by hash, ranks in them. ``keys`` are distinct, so buckets are even."""
-    ranked = keys.withColumn("bucket", F.pmod(F.xxhash64("space", "key"), F.lit(buckets))).withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("space", "key")) - 1)
-    return ranked.select("space", "key", (F.col("bucket") * 65536 + F.floor(F.col("rank") / RANGE_BITS)).alias("range"), (F.col("rank") % RANGE_BITS).cast("int").alias("bit"), "is_parent")
+    """``range, bit`` of every key: a bucket by hash, then the rank in it. ``keys`` are distinct, so buckets are even."""
+    ranked = keys.withColumn("bucket", F.pmod("k1", F.lit(buckets))).withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("k1", "k2")) - 1)
+    return ranked.withColumns({"range": F.col("bucket") * 65536 + F.floor(F.col("rank") / RANGE_BITS), "bit": (F.col("rank") % RANGE_BITS).cast("int")}).drop("bucket", "rank")
 
 
 def orphans(refs: DataFrame, parent_keys: DataFrame) -> DataFrame:
-    """References without a parent: the columns of ``refs``, distinct.
+    """References without a parent: ``ref_table, ref_id, ref_field, period``, distinct.
 
-    The number of key ranges follows the number of distinct keys (one count read at the driver), so ranges stay
-    full enough to be worth a bitmap and small enough for one task each.
+    The number of buckets follows the number of rows (one count read at the driver), so that ranges stay full
+    enough to be worth a bitmap and small enough for one task each. A key's uses are the periods of its table and
+    field, a set that doesn't grow with its references.
     """
-    asked = cut(refs.groupBy("space", "key", "ref_table", "ref_field", "period").agg(F.count(F.lit(1)).alias("n")))
-    keys = cut(
-        asked.select("space", "key", F.lit(False).alias("p")).unionByName(parent_keys.select("space", "key", F.lit(True).alias("p")))
-        .groupBy("space", "key").agg(F.max("p").alias("is_parent"))
-    )
-    coded = cut(dictionary(keys, max(8, keys.count() // (RANGE_BITS // 2) + 1)))
-    ref_maps = asked.join(coded, ["space", "key"]).groupBy("range", "ref_table", "ref_field", "period").agg(F.bitmap_construct_agg("bit").alias("b")).select("range", "ref_table", "ref_field", "period", _pack("b").alias("ref_bits"))
-    parent_maps = coded.where("is_parent").groupBy("range").agg(F.bitmap_construct_agg("bit").alias("b")).select("range", _pack("b").alias("parent_bits"))
+    refs, parent_keys = _coded_key(refs), _coded_key(parent_keys)
+    use = F.struct("ref_table", "ref_field", "period")
+    both = refs.select("k1", "k2", use.alias("use")).unionByName(parent_keys.select("k1", "k2", F.lit(None).cast("struct<ref_table:string,ref_field:string,period:string>").alias("use")))
+    keys = both.groupBy("k1", "k2").agg(F.collect_set("use").alias("uses"), F.max(F.col("use").isNull()).alias("is_parent"))
+    coded = dictionary(keys, max(8, both.count() // RANGE_BITS + 1))
+    ref_maps = coded.select("range", "bit", F.explode("uses").alias("u")).groupBy("range", "u.ref_table", "u.ref_field", "u.period").agg(F.bitmap_construct_agg("bit").alias("b")).withColumn("ref_bits", _pack("b")).drop("b")
+    parent_maps = coded.where("is_parent").groupBy("range").agg(F.bitmap_construct_agg("bit").alias("b")).withColumn("parent_bits", _pack("b")).drop("b")
     left = ref_maps.join(parent_maps, "range", "left").mapInPandas(_and_not, "ref_table string, ref_field string, period string, range bigint, bit int")
-    decoded = cut(left.join(coded, ["range", "bit"]).select("ref_table", "ref_field", "space", "key").distinct())
+    decoded = left.join(coded.select("range", "bit", "k1", "k2"), ["range", "bit"]).select("ref_table", "ref_field", "k1", "k2").distinct()
     salted = decoded.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    on = ["ref_table", "ref_field", "space", "key", "salt"]
-    return refs.withColumn("salt", F.pmod(F.xxhash64("ref_id"), F.lit(SALTS)).cast("int")).join(salted, on, "left_semi").drop("salt").distinct()
+    on = ["ref_table", "ref_field", "k1", "k2", "salt"]
+    spread = refs.withColumn("salt", F.pmod(F.xxhash64("ref_id"), F.lit(SALTS)).cast("int"))
+    return spread.join(salted, on, "left_semi").select("ref_table", "ref_id", "ref_field", "period").distinct()
