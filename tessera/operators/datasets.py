@@ -19,7 +19,8 @@ def p3_sharing(spark: SparkSession, d: str) -> DataFrame:
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     t = lambda n: table(spark, d, n)
-    return orphans.orphans(orphans.references(t("symbol_edges"), t("anchors")), orphans.parents(t("files"), t("symbols"), t("shared_symbols"), t("live_hashes")))
+    n_rows = sum(t(n).count() for n in ("symbol_edges", "anchors", "files", "symbols", "shared_symbols", "live_hashes"))  # of the files' footers
+    return orphans.orphans(orphans.references(t("symbol_edges"), t("anchors")), orphans.parents(t("files"), t("symbols"), t("shared_symbols"), t("live_hashes")), n_rows)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

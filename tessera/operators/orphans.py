@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 from pyspark.sql.window import Window
 
-from tessera.session import current_rows, key_form
+from tessera.session import current_rows, cut, key_form
 
 #: Keys of a range fit one bitmap of 32,768 bits of ``bitmap_construct_agg``.
 RANGE_BITS = 32768
@@ -101,18 +101,18 @@ def dictionary(keys: DataFrame, buckets: int) -> DataFrame:
     return ranked.withColumns({"range": F.col("bucket") * 65536 + F.floor(F.col("rank") / RANGE_BITS), "bit": (F.col("rank") % RANGE_BITS).cast("int")}).drop("bucket", "rank")
 
 
-def orphans(refs: DataFrame, parent_keys: DataFrame) -> DataFrame:
+def orphans(refs: DataFrame, parent_keys: DataFrame, n_rows: int) -> DataFrame:
     """References without a parent: ``ref_table, ref_id, ref_field, period``, distinct.
 
-    The number of buckets follows the number of rows (one count read at the driver), so that ranges stay full
-    enough to be worth a bitmap and small enough for one task each. A key's uses are the periods of its table and
+    The number of buckets follows ``n_rows``, the rows of the tables that references and parents come from, so that
+    ranges stay full enough to be worth a bitmap and small enough for one task each. A key's uses are the periods of its table and
     field, a set that doesn't grow with its references.
     """
     refs, parent_keys = _coded_key(refs), _coded_key(parent_keys)
     use = F.struct("ref_table", "ref_field", "period")
     both = refs.select("k1", "k2", use.alias("use")).unionByName(parent_keys.select("k1", "k2", F.lit(None).cast("struct<ref_table:string,ref_field:string,period:string>").alias("use")))
     keys = both.groupBy("k1", "k2").agg(F.collect_set("use").alias("uses"), F.max(F.col("use").isNull()).alias("is_parent"))
-    coded = dictionary(keys, max(8, both.count() // RANGE_BITS + 1))
+    coded = cut(dictionary(keys, max(8, n_rows // RANGE_BITS + 1)))  # read three times
     ref_maps = coded.select("range", "bit", F.explode("uses").alias("u")).groupBy("range", "u.ref_table", "u.ref_field", "u.period").agg(F.bitmap_construct_agg("bit").alias("b")).withColumn("ref_bits", _pack("b")).drop("b")
     parent_maps = coded.where("is_parent").groupBy("range").agg(F.bitmap_construct_agg("bit").alias("b")).withColumn("parent_bits", _pack("b")).drop("b")
     left = ref_maps.join(parent_maps, "range", "left").mapInPandas(_and_not, "ref_table string, ref_field string, period string, range bigint, bit int")
