@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import encoding, packing
+from tessera.llm import encoding, mojibake, packing
 from tessera.session import table
 
 
@@ -21,6 +21,14 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(packing.windows(table(spark, d, "documents"), budgets), budgets)
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_windows, p8_fill)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.damaged(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.damaged(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p7_ids, p8_windows, p8_fill, p9_found, p9_restored)}
 
 SQL: dict[str, str] = {}
