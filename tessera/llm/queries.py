@@ -4,10 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import encoding, mojibake, packing, terms
+from tessera.llm import encoding, handwritten, mojibake, packing, syntax, terms
 from tessera.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_files(spark, d).select("file_id")
+
+
+def p1_files(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.judge(table(spark, d, "documents"), table(spark, d, "files"))
+
+
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.parsed(table(spark, d, "documents"), table(spark, d, "files"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _parsed(spark, d).where("not valid").select("file_id").distinct()
+
+
+def p2_rejected(spark: SparkSession, d: str) -> DataFrame:
+    return _parsed(spark, d).where("not valid")
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(_parsed(spark, d))
+
+
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     return terms.marked_terms(terms.index_records(table(spark, d, "files"), table(spark, d, "symbols")))
 
@@ -41,7 +65,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.damaged(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_terms, p7_ids, p8_windows, p8_fill, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_files, p2_found, p2_rejected, p2_rates, p5_found, p5_terms, p7_ids, p8_windows, p8_fill, p9_found, p9_restored)}
 
 _CURRENT = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY indexed_at DESC NULLS LAST, received_at DESC NULLS LAST) AS rn FROM files WHERE file_id IS NOT NULL) WHERE rn = 1"
 _TERMS = f"""
