@@ -223,7 +223,7 @@ def judge(docs: DataFrame, files: DataFrame) -> DataFrame:
     """
     texts = docs.where("file_id is not null").select("file_id", "text")
     seen = texts.mapInArrow(_features, "file_id string, evidence array<string>, patterns array<string>, digest string")
-    stored = files.where("file_id is not null").groupBy("file_id").agg(F.max(F.col("token_estimate") * 4 / F.col("line_count")).alias("width"))
+    stored = files.where("file_id is not null").groupBy("file_id").agg(F.max(F.try_divide(F.col("token_estimate") * 4, F.col("line_count"))).alias("width"))
     long_lines = F.col("file_id").rlike(r"\.(?:[mc]?jsx?|css)$") & (F.col("width") > 1000)
     bare = stored.join(texts.select("file_id"), "file_id", "left_anti").select("file_id", F.when(long_lines, F.array(F.lit("minified"))).otherwise(F.array()).cast("array<string>").alias("evidence"), "width")
     unread = bare.select("file_id", F.lit(None).cast("string").alias("text")).mapInArrow(_features, "file_id string, evidence array<string>, patterns array<string>, digest string")
