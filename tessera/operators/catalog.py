@@ -1,5 +1,5 @@
 """The modules that hold queries of the engine's own operators."""
 
-from tessera.operators import catalog_find, catalog_graph
+from tessera.operators import catalog_find, catalog_graph, catalog_resolve
 
-MODULES = [catalog_find, catalog_graph]
+MODULES = [catalog_find, catalog_graph, catalog_resolve]
