@@ -1,5 +1,5 @@
 """The modules that hold queries of the engine's own operators."""
 
-from tessera.operators import catalog_find, catalog_fold, catalog_graph, catalog_resolve
+from tessera.operators import catalog_find, catalog_fold, catalog_graph, catalog_notes, catalog_resolve
 
-MODULES = [catalog_find, catalog_graph, catalog_resolve, catalog_fold]
+MODULES = [catalog_find, catalog_graph, catalog_resolve, catalog_fold, catalog_notes]
