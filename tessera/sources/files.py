@@ -20,28 +20,68 @@ from tessera.functions import fixed as K
 from tessera.functions import text as X
 
 VERSION = "1"
+#: Configuration files that are read though their names have no language.
+CONFIG_NAMES = ("go.mod", "go.work", "Gemfile", "CMakeLists.txt")
 
 
 # ---- source trees ---------------------------------------------------------------------------------------
 
 
 def walk(spark: SparkSession, root: str, excludes: list[str] = (), includes: list[str] = ()) -> DataFrame:
-    """(file_id, path, language, size_bytes, mtime_ms, content) of a tree, as text.
+    """(file_id, path, language, size_bytes, mtime_ms, text) of a tree on a file system that all tasks share.
 
     Left out: hidden and excluded directories, generated names, files above a million bytes and of no known language,
-    links. Paths and sizes are filtered before a file's bytes are decoded.
+    links. Directories are pruned while walking, so nothing below an excluded one is even listed. The driver only
+    looks at directories until there are enough of them to share out; tasks walk and read.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*").load(root)
-    base = os.path.abspath(root).rstrip("/") + "/"
-    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), "^" + re.escape(base), "")
-    f = raw.where(F.col("length") <= K.MAX_BYTES).select(F.translate(rel, "\\", "/").alias("path"), F.col("length").alias("size_bytes"), (F.unix_micros("modificationTime") / 1000).alias("mtime_ms"), "content")
+    base = os.path.abspath(root)
+    skip = frozenset([*K.EXCLUDED_DIRS, *excludes])
+    todo: list[tuple[str, bool]] = [(base, True)]
+    while len(todo) < 256 and any(deep for _, deep in todo):
+        at = next(n for n, (_, deep) in enumerate(todo) if deep)
+        folder = todo.pop(at)[0]
+        todo.append((folder, False))
+        todo += [(e.path, True) for e in sorted(os.scandir(folder), key=lambda e: e.name) if e.is_dir(follow_symlinks=False) and e.name not in skip and not e.name.startswith(".")]
+
+    def read(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for folder, deep in zip(pdf["folder"], pdf["deep"], strict=True):
+                rows = []
+                for at, dirs, names in os.walk(folder):
+                    dirs[:] = sorted(d for d in dirs if d not in skip and not d.startswith(".")) if deep else []
+                    for n in sorted(names):
+                        full = os.path.join(at, n)
+                        if os.path.islink(full):
+                            continue
+                        st = os.stat(full)
+                        if st.st_size <= K.MAX_BYTES:
+                            rows.append((os.path.relpath(full, base).replace(os.sep, "/"), st.st_size, st.st_mtime * 1000, full))
+                    for lo in range(0, len(rows), 200):
+                        part = rows[lo : lo + 200]
+                        yield pd.DataFrame([(p, s, m, open(f, "rb").read().decode("utf-8", "replace")) for p, s, m, f in part], columns=["path", "size_bytes", "mtime_ms", "text"])
+                    rows = []
+
+    shares = spark.createDataFrame(todo, "folder string, deep boolean").repartition(min(len(todo), spark.sparkContext.defaultParallelism * 4))
+    return _indexable(shares.mapInPandas(read, "path string, size_bytes bigint, mtime_ms double, text string"), includes)
+
+
+def walk_objects(spark: SparkSession, root: str, excludes: list[str] = (), includes: list[str] = ()) -> DataFrame:
+    """The same from an object store by ``binaryFile``, which itself leaves out names that begin with a dot or underscore."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= K.MAX_BYTES)
+    rel = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/").split("/")[-1]) + "/", "")
+    f = raw.select(rel.alias("path"), F.col("length").alias("size_bytes"), (F.unix_micros("modificationTime") / 1000).alias("mtime_ms"), F.decode("content", "UTF-8").alias("text"))
+    return _indexable(f.where(~F.exists(X.dirs_of("path"), lambda d: d.isin(*excludes)) if excludes else F.lit(True)), includes)
+
+
+def _indexable(f: DataFrame, includes: list[str]) -> DataFrame:
     ok = ~X.under_excluded_dir("path") & ~X.is_generated_name("path")
-    if excludes:
-        ok = ok & ~F.exists(X.dirs_of("path"), lambda d: d.isin(*excludes))
     if includes:
         ok = ok & reduce(lambda a, b: a | b, [F.col("path").startswith(i.rstrip("/") + "/") | (F.col("path") == i) for i in includes])
-    f = f.where(ok).withColumn("language", X.language_of_path("path")).where("language is not null")
-    return f.select(F.col("path").alias("file_id"), "path", "language", "size_bytes", "mtime_ms", F.decode("content", "UTF-8").alias("text"))
+    config = F.when(F.element_at(F.split("path", "/"), -1).isin(*CONFIG_NAMES), "config")
+    f = f.where(ok).withColumn("language", F.coalesce(X.language_of_path("path"), config)).where("language is not null")
+    return f.select(F.col("path").alias("file_id"), "path", "language", "size_bytes", "mtime_ms", "text")
 
 
 def file_rows(walked: DataFrame) -> DataFrame:
@@ -235,12 +275,12 @@ def configs(files: DataFrame) -> dict[str, DataFrame]:
     parse gives no row.
     """
     name = F.element_at(F.split("file_id", "/"), -1)
-    wanted = files.where(name.isin("tsconfig.json", "jsconfig.json", "package.json", "go.mod", "go.work", "composer.json", "Gemfile", "Cargo.toml"))
+    wanted = files.where(name.isin("tsconfig.json", "jsconfig.json", "package.json", "go.mod", "go.work", "composer.json", "Gemfile", "Cargo.toml", "CMakeLists.txt"))
     rows = wanted.select("file_id", "text").mapInPandas(_config_rows, "kind string, scope string, a string, b string, c string, ord int")
     pick = lambda k, **cols: rows.where(F.col("kind").isin(*k.split())).select("scope", *[F.col(src).alias(dst) for dst, src in cols.items()], "ord")
     return {
         "aliases": pick("alias", prefix="a", target="b"), "modules": rows.where("kind in ('work', 'module', 'replace')").select("scope", "kind", F.col("a").alias("name"), F.col("b").alias("dir"), "ord"),
-        "psr4": pick("psr4", prefix="a", dir="b"), "gems": pick("gem", name="a", lib="b"), "crates": pick("crate", name="a", src="b").drop("ord"), "workspaces": pick("workspace", name="a", dir="b"),
+        "psr4": pick("psr4", prefix="a", dir="b"), "gems": pick("gem", name="a", lib="b"), "crates": pick("crate", name="a", src="b").drop("ord"), "workspaces": pick("workspace", name="a", dir="b"), "include_roots": pick("include", dir="b"),
     }
 
 
@@ -287,6 +327,10 @@ def _parse_config(name: str, folder: str, text: str) -> list[tuple[str, str, str
         return [("work", d.rsplit("/", 1)[-1], _join(folder, d), None) for d in dirs]
     if name == "Gemfile":
         return [("gem", m[1], _join(folder, m[2], "lib"), None) for m in re.finditer(r"gem\s+['\"]([^'\"]+)['\"]\s*,[^#\n]*\bpath:\s*['\"]([^'\"]+)['\"]", text)]
+    if name == "CMakeLists.txt":
+        dirs = [d for m in re.finditer(r"(?:target_)?include_directories\s*\(([^)]*)\)", text) for d in m[1].split()]
+        plain = [re.sub(r"\$\{(?:CMAKE_CURRENT_SOURCE_DIR|PROJECT_SOURCE_DIR|CMAKE_SOURCE_DIR)\}/?", "", d.strip('"')) for d in dirs]
+        return [("include", "", _join(folder, d), None) for d in plain if d and not d.isupper() and "$" not in d]
     if name == "Cargo.toml":
         import tomllib
 
