@@ -241,7 +241,7 @@ nt0 AS (SELECT note_id, max(text) AS text, (ascii(note_id[-1]) + length(note_id)
 nt AS (SELECT note_id, CASE WHEN m < 4 THEN 'file' WHEN m < 8 THEN 'flow' ELSE 'lesson' END AS type, CASE WHEN m = 3 THEN 'superseded' WHEN m = 7 THEN 'retracted' ELSE 'active' END AS status,
  coalesce(regexp_replace(split_part(text, chr(10), 1), '^[\\s#]+', ''), '') AS title, list_filter([regexp_extract(text, '\\n## ([^\\n]+)', 1)], lambda a: a IS NOT NULL AND a <> '' AND m % 2 = 0) AS aliases, coalesce(text, '') AS body FROM nt0),
 tm AS (SELECT * FROM (VALUES {_V}) v(term, low, code)),
-ch0 AS (SELECT nt.*, coalesce(lower(anc1.a), '') AS anchor, concat_ws(' ', title, array_to_string(aliases, ' ')) AS name_raw FROM nt LEFT JOIN (SELECT note_id, array_to_string(list_sort(list(DISTINCT path)), ' ') AS a FROM anc WHERE path IS NOT NULL GROUP BY 1) anc1 USING (note_id)),
+ch0 AS (SELECT nt.*, coalesce(lower(anc1.a), '') AS anchor, concat_ws(' ', title, array_to_string(aliases, ' ')) AS name_raw FROM nt LEFT JOIN (SELECT note_id, array_to_string(list_sort(list(DISTINCT concat_ws(' ', path, array_to_string(symbols, ' ')))), ' ') AS a FROM anc WHERE path IS NOT NULL GROUP BY 1) anc1 USING (note_id)),
 ch AS (SELECT *, lower(name_raw) AS name, lower(body) AS lbody, greatest(1, {_WORDS.format('name_raw')}) AS n_name, 3 * {_WORDS.format('name_raw')} + 2 * {_WORDS.format('anchor')} + {_WORDS.format('lower(body)')} AS length FROM ch0),
 pr AS (SELECT ch.*, term, low, code, contains(name, low) OR contains({_SQ.format('name')}, {_SQ.format('low')}) AS in_name, contains(anchor, low) OR contains({_SQ.format('anchor')}, {_SQ.format('low')}) AS in_anchor, contains(lbody, low) AS in_body FROM ch, tm),
 sts AS (SELECT tm.term, coalesce(df, 0) AS df, (SELECT count(*) FROM ch) AS n, (SELECT greatest(1.0, avg(length)) FROM ch) AS avg_len, (SELECT greatest(1.0, avg(n_name)) FROM ch) AS avg_name FROM tm LEFT JOIN (SELECT term, count(*) AS df FROM pr WHERE in_name OR in_anchor OR in_body GROUP BY 1) USING (term)),

@@ -21,7 +21,7 @@ ONE = lambda: Window.partitionBy(F.lit(1))  # noqa: E731  windows over a page or
 
 def channels(notes: DataFrame, anchors: DataFrame) -> DataFrame:
     """note_id with its three channels in lower case, the raw name, and their weighted length."""
-    a = anchors.where("path is not null").groupBy("note_id").agg(F.array_join(F.array_sort(F.collect_set("path")), " ").alias("anchor_raw"))
+    a = anchors.where("path is not null").groupBy("note_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", "path", F.array_join("symbols", " ")))), " ").alias("anchor_raw"))
     n = notes.join(a, "note_id", "left")
     name = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.array_join(F.coalesce("aliases", F.array().cast("array<string>")), " "))
     c = n.select("note_id", "type", "status", name.alias("name_raw"), F.lower(name).alias("name"), F.lower(F.coalesce("anchor_raw", F.lit(""))).alias("anchor"), F.lower(F.coalesce("body", F.lit(""))).alias("body"))
