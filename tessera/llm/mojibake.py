@@ -94,7 +94,7 @@ def _char_cost(c: str) -> float:
     """How implausible one character is, by its block."""
     o = ord(c)
     if o < 0x80:
-        return 0.0 if c != "&" else 0.5
+        return 1.5 if c == "&" else 0.0  # a character reference
     if c in _PLAUSIBLE:
         return _PLAUSIBLE[c]
     if o == 0xFFFD or 0x80 <= o < 0xA0:

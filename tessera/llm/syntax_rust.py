@@ -72,7 +72,7 @@ def tokens(text: str, g: Grammar) -> list[str] | None:
 def _build() -> Grammar:
     g = Grammar({"(": ["PA", "PT", "PF", "PP", "PX"], "[": ["KA", "KT", "KX"], "{": ["BB", "BO", "BM", "BI", "BE", "BU", "BX"]}, _WORDS, _SIGNS)
     g.cls("ID", "union default macro_rules", "i")
-    g.cls("SEG", "self Self super crate union default", "i")
+    g.cls("SEG", "self Self super crate union default macro_rules", "i")
     g.cls("BINOP", "= += -= *= /= %= &= |= ^= <<= == != < <= << + - * / % & | ^ && ||")
     g.rule("ATTRS", "(?:'#''!'?%ANYK)*")
     g.rule("VIS", "(?:'pub'(?:%ANYP)?)?")
