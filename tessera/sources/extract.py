@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Any
 
 import pandas as pd
@@ -51,8 +53,16 @@ def mask(text: str, family: str) -> str:
     return _MASK[family].sub(lambda m: _BLANK.sub(" ", m.group()), text)
 
 
+@lru_cache(maxsize=8)
+def _breaks(text: str) -> list[int]:
+    return [m.start() for m in re.finditer("\n", text)]
+
+
 def _line(text: str, at: int) -> int:
-    return text.count("\n", 0, at) + 1
+    return bisect_left(_breaks(text), at) + 1
+
+
+_BRACE = re.compile(r"[{}]")
 
 
 def _close(masked: str, at: int) -> int:
@@ -62,7 +72,7 @@ def _close(masked: str, at: int) -> int:
     if start < 0 or 0 <= semi < start:
         return at
     depth = 0
-    for m in re.compile(r"[{}]").finditer(masked, start):
+    for m in _BRACE.finditer(masked, start):
         depth += 1 if m.group() == "{" else -1
         if not depth:
             return m.start()
@@ -222,8 +232,8 @@ def java(text: str, _: str = "") -> Result:
         ("class", rf"^\s*(?P<m>{mod})(?:class|record)\s+(?P<name>\w+)(?:<[^{{]*?>)?(?:\s*\([^)]*\))?(?:\s+extends\s+(?P<ext>[\w.<>, ]+?))?(?:\s+implements\s+(?P<impl>[^{{]+))?\s*(?=\{{)"),
         ("interface", rf"^\s*(?P<m>{mod})@?interface\s+(?P<name>\w+)(?:<[^{{]*?>)?(?:\s+extends\s+(?P<ext>[^{{]+))?\s*(?=\{{)"),
         ("enum", rf"^\s*(?P<m>{mod})enum\s+(?P<name>\w+)(?:\s+implements\s+(?P<impl>[^{{]+))?\s*(?=\{{)"),
-        ("method", rf"^[ \t]+(?P<m>{mod})(?:<[^>]+>\s+)?(?!(?:return|new|else|throw|case)\b)[\w.<>\[\], ?]+\s+(?P<name>\w+)\s*\([^;{{}}]*\)\s*(?:throws [\w., ]+)?(?=\{{|;)"),
-        ("constant", r"^\s*(?P<m>(?:(?:public|protected|private)\s+)?static\s+final\s+)[\w.<>\[\], ?]+\s+(?P<name>[A-Z][A-Z0-9_]*)\s*="),
+        ("method", rf"^[ \t]+(?P<m>{mod})(?:<[^>]+>\s+)?(?!(?:return|new|else|throw|case)\b)[\w.]++(?:<[^;(){{}}=]*>)?(?:\[\])*+\s+(?P<name>\w+)\s*\([^;{{}}]*\)\s*(?:throws [\w., ]+)?(?=\{{|;)"),
+        ("constant", r"^\s*(?P<m>(?:(?:public|protected|private)\s+)?static\s+final\s+)[\w.]++(?:<[^;(){}=]*>)?(?:\[\])*+\s+(?P<name>[A-Z][A-Z0-9_]*)\s*="),
     ]
     r["symbols"] = _declared(masked, rules, lambda m, n: "public" in (m.groupdict().get("m") or ""))
     r["exports"] = [s["name"] for s in r["symbols"] if s["is_exported"]]
@@ -300,7 +310,7 @@ def csharp(text: str, _: str = "") -> Result:
     mod = r"(?:(?:public|private|protected|internal|static|abstract|sealed|partial|readonly|override|virtual|async|new|unsafe|const)\s+)*"
     rules = [
         ("class", rf"^\s*(?P<m>{mod})(?:class|struct|record)\s+(?P<name>\w+)(?:<[^{{:]*>)?(?:\s*:\s*(?P<ext>[^{{,\n]+)(?:,(?P<impl>[^{{\n]+))?)?"), ("interface", rf"^\s*(?P<m>{mod})interface\s+(?P<name>\w+)"), ("enum", rf"^\s*(?P<m>{mod})enum\s+(?P<name>\w+)"),
-        ("method", rf"^[ \t]+(?P<m>{mod})(?!(?:return|new|else|throw|await)\b)[\w.<>\[\],? ]+\s+(?P<name>\w+)\s*(?:<[^>(]*>)?\([^;{{}}]*\)\s*(?=\{{|=>)"),
+        ("method", rf"^[ \t]+(?P<m>{mod})(?!(?:return|new|else|throw|await)\b)[\w.?]++(?:<[^;(){{}}=]*>)?(?:\[\])*+\??\s+(?P<name>\w+)\s*(?:<[^>(]*>)?\([^;{{}}]*\)\s*(?=\{{|=>)"),
     ]
     r["symbols"] = _declared(masked, rules, lambda m, n: "public" in (m.groupdict().get("m") or ""))
     r["exports"] = [s["name"] for s in r["symbols"] if s["is_exported"]]
