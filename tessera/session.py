@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,8 +23,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package: its archive goes to the executors, once per application.
+
+    In local mode nothing is sent where the workers find the package anyway.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    near = os.getcwd() == root or root in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if not (sc.master.split("[")[0] == "local" and near):
+        folder = tempfile.mkdtemp(prefix="tessera-")
+        sc.addPyFile(shutil.make_archive(os.path.join(folder, "tessera"), "zip", root, "tessera"))
+    _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; a missing file is an error of the caller, an empty file an empty DataFrame."""
+    ship(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
