@@ -117,7 +117,8 @@ def parsed(docs: DataFrame, files: DataFrame) -> DataFrame:
 
     The texts move once, by file, to meet the language of their row.
     """
-    texts = docs.where("file_id is not null and text is not null").select("file_id", "text")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number isn't coalesced: the work is the parse, not the bytes
+    texts = docs.where("file_id is not null and text is not null").select("file_id", "text").repartition(n, "file_id")
     rows = current_rows(files, "language").select("file_id", F.col("language").alias("row_language"))
     known = texts.join(rows, "file_id", "left").select("file_id", language_of(F.col("row_language"), F.col("file_id")).alias("language"), "text").where("language is not null")
     return known.mapInArrow(_examine, "file_id string, language string, valid boolean, accepted_as string").select("file_id", F.substring_index("file_id", "/", 1).alias("repo"), "language", "valid", "accepted_as")
