@@ -51,3 +51,7 @@ DEBOUNCE_MS, SAVE_SECONDS, AUDIT_SAMPLE = 400, 5, 50
 TRIGGER_ARM, TRIGGER_CAP, TRIGGER_SETTLE, TRIGGER_QUIET = 10, 20, 3, 1
 MAX_BYTES = 1_000_000
 MIN_POSTINGS, MAX_POSTINGS = 2, 5
+
+# Tags that wrap what a host adds to a prompt.
+WRAPPER_TAGS = tuple("""system-reminder ide_opened_file ide_selection ide_diagnostics task-notification local-command-caveat local-command-stdout local-command-stderr command-name
+command-message command-args user-prompt-submit-hook browser_instruction environment_context user_instructions""".split())

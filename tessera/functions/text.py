@@ -172,13 +172,15 @@ def canonical_key(c: Column | str) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(words)), " ")
 
 
-def sanitize_prompt(c: Column | str, limit: int = 4000) -> Column:
-    """Paired wrapper tags with their content, then lone tags, taken out; blank lines collapsed; cut to ``limit``."""
+def sanitize_prompt(c: Column | str, limit: int = 4000, tags: tuple[str, ...] = K.WRAPPER_TAGS) -> Column:
+    """Paired wrapper tags with their content (nested ones too), then lone ones, taken out; blanks collapsed; cut to ``limit``."""
+    names = "|".join(map(re.escape, tags))
     out = _col(c)
     for _ in range(4):
-        out = F.regexp_replace(out, r"(?s)<([a-z][a-z0-9_-]*)>[^<]*</\1>", " ")
-    out = F.regexp_replace(out, r"</?[a-z][a-z0-9_-]*/?>", " ")
-    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\n{2,}", "\n")), 1, limit)
+        out = F.regexp_replace(out, rf"(?is)<({names})(\s[^>]*)?>.*?</\1\s*>", " ")
+    out = F.regexp_replace(F.regexp_replace(out, rf"(?i)</?({names})(\s[^>]*)?/?>", " "), r"[ \t]+", " ")
+    trim = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    return trim(F.substring(trim(out), 1, limit))
 
 
 def first_sentence(c: Column | str, n: int) -> Column:

@@ -149,7 +149,13 @@ rcc AS (SELECT * FROM rc WHERE change IS NOT NULL)
 """
 from tessera.operators.catalog_notes import _F as _NF  # noqa: E402
 
+_HOOKS = "WITH h AS (SELECT DISTINCT session, seq, json_extract_string(raw, '$.tool_name') AS tool, json_extract_string(raw, '$.tool_input.command') AS command, CASE WHEN json_type(raw, '$.tool_input.path') = 'VARCHAR' THEN json_extract_string(raw, '$.tool_input.path') END AS path FROM session_records WHERE kind = 'hook' AND json_valid(raw) AND json_type(raw, '$.tool_name') = 'VARCHAR')"
 SQL = {
+    "evidence_rank": _HOOKS + ", e AS (SELECT session, path, CAST(sum((tool = 'Edit')::INT) AS BIGINT) AS edits, count(*) AS events FROM h WHERE path IS NOT NULL GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY edits DESC, events DESC, path) AS place FROM e) WHERE place <= 30",
+    "search_streaks": _HOOKS + """, k AS (SELECT session, CAST(seq AS BIGINT) AS seq, CASE WHEN tool = 'Read' THEN 'read' WHEN tool = 'Bash' AND regexp_matches(command, '\\bfind\\b') THEN 'find' WHEN tool = 'Bash' AND regexp_matches(command, '\\bgs\\b') THEN 'gs' WHEN tool IN ('Grep', 'Glob') OR regexp_matches(command, '\\b(grep|rg|ls|cat)\\b') THEN 'search' ELSE 'other' END AS kind FROM h),
+w AS (SELECT *, sum((kind IN ('read', 'gs'))::INT) OVER (PARTITION BY session ORDER BY seq) AS rf, sum((kind IN ('read', 'gs', 'find'))::INT) OVER (PARTITION BY session ORDER BY seq) AS rs, row_number() OVER (PARTITION BY session ORDER BY seq) AS total FROM k),
+x AS (SELECT session, seq, kind, total, CAST(sum((kind = 'find')::INT) OVER (PARTITION BY session, rf ORDER BY seq) AS BIGINT) AS finds_since_read, CAST(sum((kind = 'search')::INT) OVER (PARTITION BY session, rs ORDER BY seq) AS BIGINT) AS searches_since_other FROM w)
+SELECT session, seq, kind, finds_since_read, searches_since_other, CASE WHEN kind = 'find' AND finds_since_read = 2 THEN 'read' WHEN kind = 'search' AND searches_since_other = 3 THEN 'find' WHEN total % 12 = 0 THEN 'checkpoint' END AS nudge FROM x""",
     "reconcile_diff": _I + "SELECT path, change FROM rcc",
     "patch_plan": _I + "SELECT CASE WHEN change = 'deleted' THEN 'delete' WHEN change = 'new' THEN 'insert' WHEN oh = nh THEN 'refresh' ELSE 'update' END AS action, count(*) AS n FROM rcc GROUP BY 1",
     "patch_decision": _I + "SELECT *, n_changed <= threshold AS patch FROM (SELECT (SELECT count(*) FROM rcc) AS n_changed, CAST(greatest(30, ceil(0.2 * (SELECT count(*) FROM o))) AS BIGINT) AS threshold)",

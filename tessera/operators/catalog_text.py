@@ -141,4 +141,6 @@ SQL = {
     "import_lines": "WITH ln AS (SELECT file_id, unnest(string_split(text, chr(10))) AS text FROM documents WHERE file_id IS NOT NULL AND text IS NOT NULL) SELECT file_id, count(*) AS n FROM ln WHERE regexp_matches(text, '^\\s*(import\\b|from\\s+[\\w.]+\\s+import\\b|export\\s+[^=]*\\bfrom\\b|(const|let|var)\\s+[^=]*=\\s*require\\s*\\(|require\\s*\\(|use\\s+[\\w:\\\\]+|using\\s+[\\w.]+|#include\\b|@import\\b)') GROUP BY 1",
     "match_predicate": f"SELECT symbol_id FROM {_SYM} WHERE regexp_matches(name, '(?i)^load.*(map|key)') OR contains(lower(name), 'client') OR contains(lower(name), 'gate')",
     "index_totals": _G + "SELECT count(*) AS n_files, CAST(sum(token_estimate) AS BIGINT) AS n_tokens, CAST(sum(coalesce(is_test_file, false)::INT) AS BIGINT) AS n_tests FROM cur",
+    "first_sentence": "WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '^[^' || chr(10) || ']*' || chr(10), ''), '\\s+', ' ', 'g'), '^ +| +$', '', 'g') AS t FROM documents WHERE kind = 'note' AND text IS NOT NULL), p AS (SELECT doc_id, t, length(regexp_extract(t, '^(.*?[.!?])(?: |$)', 1)) AS pos FROM t), o AS (SELECT doc_id, CASE WHEN pos > 20 THEN t[1:pos] ELSE t END AS o FROM p) SELECT doc_id, CASE WHEN length(o) > 80 THEN o[1:80] || '…' ELSE o END AS gist FROM o",
+    "sanitize_prompt": "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')[1:4000], '^\\s+|\\s+$', '', 'g') AS prompt FROM documents WHERE kind = 'prompt' AND text IS NOT NULL",
 }

@@ -72,3 +72,20 @@ stored AS (SELECT file_id, imported_by_count FROM (SELECT file_id, imported_by_c
 SELECT file_id, coalesce(n_edges, 0) AS n_edges, coalesce(n_imports, 0) AS n_imports, coalesce(n_importers, 0) AS n_importers, coalesce(n_edges, 0) * coalesce(n_imports, 0) AS n_pairs, CAST(imported_by_count AS BIGINT) AS stored_count
 FROM imports FULL JOIN calls USING (file_id) FULL JOIN stored USING (file_id)""",
 }
+
+_STRING = "json_type({0}) = 'VARCHAR'"
+_VALUE = "json_extract_string({0}, '$')"
+SQL["p3_found"] = f"""
+WITH RECURSIVE j AS (SELECT DISTINCT record_id, kind, CAST(raw AS JSON) AS v FROM session_records WHERE raw IS NOT NULL AND json_valid(raw)),
+post AS (SELECT record_id, json_extract(v, '$.postToolUse') AS p FROM j WHERE kind = 'hook'),
+ti AS (SELECT record_id, 'tool_input.command' AS path, json_extract(v, '$.tool_input.command') AS c FROM j WHERE kind = 'hook'
+  UNION ALL SELECT record_id, 'postToolUse.tool_input.command', json_extract(p, '$.tool_input.command') FROM post WHERE json_type(p) = 'OBJECT'
+  UNION ALL SELECT record_id, 'postToolUse[' || (n - 1) || '].tool_input.command', json_extract(e, '$.tool_input.command') FROM (SELECT record_id, unnest(CAST(p AS JSON[])) AS e, generate_subscripts(CAST(p AS JSON[]), 1) AS n FROM post WHERE json_type(p) = 'ARRAY')),
+cmd AS (SELECT record_id, path, c FROM ti UNION ALL SELECT record_id, path || '[' || (n - 1) || ']', e FROM (SELECT record_id, path, unnest(CAST(c AS JSON[])) AS e, generate_subscripts(CAST(c AS JSON[]), 1) AS n FROM ti WHERE json_type(c) = 'ARRAY')),
+outp AS (SELECT record_id, CASE WHEN json_type(o) = 'VARCHAR' AND json_valid({_VALUE.format('o')}) THEN CAST({_VALUE.format('o')} AS JSON) ELSE o END AS o FROM (SELECT record_id, json_extract(v, '$.payload.output') AS o FROM j WHERE kind = 'rollout')),
+arr AS (
+  SELECT record_id, 'type' AS key, 'message.content' AS path, json_extract(v, '$.message.content') AS a FROM j WHERE kind = 'transcript' AND json_type(v, '$.message.content') = 'ARRAY'
+  UNION ALL SELECT record_id, 'text', 'payload.output', o FROM outp WHERE json_type(o) = 'ARRAY'
+  UNION ALL SELECT record_id, key, path || '[' || (n - 1) || '].content', json_extract(e, '$.content') FROM (SELECT record_id, key, path, unnest(CAST(a AS JSON[])) AS e, generate_subscripts(CAST(a AS JSON[]), 1) AS n FROM arr) WHERE json_type(e) = 'OBJECT' AND json_type(e, '$.content') = 'ARRAY'),
+item AS (SELECT record_id, path || '[' || (n - 1) || '].' || key AS path, json_extract(e, '$.' || key) AS c FROM (SELECT record_id, key, path, unnest(CAST(a AS JSON[])) AS e, generate_subscripts(CAST(a AS JSON[]), 1) AS n FROM arr) WHERE json_type(e) = 'OBJECT')
+SELECT DISTINCT record_id, path AS item_path, {_VALUE.format('c')} AS value FROM (SELECT * FROM cmd UNION ALL SELECT * FROM item) WHERE {_STRING.format('c')}"""
