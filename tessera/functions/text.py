@@ -209,6 +209,25 @@ def specifier_bucket(c: Column | str) -> Column:
     return F.when(s.startswith("."), "relative").when(s.startswith("@/") | s.startswith("~/"), "alias").when(s.startswith("@"), "scoped").when(s.startswith("/"), "absolute").otherwise("bare")
 
 
+def edge_bucket(c: Column | str) -> Column:
+    """Kind of an edge's specifier: ``regular`` without a colon, the categories before a class name, else the whole."""
+    s = _col(c)
+    last = F.element_at(F.split(s, ":", -1), -1)
+    return F.when(~s.contains(":"), "regular").when(last.rlike("^[A-Z]"), F.concat(F.substring(s, F.lit(1), F.length(s) - F.length(last)), F.lit("*"))).otherwise(s)
+
+
+def wrap_text(c: Column | str, width: int) -> Column:
+    """Lines of at most ``width`` characters, filled word by word; a longer word has a line of its own."""
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("cur"))
+
+    def step(acc: Column, w: Column) -> Column:
+        full = (acc["cur"] != "") & (F.length(acc["cur"]) + 1 + F.length(w) > width)
+        return F.struct(F.when(full, F.array_append(acc["lines"], acc["cur"])).otherwise(acc["lines"]).alias("lines"), F.when(full | (acc["cur"] == ""), w).otherwise(F.concat_ws(" ", acc["cur"], w)).alias("cur"))
+
+    end = lambda acc: F.when(acc["cur"] != "", F.array_append(acc["lines"], acc["cur"])).otherwise(acc["lines"])
+    return F.aggregate(F.split(_col(c), " ", -1), start, step, end)
+
+
 def line_count(c: Column | str) -> Column:
     return F.size(F.split(_col(c), "\n", -1))
 

@@ -145,7 +145,12 @@ def content_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rare_token_bridge(spark: SparkSession, d: str) -> DataFrame:
-    return P.bridges(P.rare_postings(P.content_tokens(table(spark, d, "documents")), P.live_files(table(spark, d, "files"))), table(spark, d, "edges"))
+    tokens = P.content_tokens(table(spark, d, "documents"))
+    return P.bridges(P.rare_postings(tokens, P.live_files(table(spark, d, "files"))), tokens, table(spark, d, "edges"))
+
+
+def related_files(spark: SparkSession, d: str) -> DataFrame:
+    return P.related_files(rare_token_bridge(spark, d))
 
 
 def bridge_gate(spark: SparkSession, d: str) -> DataFrame:
@@ -164,7 +169,7 @@ def name_echo(spark: SparkSession, d: str) -> DataFrame:
 
 _NAMES = (
     find_coverage, find_name_channel, find_union_channels, find_df, find_idf, find_rare_terms, find_disc_terms, find_rank, find_evidence_class, find_partition_classes, find_noise_floor, find_page,
-    line_mask, line_convergence, gap_clusters, cluster_peaks, direct_relations, cocitation_siblings, via_terms, import_target_first, rare_postings, content_tokens, rare_token_bridge, bridge_gate, name_echo,
+    line_mask, line_convergence, gap_clusters, cluster_peaks, direct_relations, cocitation_siblings, via_terms, import_target_first, rare_postings, content_tokens, rare_token_bridge, related_files, bridge_gate, name_echo,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
 
@@ -251,10 +256,13 @@ SQL = {
     "import_target_first": _W + f"SELECT src AS file_id, term, arg_min(dst, (ord, dst)) AS target FROM (SELECT DISTINCT src, dst, ord FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL), terms WHERE contains({_FOLD.format('dst')}, folded) OR (dst, term) IN (SELECT (file_id, term) FROM decl) GROUP BY 1, 2",
     "rare_postings": _W + "," + _LINES + "," + _TOK + "SELECT token, df, array_to_string(files, ',') AS files FROM post",
     "content_tokens": "WITH cur AS (SELECT 1 AS file_id, false AS is_test_file, false AS is_barrel)," + _LINES + "," + _TOK.replace("file_id IN (SELECT file_id FROM cur", "false AND 1 IN (SELECT file_id FROM cur") + "SELECT bits, count(*) AS n, count(DISTINCT token) AS n_tokens FROM tok GROUP BY 1",
-    "rare_token_bridge": _W + "," + _LINES + "," + _TOK + """, p AS (SELECT token, df, unnest(files) AS f FROM post),
- prs AS (SELECT a.token, a.df, a.f AS a, b.f AS b FROM p a JOIN p b ON a.token = b.token AND a.f < b.f WHERE regexp_replace(a.f, '/[^/]*$', '') <> regexp_replace(b.f, '/[^/]*$', '')),
- s AS (SELECT a, b, count(*) AS n_shared, min(df) AS min_df, max(len(regexp_split_to_array(token, '[\\s\\-_./]+'))) AS words FROM prs GROUP BY 1, 2)
-SELECT a, b, n_shared, min_df FROM s WHERE (n_shared >= 2 OR (min_df <= 3 AND words >= 3)) AND (a, b) NOT IN (SELECT (least(src, dst), greatest(src, dst)) FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL)""",
+    "rare_token_bridge": _W + "," + _LINES + "," + _TOK + """, p AS (SELECT p0.token, df, f, bits FROM (SELECT token, df, unnest(files) AS f FROM post) p0 JOIN tok ON tok.file_id = f AND tok.token = p0.token),
+ prs AS (SELECT a.token, a.df, a.f AS a, b.f AS b, ((a.bits | b.bits) & 2) // 2 AS quoted FROM p a JOIN p b ON a.token = b.token AND a.f < b.f WHERE regexp_replace(a.f, '/[^/]*$', '') <> regexp_replace(b.f, '/[^/]*$', '')),
+ s AS (SELECT a, b, count(*) AS n_shared, min(df) AS min_df, max(len(regexp_split_to_array(token, '[\\s\\-_./]+'))) AS words, max(quoted) AS quoted FROM prs GROUP BY 1, 2)
+SELECT a, b, n_shared, min_df FROM s WHERE (n_shared >= 2 OR quoted = 1 OR (min_df <= 3 AND words >= 3)) AND (a, b) NOT IN (SELECT (least(src, dst), greatest(src, dst)) FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL)""",
     "bridge_gate": _W + "," + _LINES + "," + _TOK + "SELECT DISTINCT token, df FROM post, terms WHERE length(folded) >= 4 AND (contains(replace(replace(token, '-', ''), '_', ''), folded) OR contains(folded, replace(replace(token, '-', ''), '_', '')))",
     "name_echo": _W.replace(_T, _T.replace("(VALUES ", "(VALUES ('roster', 'roster', 'roster'), ")) + f", h AS (SELECT DISTINCT file_id, term FROM cur, terms WHERE contains({_FOLD.format(chr(39).join(['regexp_extract(path, ', '[^/]*$', ')']))}, folded)) SELECT file_id, term FROM h WHERE term IN (SELECT term FROM h GROUP BY 1 HAVING count(*) <= 200)",
 }
+
+_B = SQL["rare_token_bridge"]
+SQL["related_files"] = "WITH bridge AS (" + _B + "), two AS (SELECT a AS file_id, b AS related, n_shared, min_df FROM bridge UNION ALL SELECT b, a, n_shared, min_df FROM bridge) SELECT file_id, related, n_shared, place FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY n_shared DESC, min_df, related) AS place FROM two) WHERE place <= 3"

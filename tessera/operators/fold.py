@@ -124,6 +124,64 @@ def anchors(valid: DataFrame) -> DataFrame:
     return _of_type(per.join(sym, ["note_id", "type", "path"]), types).select("note_id", "path", "symbols", "hash")
 
 
+def keyed_last(valid: DataFrame, entries: Column, kind: str) -> DataFrame:
+    """(note_id, key, value): the last value put for a key behind the last retract of it; for behaviours, features and facets.
+
+    ``entries`` is an array of structs (key, value). A null value keeps an earlier one, as a feature put without a role does.
+    """
+    types = note_types(valid)
+    puts = valid.where("op = 'put'").select("note_id", "type", "ord", F.explode(entries).alias("e")).select("note_id", "type", "ord", "e.key", "e.value").where("key is not null")
+    gone = valid.where((F.col("op") == "retract") & (F.col("kind") == kind)).groupBy("note_id", "type", "key").agg(F.max("ord").alias("gone"))
+    alive = puts.join(gone, ["note_id", "type", "key"], "left").where("gone is null or ord > gone")
+    per = alive.groupBy("note_id", "type", "key").agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("ord"))).alias("value"))
+    return _of_type(per, types).select("note_id", "key", "value")
+
+
+def last_whole(valid: DataFrame, column: str) -> DataFrame:
+    """(note_id, value): a field that is replaced as a whole (steps, scope), by its last put that has it."""
+    types = note_types(valid)
+    per = valid.where(F.col("op") == "put").where(F.col(column).isNotNull()).groupBy("note_id", "type").agg(F.max_by(column, "ord").alias("value"))
+    return _of_type(per, types).select("note_id", "value")
+
+
+def extra_fields(valid: DataFrame, fields: str = "extra") -> DataFrame:
+    """(note_id, key, value): unknown fields (a map column), each by its last put."""
+    types = note_types(valid)
+    rows = valid.where("op = 'put'").select("note_id", "type", "ord", F.explode(fields).alias("key", "value"))
+    return _of_type(rows.groupBy("note_id", "type", "key").agg(F.max_by("value", "ord").alias("value")), types).select("note_id", "key", "value")
+
+
+def fold_logs(logs: DataFrame) -> DataFrame:
+    """(note_id, note, warnings) of ``note_id, raw`` JSON records: the definition itself, over sorted partitions.
+
+    Spark sorts each log by time and canonical text; a task folds its logs record by record and holds one note's
+    state, never its log.
+    """
+
+    def run(batches):
+        import pandas as pd
+
+        at, state = None, None
+        for pdf in batches:
+            out = []
+            for nid, raw in zip(pdf["note_id"], pdf["raw"], strict=True):
+                if nid != at:
+                    if at is not None:
+                        out.append(state.result())
+                    at, state = nid, Fold(nid)
+                try:
+                    rec = json.loads(raw)
+                except (ValueError, TypeError):
+                    rec = None
+                state.add(rec)
+            yield pd.DataFrame(out, columns=["note_id", "note", "warnings"])
+        if at is not None:
+            yield pd.DataFrame([state.result()], columns=["note_id", "note", "warnings"])
+
+    ts = F.get_json_object("raw", "$.ts")
+    return logs.where("note_id is not null").withColumns({"_ts": ts, "_canon": canonical_json("raw")}).repartition("note_id").sortWithinPartitions("note_id", "_ts", "_canon").select("note_id", "raw").mapInPandas(run, "note_id string, note string, warnings array<string>")
+
+
 def warnings(validated: DataFrame) -> DataFrame:
     """(note_id, reason, n) of the records that don't count, the change of type included."""
     types = note_types(validated.where("valid")).withColumnRenamed("type", "own")
@@ -133,60 +191,80 @@ def warnings(validated: DataFrame) -> DataFrame:
 
 
 def fold_records(note_id: str, records: list[Any]) -> tuple[dict | None, list[str]]:
-    """The fold of one note's records, one after the other: the definition the decomposed aggregates are tested against."""
-    warn: list[str] = []
-    usable = []
-    for rec in records:
-        why = None
+    """The fold of one note's records: the definition the decomposed aggregates are tested against."""
+    order = lambda r: (r.get("ts") if isinstance(r, dict) and isinstance(r.get("ts"), str) else "", json.dumps(r, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+    f = Fold(note_id)
+    for rec in sorted(records, key=order):
+        f.add(rec)
+    return f.finish()
+
+
+_KNOWN = frozenset("v ts head id type op title identityAliases incidentAliases aliases anchors verified summary character facets behaviors features steps invariants kind body scope target by aliasesVerified".split())
+
+
+def _texts(x: Any) -> list[str]:
+    return [t for t in x if isinstance(t, str)] if isinstance(x, list) else []
+
+
+class Fold:
+    """State of one note while its records come in order."""
+
+    def __init__(self, note_id: str):
+        self.note_id, self.note, self.warn = note_id, None, []
+
+    def _problem(self, rec: Any) -> str | None:
         if not isinstance(rec, dict):
-            why = "not an object"
-        elif not isinstance(rec.get("v"), int | float) or isinstance(rec.get("v"), bool):
-            why = "missing v"
-        elif rec["v"] > 1:
-            why = "newer version"
-        elif not isinstance(rec.get("ts"), str):
-            why = "missing ts"
-        elif rec.get("op") not in ("put", "retract", "supersede"):
-            why = "unknown op"
-        elif isinstance(rec.get("id"), str) and rec["id"] != note_id:
-            why = "other note"
-        elif rec.get("type") not in NOTE_TYPES:
-            why = "unknown type"
-        if why:
-            warn.append(why)
-        else:
-            usable.append((rec["ts"], json.dumps(rec, sort_keys=True, separators=(",", ":"), ensure_ascii=False), rec))
-    if not usable:
-        return None, warn
-    usable.sort(key=lambda x: x[:2])
-    note: dict[str, Any] = {"id": note_id, "type": usable[0][2]["type"], "title": "", "aliases": [], "incident": [], "anchors": {}, "facets": {}, "behaviors": {}, "features": {}, "steps": [], "invariants": [], "status": "active", "edits": 0, "updated": usable[0][0], "extra": {}}
-    known = {"v", "ts", "head", "id", "type", "op", "title", "identityAliases", "incidentAliases", "aliases", "anchors", "verified", "summary", "character", "facets", "behaviors", "features", "steps", "invariants", "kind", "body", "scope", "target", "by", "aliasesVerified"}
-    texts = lambda x: [t for t in x if isinstance(t, str)] if isinstance(x, list) else []
-    for ts, _, rec in usable:
+            return "not an object"
+        if not isinstance(rec.get("v"), int | float) or isinstance(rec.get("v"), bool):
+            return "missing v"
+        if rec["v"] > 1:
+            return "newer version"
+        if not isinstance(rec.get("ts"), str):
+            return "missing ts"
+        if rec.get("op") not in ("put", "retract", "supersede"):
+            return "unknown op"
+        if isinstance(rec.get("id"), str) and rec["id"] != self.note_id:
+            return "other note"
+        return None if rec.get("type") in NOTE_TYPES else "unknown type"
+
+    def add(self, rec: Any) -> None:
+        if why := self._problem(rec):
+            self.warn.append(why)
+            return
+        if self.note is None:
+            self.note = {"id": self.note_id, "type": rec["type"], "title": "", "aliases": [], "incident": [], "anchors": {}, "facets": {}, "behaviors": {}, "features": {}, "steps": [], "invariants": [], "status": "active", "edits": 0, "updated": rec["ts"], "extra": {}}
+        note = self.note
         if rec["type"] != note["type"]:
-            warn.append("type changed")
-            continue
+            self.warn.append("type changed")
+            return
         if rec["op"] == "put":
-            _put(note, rec, texts, known)
+            _put(note, rec, _texts, _KNOWN)
         elif rec["op"] == "retract":
             target = rec.get("target")
             kind = target.get("kind") if isinstance(target, dict) else None
             if kind not in RETRACT_KINDS:
-                warn.append("bad retract")
-                continue
+                self.warn.append("bad retract")
+                return
             _retract(note, kind, target.get("key"))
         else:
             if not isinstance(rec.get("by"), str):
-                warn.append("supersede without by")
-                continue
+                self.warn.append("supersede without by")
+                return
             note["status"], note["superseded_by"] = "superseded", rec["by"]
         note["edits"] += 1
         if rec["op"] == "put" and rec.get("aliasesVerified") is True:
             note["verified_at_edit"] = note["edits"]
-        note["updated"] = max(note["updated"], ts)
-    if not note["title"]:
-        note["title"] = next(iter(note["anchors"]), note_id) if note["type"] == "file" else note_id
-    return note, warn
+        note["updated"] = max(note["updated"], rec["ts"])
+
+    def finish(self) -> tuple[dict | None, list[str]]:
+        note = self.note
+        if note and not note["title"]:
+            note["title"] = next(iter(note["anchors"]), self.note_id) if note["type"] == "file" else self.note_id
+        return note, self.warn
+
+    def result(self) -> tuple[str, str | None, list[str]]:
+        note, warn = self.finish()
+        return self.note_id, None if note is None else json.dumps(note, sort_keys=True, ensure_ascii=False), warn
 
 
 def _put(note: dict, rec: dict, texts, known: set[str]) -> None:

@@ -51,7 +51,7 @@ def build_tables(walked: DataFrame) -> dict[str, DataFrame]:
 
 def probe(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """How well imports resolve: ratios and the top unresolved specifiers per language, and edges by kind of specifier."""
-    kinds = tables["edges"].groupBy(F.when(F.col("specifier").rlike("^(const|partial):"), F.concat(F.substring_index("specifier", ":", 1), F.lit(":*"))).when(F.col("specifier").contains(":"), F.col("specifier")).otherwise("regular").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    kinds = tables["edges"].groupBy(X.edge_bucket("specifier").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     return {"stats": R.resolution_stats(tables["resolved"]), "unresolved": R.unresolved_top(tables["resolved"]), "buckets": kinds}
 
 

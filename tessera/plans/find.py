@@ -184,17 +184,47 @@ def content_tokens(docs: DataFrame) -> DataFrame:
     return both.where(X.is_shaped_token("token")).groupBy("file_id", F.lower("token").alias("token")).agg(F.bit_or("bit").alias("bits"))
 
 
-def bridges(postings: DataFrame, imports: DataFrame) -> DataFrame:
-    """(a, b, n_shared, min_df): files of different directories that share rare tokens and no import edge."""
-    p = postings.select("token", "df", F.explode("files").alias("f"))
-    pairs = p.select("token", "df", F.col("f").alias("a")).join(p.select("token", F.col("f").alias("b")), "token").where("a < b")
+def bridges(postings: DataFrame, tokens: DataFrame, imports: DataFrame) -> DataFrame:
+    """(a, b, n_shared, min_df): files of different directories that share rare tokens and no import edge.
+
+    One shared token is enough if it stands in a string literal of either file, or is in at most three files and has
+    three words; else there must be two.
+    """
+    p = postings.select("token", "df", F.explode("files").alias("file_id")).join(tokens, ["file_id", "token"])
+    pairs = p.select("token", "df", F.col("file_id").alias("a"), F.col("bits").alias("x")).join(p.select("token", F.col("file_id").alias("b"), F.col("bits").alias("y")), "token").where("a < b")
     folder = lambda c: F.regexp_replace(c, "/[^/]*$", "")
-    scored = pairs.where(folder(F.col("a")) != folder(F.col("b"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_shared"), F.min("df").alias("min_df"), F.max(F.size(X.split_name("token"))).alias("words"))
-    strong = scored.where("n_shared >= 2 or (min_df <= 3 and words >= 3)")
+    quoted = (F.col("x").bitwiseOR(F.col("y")).bitwiseAND(F.lit(2)) != 0).cast("int")
+    scored = pairs.where(folder(F.col("a")) != folder(F.col("b"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_shared"), F.min("df").alias("min_df"), F.max(F.size(X.split_name("token"))).alias("words"), F.max(quoted).alias("quoted"))
+    strong = scored.where("n_shared >= 2 or quoted = 1 or (min_df <= 3 and words >= 3)")
     e = imports.where("src is not null and dst is not null").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     return strong.join(e, ["a", "b"], "left_anti").select("a", "b", "n_shared", "min_df")
 
 
+def related_files(linked: DataFrame, cap: int = 3) -> DataFrame:
+    """(file_id, related, n_shared, place): the three files each file shares most rare tokens with, rarer ones first."""
+    both = linked.select(F.col("a").alias("file_id"), F.col("b").alias("related"), "n_shared", "min_df").unionByName(linked.select(F.col("b").alias("file_id"), F.col("a").alias("related"), "n_shared", "min_df"))
+    place = F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("n_shared"), "min_df", "related"))
+    return both.withColumn("place", place.cast("bigint")).where(F.col("place") <= cap).select("file_id", "related", "n_shared", "place")
+
+
+def page_links(pairs: list[tuple[str, str, int]], cap: int = 6) -> list[tuple[str, str, int]]:
+    """The links of one page, strongest first: a link between files that two stronger links join already is implied and left out.
+
+    ``pairs`` are (a, b, shared tokens) among the dozen files of a page, so this runs at the driver.
+    """
+    kept: list[tuple[str, str, int]] = []
+    near: dict[str, set[str]] = {}
+    for a, b, n in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        if len(kept) == cap:
+            break
+        if near.get(a, set()) & near.get(b, set()):
+            continue
+        kept.append((a, b, n))
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    return kept
+
+
 def name_echo(files: DataFrame, terms: list[str], most: int = 200) -> DataFrame:
     """(file_id, term): file names that contain a term, for terms that few names contain."""
     name = F.element_at(F.split("path", "/"), -1)

@@ -24,7 +24,8 @@ def channels(notes: DataFrame, anchors: DataFrame) -> DataFrame:
     a = anchors.where("path is not null").groupBy("note_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", "path", F.array_join("symbols", " ")))), " ").alias("anchor_raw"))
     n = notes.join(a, "note_id", "left")
     name = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.array_join(F.coalesce("aliases", F.array().cast("array<string>")), " "))
-    c = n.select("note_id", "type", "status", name.alias("name_raw"), F.lower(name).alias("name"), F.lower(F.coalesce("anchor_raw", F.lit(""))).alias("anchor"), F.lower(F.coalesce("body", F.lit(""))).alias("body"))
+    groups = F.concat(F.array(F.coalesce("title", F.lit(""))), F.coalesce("aliases", F.array().cast("array<string>")))
+    c = n.select("note_id", "type", "status", groups.alias("groups"), name.alias("name_raw"), F.lower(name).alias("name"), F.lower(F.coalesce("anchor_raw", F.lit(""))).alias("anchor"), F.lower(F.coalesce("body", F.lit(""))).alias("body"))
     words = lambda x: F.size(F.filter(F.split(x, r"\s+", -1), lambda w: w != ""))
     return c.withColumn("n_name", F.greatest(F.lit(1), words("name"))).withColumn("length", K.CHANNELS["name"] * words("name") + K.CHANNELS["anchor"] * words("anchor") + K.CHANNELS["body"] * words("body"))
 
@@ -91,7 +92,7 @@ def hook(ch: DataFrame, anchors: DataFrame, anchor_symbols: DataFrame, prompt: s
     strong = F.col("in_name") | F.col("in_anchor")
     name_only = F.col("in_name") & ~F.col("in_anchor") & ~F.col("in_body") & ~F.col("converged")
     g = p.groupBy("note_id").agg(
-        F.sum(part).alias("boost"), F.sum(strong.cast("bigint")).alias("strong_terms"), F.max(rare).alias("rare"), F.max("converged").alias("convergence"), F.max((F.col("converged") & rare) | code).alias("hard"), F.count(F.lit(1)).alias("carriers"), F.min(name_only).alias("name_only"), F.collect_set(F.when(F.col("in_name"), F.col("term"))).alias("name_terms"), F.first("name_raw").alias("name_raw"),
+        F.sum(part).alias("boost"), F.sum(strong.cast("bigint")).alias("strong_terms"), F.max(rare).alias("rare"), F.max("converged").alias("convergence"), F.max((F.col("converged") & rare) | code).alias("hard"), F.count(F.lit(1)).alias("carriers"), F.min(name_only).alias("name_only"), F.collect_set(F.when(F.col("in_name"), F.col("term"))).alias("name_terms"), F.first("groups").alias("groups"),
     )
     squashed = "".join(c for c in prompt.lower() if c not in "-_/." and not c.isspace())
     named = anchors.where((F.length(X.squash("path")) >= K.PATH_MIN) & F.lit(squashed).contains(X.squash("path"))).select("note_id").distinct().withColumn("named", F.lit(True))
@@ -99,7 +100,9 @@ def hook(ch: DataFrame, anchors: DataFrame, anchor_symbols: DataFrame, prompt: s
     g = g.join(named, "note_id", "full").join(anchored, "note_id", "left")
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     num = lambda c: F.coalesce(F.col(c), F.lit(0))
-    density = F.size(F.filter(F.coalesce("name_terms", F.array().cast("array<string>")), lambda t: X.word_hit("name_raw", t)))
+    none = F.array().cast("array<string>")
+    matched = F.coalesce("name_terms", none)
+    density = F.coalesce(F.array_max(F.transform(F.coalesce("groups", none), lambda g: F.size(F.filter(matched, lambda t: X.word_hit(g, t))))), F.lit(0))
     keep = flag("named") | ((num("strong_terms") > 0) & (flag("hard") | (num("carriers") >= K.MIN_CARRIERS)) & ~(flag("anchored") & flag("name_only") & (density < K.NAME_DENSITY)))
     return g.where(keep).select("note_id", F.round(num("boost") + F.when(flag("named"), K.PATH_BOOST).otherwise(0), 6).alias("score"), F.greatest(num("strong_terms"), flag("named").cast("bigint")).alias("strong_terms"), (flag("rare") | flag("named")).alias("rare"), flag("convergence").alias("convergence"), (num("carriers") + flag("named").cast("bigint")).alias("carriers"))
 
@@ -189,6 +192,19 @@ def note_map(notes: DataFrame, anchors: DataFrame, terms: list[str]) -> DataFram
     return best.select("path", F.col("b.note_id").alias("note_id"), (-F.col("b.h")).cast("bigint").alias("hits"))
 
 
+def flow_references(refs: DataFrame, notes: DataFrame) -> DataFrame:
+    """(note_id, ref, target, problem) of ``refs(note_id, ref)``: the id of an active note, else the one active flow whose
+    title it is but for case and blanks; what is neither stays as written, with the problem named."""
+    active = notes.where("status = 'active'")
+    norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    ids = active.select(F.col("note_id").alias("ref"), F.col("type").alias("id_type"))
+    titles = active.where("type = 'flow'").groupBy(norm(F.col("title")).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("note_id").alias("by_title"))
+    r = refs.withColumn("key", norm(F.col("ref"))).join(ids, "ref", "left").join(titles, "key", "left")
+    known, one = F.col("id_type").isNotNull(), F.coalesce(F.col("n") == 1, F.lit(False))
+    problem = F.when(known & (F.col("id_type") != "flow"), "not a flow").when(known | one, None).when(F.col("n") > 1, "ambiguous").otherwise("dangling")
+    return r.select("note_id", "ref", F.when(~known & one, F.col("by_title")).otherwise(F.col("ref")).alias("target"), problem.alias("problem"))
+
+
 def wikilinks(notes: DataFrame) -> DataFrame:
     """(src, dst): links ``[[id]]`` of bodies to other notes that exist."""
     raw = notes.select(F.col("note_id").alias("src"), F.explode(F.regexp_extract_all("body", F.lit(r"\[\[([a-z0-9-]+)\]\]"), F.lit(1))).alias("dst")).distinct()

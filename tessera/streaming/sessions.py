@@ -159,3 +159,36 @@ def streaks(calls: DataFrame) -> DataFrame:
     c = c.withColumns({"finds_since_read": finds, "searches_since_other": searches})
     nudge = F.when((F.col("kind") == "find") & (F.col("finds_since_read") == 2), "read").when((F.col("kind") == "search") & (F.col("searches_since_other") == 3), "find").when(F.col("total") % 12 == 0, "checkpoint")
     return c.select("session", "seq", "kind", "finds_since_read", "searches_since_other", nudge.alias("nudge"))
+
+
+def slice_nudges(calls: DataFrame, cap: int = 3) -> DataFrame:
+    """(session, seq, file): the call by which a session slices one file for the third time; once per file."""
+    w = Window.partitionBy("session", "file").orderBy("seq")
+    return calls.where("kind = 'gs' and file is not null").withColumn("n", F.row_number().over(w)).where(F.col("n") == cap).select("session", "seq", "file")
+
+
+def empty_nudges(calls: DataFrame, cap: int = 2) -> DataFrame:
+    """(session, seq): searches that found nothing, the first two of a session."""
+    w = Window.partitionBy("session").orderBy("seq")
+    return calls.where("kind in ('search', 'find') and is_empty").withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap).select("session", "seq")
+
+
+def repeat_guesses(calls: DataFrame) -> DataFrame:
+    """(session, seq, file): slices of a file right after a slice of it that only gave its menu."""
+    w = Window.partitionBy("session").orderBy("seq")
+    c = calls.where("kind = 'gs'").withColumns({"pf": F.lag("file").over(w), "pm": F.lag("is_menu").over(w)})
+    return c.where("pm and pf = file").select("session", "seq", "file")
+
+
+def breaker(passes: DataFrame, limit: int = 3) -> DataFrame:
+    """(keeper, ord, streak, stopped) of repair passes ``keeper, ord, n_fixed``: after three passes in a row that each fixed something, repairs stop for good."""
+    w = Window.partitionBy("keeper").orderBy("ord")
+    run = passes.withColumn("reset", F.sum((F.col("n_fixed") == 0).cast("int")).over(w))
+    streak = run.withColumn("streak", F.sum((F.col("n_fixed") > 0).cast("int")).over(Window.partitionBy("keeper", "reset").orderBy("ord")))
+    before = F.coalesce(F.max("streak").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return streak.select("keeper", "ord", "streak", (before >= limit).alias("stopped"))
+
+
+def retry_delay(attempt: int, seconds: int = 60, most: int = 3) -> int | None:
+    """Seconds to wait before a failed rebuild is tried again; None when it was tried often enough."""
+    return seconds * attempt if attempt <= most else None

@@ -126,6 +126,26 @@ def test_fold_decomposed_equals_definition(spark):
         assert inc.get(nid, []) == sorted(set(note["incident"]))
 
 
+def test_fold_logs_streams(spark):
+    r = random.Random(12)
+    logs = {f"n{i}": log(r, r.randrange(1, 30)) for i in range(20)}
+    rows = [(nid, json.dumps(rec)) for nid, recs in logs.items() for rec in recs] + [("n0", "not json"), ("n1", None), ("only", "[]")]
+    r.shuffle(rows)
+    got = {x.note_id: x.note for x in L.fold_logs(spark.createDataFrame(rows, "note_id string, raw string")).collect()}
+    for nid, recs in logs.items():
+        want = L.fold_records(nid, recs)[0]
+        assert (json.loads(got[nid]) if got[nid] else None) == want
+    assert got["only"] is None
+
+
+def test_fold_keyed_and_whole(spark):
+    rows = [("n", "flow", "put", 1, None, None, [("c", "one"), ("d", "x")], ["s1"], {"z": "1"}), ("n", "flow", "retract", 2, "feature", "c", None, None, None), ("n", "flow", "put", 3, None, None, [("c", "two")], None, {"z": "2", "y": "3"}), ("n", "flow", "put", 4, None, None, [("c", None)], ["s2", "s3"], None), ("n", "file", "put", 5, None, None, [("q", "no")], ["no"], {"z": "9"})]
+    v = spark.createDataFrame(rows, "note_id string, type string, op string, ord int, kind string, key string, features array<struct<key:string,value:string>>, steps array<string>, extra map<string,string>")
+    assert {(r.key, r.value) for r in L.keyed_last(v, F.col("features"), "feature").collect()} == {("c", "two"), ("d", "x")}
+    assert L.last_whole(v, "steps").first()["value"] == ["s2", "s3"]
+    assert {(r.key, r.value) for r in L.extra_fields(v).collect()} == {("z", "2"), ("y", "3")}
+
+
 def test_fold_bad_records():
     note, warn = L.fold_records("n", [None, [], {"v": True}, {"v": 1}, {"v": 1, "ts": "1", "op": "x"}, {"v": 1, "ts": "1", "op": "put", "type": "q"}, {"v": 1, "ts": "1", "op": "put", "type": "flow", "id": "other"}])
     assert note is None and len(warn) == 7
@@ -292,6 +312,38 @@ def test_streaks(spark):
     assert got == [None, "read", None, None, None, "find", None, None, None, None, "read", "checkpoint"]
 
 
+def test_nudges_and_breaker(spark):
+    c = spark.createDataFrame([("s", 1, "gs", "f", False, True), ("s", 2, "gs", "f", False, False), ("s", 3, "gs", "f", False, False), ("s", 4, "gs", "f", False, False), ("s", 5, "search", None, True, False), ("s", 6, "find", None, True, False), ("s", 7, "find", None, True, False)], "session string, seq int, kind string, file string, is_empty boolean, is_menu boolean")
+    assert [r.seq for r in S.slice_nudges(c).collect()] == [3] and sorted(r.seq for r in S.empty_nudges(c).collect()) == [5, 6] and [r.seq for r in S.repeat_guesses(c).collect()] == [2]
+    p = spark.createDataFrame([("k", n, x) for n, x in enumerate([1, 0, 2, 1, 1, 4, 0])], "keeper string, ord int, n_fixed int")
+    assert [r.stopped for r in S.breaker(p).orderBy("ord").collect()] == [False] * 5 + [True] * 2
+    assert [S.retry_delay(n) for n in (1, 3, 4)] == [60, 180, None]
+
+
+def test_bridges_and_links(spark):
+    toks = [("a/x.py", "limit_choices_to", 1), ("b/y.py", "limit_choices_to", 1), ("a/x.py", "child_node", 1), ("c/z.py", "child_node", 1), ("a/x.py", "in_text", 2), ("d/w.py", "in_text", 1), ("a/twin.py", "limit_choices_to", 1), ("e/v.py", "two_a", 1), ("f/u.py", "two_a", 1), ("e/v.py", "two_b", 1), ("f/u.py", "two_b", 1)]
+    t = spark.createDataFrame(toks, "file_id string, token string, bits int")
+    files = t.select("file_id").distinct().withColumns({"is_test_file": F.lit(False), "is_barrel": F.lit(None).cast("boolean")})
+    e = spark.createDataFrame([("e/v.py", "f/u.py")], "src string, dst string")
+    got = {(r.a, r.b) for r in find.bridges(find.rare_postings(t, files), t, e).collect()}
+    assert got == {("a/x.py", "b/y.py"), ("a/twin.py", "b/y.py"), ("a/x.py", "d/w.py")}
+    assert find.page_links([("a", "b", 2), ("a", "c", 2), ("b", "c", 3)]) == [("b", "c", 3), ("a", "b", 2)]
+    assert len(find.page_links([(f"a{i}", f"b{i}", 2) for i in range(9)])) == 6
+
+
+def test_flow_references(spark):
+    n = spark.createDataFrame([("f1", "flow", "active", "Order  Flow"), ("f2", "flow", "active", "twice"), ("f3", "flow", "active", "Twice"), ("x", "file", "active", "file"), ("old", "flow", "retracted", "gone")], "note_id string, type string, status string, title string")
+    refs = spark.createDataFrame([("n", r) for r in ("f1", "order flow", "TWICE", "x", "gone", "nothing")], "note_id string, ref string")
+    got = {r.ref: (r.target, r.problem) for r in kb.flow_references(refs, n).collect()}
+    assert got == {"f1": ("f1", None), "order flow": ("f1", None), "TWICE": ("TWICE", "ambiguous"), "x": ("x", "not a flow"), "gone": ("gone", "dangling"), "nothing": ("nothing", "dangling")}
+
+
+def test_wrap_and_buckets(spark):
+    assert one(spark, X.wrap_text(F.lit("aa bb ccc dddddddd e"), 5)) == ["aa bb", "ccc", "dddddddd", "e"] and one(spark, X.wrap_text(F.lit(""), 5)) == []
+    for s, want in (("./a", "regular"), ("const:Foo", "const:*"), ("convention:django:include", "convention:django:include"), ("partial:a:Bar", "partial:a:*")):
+        assert one(spark, X.edge_bucket(F.lit(s))) == want
+
+
 def test_queries_have_matching_columns(spark):
     import __spark_entry__ as e
 
