@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import fixed as K
 from tessera.functions import text as X
 from tessera.operators.catalog_graph import _files, _symbols, _G
+from tessera.operators.catalog_text import STEM
 from tessera.plans import kb as N
 from tessera.session import key_form, table
 
@@ -288,3 +289,24 @@ SELECT "check", count(*) AS n, count(DISTINCT note_id) AS n_notes FROM fnd GROUP
     "notebook_toc": _N + "SELECT type, count(*) AS n, array_to_string(list_sort(list(note_id)), ',') AS ids FROM nt WHERE status = 'active' GROUP BY 1",
     "note_ids": _N + ", sl AS (SELECT note_id, regexp_replace(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[1:60], '-+$', '') AS slug FROM nt), s2 AS (SELECT note_id, CASE WHEN slug = '' THEN 'note' ELSE slug END AS slug FROM sl) SELECT note_id, CASE WHEN r = 1 THEN slug ELSE slug || '-' || r END AS coined FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY note_id) AS r FROM s2)",
 }
+
+_SAME = STEM.format("lower(w)")
+_WH = "len(list_filter(regexp_extract_all({0}, '[A-Za-z0-9]+'), lambda w: lower(w) = low OR " + _SAME + " = ts OR " + _SAME + " = ts || 'e' OR " + _SAME + " || 'e' = ts)) > 0"
+_SQUASHED = "".join(c for c in QUERY.lower() if c not in "-_/." and not c.isspace())
+_HOOK = f""",
+lane AS (SELECT DISTINCT path, term FROM (SELECT path, unnest(symbols) AS s FROM anc WHERE path IS NOT NULL), tm WHERE CASE WHEN code THEN contains(lower(s), low) ELSE list_contains({_TOK.format('s')}, low) END),
+cv AS (SELECT DISTINCT note_id, term FROM anc JOIN lane USING (path)),
+h0 AS (SELECT pr.*, {STEM.format('low')} AS ts FROM pr),
+h1 AS (SELECT *, {_WH.format('name_raw')} AS word FROM h0),
+h2 AS (SELECT note_id, term, low, ts, code, word, n_name, title, aliases, in_name OR (NOT in_anchor AND NOT in_body AND NOT code AND word) AS in_name, in_anchor, in_body, df, n, avg_name, (note_id, term) IN (SELECT (note_id, term) FROM cv) AS converged FROM h1 JOIN sts USING (term)),
+h3 AS (SELECT *, df <= ceil(n / 10.0) AS rare FROM h2 WHERE (in_name OR in_anchor OR in_body) AND (df = 1 OR df * 2 <= n) AND CASE WHEN code THEN in_name OR in_anchor ELSE word END),
+grp AS (SELECT note_id, max(k) AS density FROM (SELECT note_id, g, count(*) FILTER ({_WH.format('txt')}) AS k FROM (SELECT note_id, low, ts, unnest([title] || aliases) AS txt, generate_subscripts([title] || aliases, 1) AS g FROM h3 WHERE in_name) GROUP BY 1, 2) GROUP BY 1),
+h4 AS (SELECT note_id, sum((CASE WHEN in_name THEN 3 / greatest(1.0, n_name / avg_name) ELSE 0 END + CASE WHEN in_anchor THEN 2 ELSE 0 END + CASE WHEN in_body THEN 1 ELSE 0 END) * ln(1 + n / (1.0 + df))) AS boost, count(*) FILTER (in_name OR in_anchor) AS strong, bool_or(rare) AS rare, bool_or(converged) AS convergence, bool_or((converged AND rare) OR code) AS hard, count(*) AS carriers, bool_and(in_name AND NOT in_anchor AND NOT in_body AND NOT converged) AS name_only FROM h3 GROUP BY 1),
+nmd AS (SELECT DISTINCT note_id FROM anc WHERE path IS NOT NULL AND length({_SQ.format('path')}) >= 6 AND contains('{_SQUASHED}', {_SQ.format('path')})),
+hk AS (SELECT note_id, round(coalesce(boost, 0) + CASE WHEN nmd.note_id IS NOT NULL THEN 100 ELSE 0 END, 6) AS score, CAST(greatest(coalesce(strong, 0), (nmd.note_id IS NOT NULL)::INT) AS BIGINT) AS strong_terms, coalesce(rare, false) OR nmd.note_id IS NOT NULL AS rare, coalesce(convergence, false) AS convergence, CAST(coalesce(carriers, 0) + (nmd.note_id IS NOT NULL)::INT AS BIGINT) AS carriers
+  FROM h4 FULL JOIN nmd USING (note_id) LEFT JOIN grp USING (note_id) WHERE nmd.note_id IS NOT NULL OR (strong > 0 AND (hard OR carriers >= 2) AND NOT (note_id IN (SELECT note_id FROM anc WHERE path IS NOT NULL) AND name_only AND coalesce(density, 0) < 2)))
+"""
+_K = _N + _HOOK
+SQL["hook_score"] = _K + "SELECT note_id, score, strong_terms, carriers FROM hk"
+SQL["hook_gates"] = _K + "SELECT rare, convergence, count(*) AS n FROM hk GROUP BY 1, 2"
+SQL["implant_flag"] = _K + ", t3 AS (SELECT hk.*, CASE WHEN status <> 'active' THEN 1 ELSE 0 END AS tier FROM hk JOIN nt USING (note_id) LEFT JOIN gn USING (note_id) WHERE NOT (type <> 'lesson' AND coalesce(g, false))), o3 AS (SELECT *, row_number() OVER (ORDER BY tier, score DESC, note_id) AS place, first_value(score) OVER (ORDER BY tier, score DESC, note_id) AS best FROM t3), k3 AS (SELECT *, row_number() OVER (ORDER BY place) AS p FROM o3 WHERE score >= 0.4 * best), l3 AS (SELECT *, lead(score) OVER (ORDER BY p) AS nxt FROM k3 WHERE p <= 3) SELECT note_id, convergence OR nxt IS NULL OR score >= 1.8 * nxt AS implant FROM l3 WHERE p = 1"
