@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from tessera.llm.encoding import TOKENIZERS, encoder
 from tessera.session import cut
 
-#: Containers' worth of tokens in a block.
-BLOCK_WINDOWS = 48
+#: Containers' worth of tokens in a block, and items of a block at most on average, should all of them be tiny.
+BLOCK_WINDOWS, BLOCK_ITEMS = 48, 20_000
 
 
 def _sizes(folder: str):
@@ -103,11 +103,10 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
 
 def _pack_block(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["n_tokens", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
-    capacity, at = int(pdf["capacity"].iat[0]), [0] * len(pdf)
-    some = pdf.index[pdf["n_tokens"] > 0].tolist()
-    for w, members in enumerate(pack(pdf.loc[some, "n_tokens"].tolist(), capacity)):
+    at = [0] * len(pdf)
+    for w, members in enumerate(pack(pdf["n_tokens"].tolist(), int(pdf["capacity"].iat[0]))):
         for m in members:
-            at[some[m]] = w
+            at[m] = w
     return pdf.assign(window=pd.Series(at, dtype="int32"))[["budget_id", "block", "window", "doc_id", "piece", "start_token", "n_tokens"]]
 
 
@@ -117,17 +116,19 @@ def windows(docs: DataFrame, budgets: DataFrame, folder: str = TOKENIZERS) -> Da
     ``window_id`` is ``f``, document and piece for a full piece, else ``b``, block and window.
     """
     sizes = cut(token_sizes(docs, folder))
-    total = sizes.agg(F.sum("n_tokens")).first()[0] or 0  # one number
+    total, n_items = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count(F.lit(1))).first()  # two numbers
     caps = [(r.budget_id, r.capacity_tokens) for r in budgets.where("capacity_tokens > 0").distinct().collect()]  # a handful of rows by definition
     if not caps:
         return sizes.sparkSession.createDataFrame([], "budget_id int, window_id string, doc_id bigint, piece int, start_token bigint, n_tokens bigint")
-    plan = F.array(*[F.struct(F.lit(b).cast("int").alias("budget_id"), F.lit(c).cast("bigint").alias("capacity"), F.lit(max(1, total // (c * BLOCK_WINDOWS))).cast("bigint").alias("blocks")) for b, c in caps])
+    plan = F.array(*[F.struct(F.lit(b).cast("int").alias("budget_id"), F.lit(c).cast("bigint").alias("capacity"), F.lit(max(1, total // (c * BLOCK_WINDOWS), n_items // BLOCK_ITEMS)).cast("bigint").alias("blocks")) for b, c in caps])
     dealt = sizes.select("doc_id", F.col("n_tokens").alias("size"), F.explode(plan).alias("p")).select("doc_id", "size", "p.*").withColumn("full", F.expr("if(size > capacity, size div capacity, 0)"))
     full = dealt.where("full > 0").withColumn("piece", F.explode(F.sequence(F.lit(0), (F.col("full") - 1).cast("int"))))
     whole = full.select("budget_id", F.concat_ws("-", F.lit("f"), "doc_id", "piece").alias("window_id"), "doc_id", "piece", (F.col("piece") * F.col("capacity")).alias("start_token"), F.col("capacity").alias("n_tokens"))
     items = dealt.where("full = 0 or size > full * capacity").select("budget_id", "capacity", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"), "doc_id", F.col("full").cast("int").alias("piece"), (F.col("full") * F.col("capacity")).alias("start_token"), (F.col("size") - F.col("full") * F.col("capacity")).alias("n_tokens"))
-    packed = items.groupBy("budget_id", "block").applyInPandas(_pack_block, "budget_id int, block bigint, window int, doc_id bigint, piece int, start_token bigint, n_tokens bigint")
-    return whole.unionByName(packed.select("budget_id", F.concat_ws("-", F.lit("b"), "block", "window").alias("window_id"), "doc_id", "piece", "start_token", "n_tokens"))
+    # texts without tokens need no room and no partitioning: they lie in the first window of their block
+    none = items.where("n_tokens = 0").select("budget_id", F.concat_ws("-", F.lit("b"), "block", F.lit("0")).alias("window_id"), "doc_id", "piece", "start_token", "n_tokens")
+    packed = items.where("n_tokens > 0").groupBy("budget_id", "block").applyInPandas(_pack_block, "budget_id int, block bigint, window int, doc_id bigint, piece int, start_token bigint, n_tokens bigint")
+    return whole.unionByName(none).unionByName(packed.select("budget_id", F.concat_ws("-", F.lit("b"), "block", "window").alias("window_id"), "doc_id", "piece", "start_token", "n_tokens"))
 
 
 def fill(packed: DataFrame, budgets: DataFrame) -> DataFrame:
