@@ -37,6 +37,8 @@ class Grammar:
         self.reduce: re.Pattern | None = None
         self.tests: dict[str, list[re.Pattern]] = {}
         self.memo: dict[tuple[str, str], int] = {}
+        self.pieces: dict[str, re.Pattern] = {}
+        self.piece_memo: dict[tuple[str, str], bool] = {}
 
     def rule(self, name: str, text: str) -> None:
         """A rule; beyond a few signs it is a subpattern that the others call."""
@@ -72,6 +74,32 @@ class Grammar:
                     todo.append(self.defined[n])
         return re.compile("(?(DEFINE)" + "".join(f"(?P<{n}>{self.defined[n]})" for n in need) + ")" + pattern if need else pattern)
 
+    def repeats(self, name: str, ends: str, groups: str = "") -> None:
+        """A reading is a row of statements that all end in one of the tokens ``ends`` (or in a pair with a bracket of ``groups``).
+
+        Such a content is judged statement by statement, as statements repeat more than blocks do; only if one of the
+        pieces doesn't stand alone, the whole is. Pieces that stand alone also do in a row, so nothing wrong is accepted.
+        """
+        stop = "".join(re.escape(self.chars.get(e, e)) for e in ends.split()) + "".join(f"{chr(_BASE[b])}-{chr(_BASE[b] + 255)}" for b in groups)
+        self.pieces[name] = re.compile(f"[^{stop}]*[{stop}]|[^{stop}]+")
+
+    def matches(self, name: str, test: re.Pattern, content: str) -> bool:
+        """Whether a reading takes a content, by its statements where it is a row of them."""
+        cut = self.pieces.get(name)
+        if cut is not None and len(content) > 12:
+            memo = self.piece_memo
+            if len(memo) >= _MEMO:
+                memo.clear()
+            for p in cut.findall(content):
+                ok = memo.get((name, p))
+                if ok is None:
+                    ok = memo[name, p] = test.fullmatch(p) is not None
+                if not ok:
+                    break
+            else:
+                return True
+        return test.fullmatch(content) is not None
+
     def judge(self, bracket: str, content: str) -> int:
         """Readings of a pair as a bit set; 0 rejects it."""
         key = (bracket, content)
@@ -80,7 +108,7 @@ class Grammar:
             if len(content) > 200:  # a long list of plain literals is as valid as a short one
                 content = self.lists.sub(r"\1", content)
             flat = self.flatten(content)
-            mask = sum(1 << bit for bit, t in enumerate(self.tests[bracket]) if t.fullmatch(flat))
+            mask = sum(1 << bit for bit, (n, t) in enumerate(zip(self.readings[bracket], self.tests[bracket], strict=True)) if self.matches(n, t, flat))
             if len(content) <= _MEMO_CHARS:
                 if len(self.memo) >= _MEMO:
                     self.memo.clear()
@@ -116,4 +144,4 @@ class Grammar:
                 out.append(chr(_BASE[bracket] + mask))
             else:
                 out.append(t)
-        return not stack and self.top.fullmatch(self.flatten("".join(out))) is not None
+        return not stack and self.matches("", self.top, self.flatten("".join(out)))

@@ -105,6 +105,7 @@ def _build() -> Grammar:
     func = "'func'%PF?i(?:%KA|%KT)?%PF(?:%RESULT)?%BB?"
     g.rule("FILE", f"';'*'package'i';'(?:'import'(?:{spec}|%PI)';'|';')*(?:(?:%DECL|{func})';'|';')*")
     g.finish("FILE")
+    g.repeats("BB", ";")
     return g
 
 

@@ -101,6 +101,8 @@ def _build() -> Grammar:
     g.rules["inPR"] = f"(?:{g.rules['inPR']}|{g.expand(heads)})"
     g.rule("UNIT", "(?:%ANNOS'package'%QN';')?(?:'import''static'?%QN(?:'.''*')?';'|';')*(?:%TYPEDECL|';')*")
     g.finish("UNIT")
+    for name in ("BB", "BC"):
+        g.repeats(name, ";", "{")
     return g
 
 

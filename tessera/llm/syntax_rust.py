@@ -144,6 +144,9 @@ def _build() -> Grammar:
     g.rule("inBB", f"(?>(?:{stmt})*)(?:%ATTRS%E)?|(?>(?:{stmt})*)")
     g.rule("FILE", "(?:'#''!'%ANYK)*(?:%ITEM|';')*")
     g.finish("FILE")
+    g.repeats("BB", ";")
+    for name in ("BI", ""):
+        g.repeats(name, ";", "{")
     return g
 
 

@@ -166,6 +166,8 @@ def _build(ts: bool) -> Grammar:
     g.rule("inBB", "%MODULE" if ts else "%STMT*")
     g.rule("inBW", "(?:(?:'case'%XE|'default')':'%STMT*|Z)*")
     g.finish("MODULE")
+    for name in ("BB", "BC", ""):
+        g.repeats(name, "; Z")
     words = {g.chars[w] for w in g.words}
     no_end = {g.chars[w] for w in ("" if ts else "void ").split()} | {g.chars[w] for w in "function class extends if else for while do switch case default try finally throw new delete typeof in instanceof var const import export with".split()}
     no_start = {g.chars[w] for w in "in instanceof of as satisfies extends implements catch finally is from".split()}
