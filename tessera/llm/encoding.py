@@ -17,10 +17,12 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -172,16 +174,16 @@ def _encode_rest(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(folder).encode_ordinary
         for batch in batches:
-            rows = []
-            for doc, text, given in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "given")), strict=True):
-                if not text:
-                    rows.append((doc, []))
-                elif not given:
-                    rows.append((doc, encode(text)))
-                else:
+            flat, ends = array("i"), array("i", [0])
+            for text, given in zip(batch.column("text").to_pylist(), batch.column("given").to_pylist(), strict=True):
+                if text and not given:
+                    flat.extend(encode(text))
+                elif text:
                     parts, have = chunks(text), {g["ord"]: g["ids"] for g in given}
-                    rows.append((doc, join_ids(parts, _with_gaps(parts, have, encode), encode)))
-            yield _batch(schema, rows)
+                    flat.extend(join_ids(parts, _with_gaps(parts, have, encode), encode))
+                ends.append(len(flat))
+            ids = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), ids], schema=schema)
 
     return run
 
