@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.plans import find as P
-from tessera.session import table
+from tessera.session import table, top_k
 
 QUERY = "ledger harbor-view trackerPool anvil"
 TERMS = X.parse_terms(QUERY)
@@ -80,8 +80,7 @@ def find_page(spark: SparkSession, d: str) -> DataFrame:
     w = f.weights()
     shown = P.partition(f.cand, f.files, P.evidence(f.cand, w, f.symbols, f.imports, TERMS)).where("shown")
     ranked = P.rank(f.cand, w, None).join(shown.select("file_id", "class"), "file_id")
-    place = F.row_number().over(P.Window.partitionBy("class").orderBy(F.desc("score"), "file_id"))
-    return ranked.withColumn("place", place.cast("bigint")).where(F.col("place") <= F.when(F.col("class") == "code", P.K.LISTED).otherwise(P.K.DOCS_LISTED))
+    return top_k(ranked, ["class"], [F.desc("score"), "file_id"], P.K.LISTED).where(F.col("place") <= F.when(F.col("class") == "code", P.K.LISTED).otherwise(P.K.DOCS_LISTED))
 
 
 def line_mask(spark: SparkSession, d: str) -> DataFrame:

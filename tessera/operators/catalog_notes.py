@@ -60,7 +60,7 @@ def _channels(spark, d):
 
 
 def _declared(spark, d):
-    return anchors(spark, d).where("path is not null").groupBy("path").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("symbols", F.array().cast("array<string>"))))).alias("symbols"))
+    return anchors(spark, d).where("path is not null").select("path", F.explode_outer("symbols").alias("s")).distinct().groupBy("path").agg(F.collect_set("s").alias("symbols"))
 
 
 def anchor_freshness(spark: SparkSession, d: str) -> DataFrame:
@@ -197,9 +197,8 @@ def paged_worklist(spark: SparkSession, d: str) -> DataFrame:
 
 
 def notebook_toc(spark: SparkSession, d: str) -> DataFrame:
-    """Contents by type: the titles of active notes in order."""
-    n = notes(spark, d).where("status = 'active'")
-    return n.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.listagg("note_id", F.lit(",")).alias("ids0"), F.array_join(F.array_sort(F.collect_list("note_id")), ",").alias("ids")).drop("ids0")
+    """Contents by type: the titles of active notes, a row each, in the order of a range partitioning."""
+    return notes(spark, d).where("status = 'active'").select("type", "note_id", "title").orderBy("type", "note_id")
 
 
 def note_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -286,7 +285,7 @@ SELECT "check", count(*) AS n, count(DISTINCT note_id) AS n_notes FROM fnd GROUP
     "symbol_backfill": _N + ", d1 AS (SELECT file_id AS path, list(name ORDER BY start_line NULLS FIRST, name) AS l FROM sym WHERE name IS NOT NULL GROUP BY 1) SELECT DISTINCT note_id, path, least(15, len(l)) AS n_symbols, l[1] AS first_symbol FROM anc JOIN nt USING (note_id) JOIN d1 USING (path) WHERE len(coalesce(symbols, [])) = 0 AND status = 'active' AND type = 'file'",
     "status_totals": _N + ", wo AS (SELECT note_id, max(CASE state WHEN 'missing' THEN 4 WHEN 'changed' THEN 3 WHEN 'moved' THEN 2 WHEN 'unverified' THEN 1 ELSE 0 END) AS w FROM st GROUP BY 1) SELECT type, status, count(*) AS n_notes, CAST(sum((coalesce(w, 0) >= 3)::INT) AS BIGINT) AS n_flagged FROM nt LEFT JOIN wo USING (note_id) GROUP BY 1, 2",
     "paged_worklist": _N + 'SELECT * FROM rep ORDER BY "check", note_id LIMIT 25 OFFSET 10',
-    "notebook_toc": _N + "SELECT type, count(*) AS n, array_to_string(list_sort(list(note_id)), ',') AS ids FROM nt WHERE status = 'active' GROUP BY 1",
+    "notebook_toc": _N + "SELECT type, note_id, title FROM nt WHERE status = 'active'",
     "note_ids": _N + ", sl AS (SELECT note_id, regexp_replace(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[1:60], '-+$', '') AS slug FROM nt), s2 AS (SELECT note_id, CASE WHEN slug = '' THEN 'note' ELSE slug END AS slug FROM sl) SELECT note_id, CASE WHEN r = 1 THEN slug ELSE slug || '-' || r END AS coined FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY note_id) AS r FROM s2)",
 }
 

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import fixed as K
 from tessera.functions import text as X
+from tessera.session import top_k
 
 N = lambda: F.count(F.lit(1))
 
@@ -117,10 +118,9 @@ def callers(symbol_edges: DataFrame, symbols: DataFrame, files: int = K.CALLER_F
     source = symbols.select(F.col("symbol_id").alias("src"), F.col("name").alias("caller"), F.col("file_id").alias("caller_file"))
     c = calls(symbol_edges).join(exported, "dst").join(source, "src").where("caller_file <> home").select(F.col("dst").alias("symbol_id"), "caller_file", "caller", "line", "edge_id")
     per = c.groupBy("symbol_id", "caller_file").agg(N().alias("n"))
-    w = Window.partitionBy("symbol_id")
-    ranked = per.withColumns({"file_rank": F.row_number().over(w.orderBy("caller_file")), "n_files": F.count(F.lit(1)).over(w)}).where(F.col("file_rank") <= files)
+    ranked = top_k(per.select("symbol_id", "caller_file"), ["symbol_id"], ["caller_file"], files, "file_rank").join(per.groupBy("symbol_id").agg(N().alias("n_files")), "symbol_id")
     line = Window.partitionBy("symbol_id", "caller_file").orderBy(F.col("line").asc_nulls_last(), "caller", "edge_id")
-    top = c.join(ranked.drop("n"), ["symbol_id", "caller_file"]).withColumn("line_rank", F.row_number().over(line)).where(F.col("line_rank") <= per_file)
+    top = c.join(ranked, ["symbol_id", "caller_file"]).withColumn("line_rank", F.row_number().over(line)).where(F.col("line_rank") <= per_file)
     return top.select("symbol_id", "caller_file", "caller", "line", F.col("file_rank").cast("bigint").alias("file_rank"), F.col("line_rank").cast("bigint").alias("line_rank"), "n_files")
 
 
@@ -134,10 +134,9 @@ def callees(symbol_edges: DataFrame, symbols: DataFrame, cap: int = K.CALLEES) -
 
 def importers(edges: DataFrame, files: DataFrame, cap: int = K.IMPORTERS) -> DataFrame:
     """(file_id, importer, place, n_importers): sorted importers, twenty a file."""
-    e = adjacency(edges).join(files.select(F.col("file_id").alias("src")), "src")
-    w = Window.partitionBy("dst")
-    ranked = e.withColumns({"place": F.row_number().over(w.orderBy("src")).cast("bigint"), "n_importers": F.count(F.lit(1)).over(w)})
-    return ranked.where(F.col("place") <= cap).select(F.col("dst").alias("file_id"), F.col("src").alias("importer"), "place", "n_importers")
+    e = adjacency(edges).join(files.select(F.col("file_id").alias("src")), "src", "left_semi")
+    ranked = top_k(e, ["dst"], ["src"], cap).join(e.groupBy("dst").agg(N().alias("n_importers")), "dst")
+    return ranked.select(F.col("dst").alias("file_id"), F.col("src").alias("importer"), "place", "n_importers")
 
 
 def enclosing(points: DataFrame, symbols: DataFrame) -> DataFrame:

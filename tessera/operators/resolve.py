@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.session import top_k
+
 # Order in which extensions and index files are tried.
 EXTENSIONS = ".ts .tsx .mts .cts .d.ts .js .jsx .mjs .cjs .py .go .rs .java .cs .cpp .c .h .hpp .rb .php .swift .kt .dart".split()
 INDEX_FILES = "index.ts index.tsx index.js index.jsx index.mjs index.cjs index.py index.go __init__.py mod.rs".split()
@@ -260,8 +262,7 @@ def resolution_stats(resolved: DataFrame) -> DataFrame:
 def unresolved_top(resolved: DataFrame, k: int = 30) -> DataFrame:
     """Per language the specifiers that most imports of which resolve to nothing, with the least file as a sample."""
     per = resolved.where("target is null and not is_bonus").groupBy("language", "specifier").agg(F.count(F.lit(1)).alias("n"), F.min("file_id").alias("sample"))
-    place = F.row_number().over(Window.partitionBy("language").orderBy(F.desc("n"), "specifier"))
-    return per.withColumn("place", place.cast("bigint")).where(F.col("place") <= k)
+    return top_k(per, ["language"], [F.desc("n"), "specifier"], k)
 
 
 # ---- calls -----------------------------------------------------------------------------------------

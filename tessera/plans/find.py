@@ -171,7 +171,9 @@ def rare_postings(tokens: DataFrame, files: DataFrame, lo: int = K.MIN_POSTINGS,
     """(token, df, files): shaped tokens of two to five files, tests and barrels aside. The bound on df is what
     makes the self-join of ``bridges`` small."""
     plain = files.where("not coalesce(is_test_file, false) and not coalesce(is_barrel, false)").select("file_id")
-    return tokens.join(plain, "file_id", "left_semi").groupBy("token").agg(F.collect_set("file_id").alias("files")).where(F.size("files").between(lo, hi)).select("token", F.size("files").cast("bigint").alias("df"), F.array_sort("files").alias("files"))
+    t = tokens.join(plain, "file_id", "left_semi").select("file_id", "token").distinct()
+    few = t.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(lo, hi))  # counted before anything is collected
+    return t.join(few, "token").groupBy("token", "df").agg(F.array_sort(F.collect_set("file_id")).alias("files")).select("token", "df", "files")
 
 
 def content_tokens(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def ensure_shared_dir(spark: SparkSession) -> None:
@@ -62,3 +63,11 @@ def current_rows(files: DataFrame, *cols: str) -> DataFrame:
     keep = [c for c in cols if c != "file_id"]
     picked = F.max_by(F.struct(*keep), F.struct("indexed_at", "received_at")).alias("_row")
     return files.where(F.col("file_id").isNotNull()).groupBy("file_id").agg(picked).select("file_id", *[F.col(f"_row.{c}").alias(c) for c in keep])
+
+
+def top_k(df: DataFrame, keys: list[str], order: list[Column | str], k: int, place: str = "place", ways: int = 16) -> DataFrame:
+    """The first ``k`` rows of every key with their ``place``, in two steps: the first of each of ``ways`` shares of a key,
+    then the first of those. A key with most of the rows is ranked by ``ways`` tasks, and one task gets ``ways * k`` rows of it."""
+    share = F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith(("map", "variant"))]), F.lit(ways))
+    shared = df.withColumn("_share", share).withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "_share").orderBy(*order))).where(F.col("_place") <= k)
+    return shared.drop("_share", "_place").withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")).where(F.col(place) <= k)

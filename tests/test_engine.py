@@ -344,6 +344,20 @@ def test_wrap_and_buckets(spark):
         assert one(spark, X.edge_bucket(F.lit(s))) == want
 
 
+def test_top_k_of_hot_keys(spark):
+    from tessera.session import top_k
+
+    r = random.Random(6)
+    rows = [("hot" if i % 3 else f"k{i % 50}", r.randrange(1000), i) for i in range(3000)]
+    df = spark.createDataFrame(rows + [(None, 1, -1)], "key string, score int, id int")
+    got = sorted((x.key or "", x.place, x.id) for x in top_k(df, ["key"], [F.desc("score"), "id"], 4).collect())
+    want = []
+    for k in {x[0] for x in rows} | {None}:
+        own = sorted((x for x in [*rows, (None, 1, -1)] if x[0] == k), key=lambda x: (-x[1], x[2]))[:4]
+        want += [(k or "", n + 1, x[2]) for n, x in enumerate(own)]
+    assert got == sorted(want)
+
+
 def test_queries_have_matching_columns(spark):
     import __spark_entry__ as e
 
