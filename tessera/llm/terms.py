@@ -3,8 +3,10 @@
 Every task counts its records' terms in a burst trie: terms hang in small containers, and a container that grows
 beyond ``BURST`` terms bursts into one container per next character, so prefixes are as long as the data make them.
 Containers leave the task as (prefix, terms, counters). Their weights, summed over tasks for every ancestor prefix,
-give each container a route: its shortest prefix that holds at most ``ROUTE_TERMS`` terms. Subtrees with one route meet in
-one task and are merged; a prefix that is too heavy at any length is split by a hash of the terms.
+give the routes: the shortest prefixes that hold at most ``ROUTE_TERMS`` terms. Subtrees under one route meet in one task
+and are merged. A task that met few terms of a heavy prefix hasn't burst it: the terms of such a container are summed one by
+one, and each takes the longer route that it lies under, so that a term has one route whichever task counted it. Terms under
+no route are complete by then. A route that gets more than its weight that way is split by a hash of the terms.
 
 A term that stands in a third of all records is one entry per task before anything is shuffled.
 
@@ -106,7 +108,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Containers of a too heavy prefix, by a hash of their terms."""
+    """Containers of a route with several parts, by a hash of their terms."""
     schema = pa.schema([*_CONTAINERS, ("route", pa.string()), ("part", pa.int32())])
     for batch in batches:
         out = []
@@ -133,15 +135,30 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
 def count_terms(records: DataFrame) -> DataFrame:
     """``field, term, n_occurrences, n_records`` of ``field, terms, counts``, one row per record and field."""
     tries = cut(records.where("size(terms) > 0").select("field", "terms", "counts").mapInArrow(_count, _CONTAINERS_DDL))
-    above = F.transform(F.sequence(F.lit(0), F.length("prefix")), lambda n: F.substring(F.col("prefix"), F.lit(1), n))
+    prefixes = lambda c: F.transform(F.sequence(F.lit(0), F.length(c)), lambda n: F.substring(F.col(c), F.lit(1), n))
     sizes = tries.groupBy("field", "prefix").agg(F.sum(F.size("terms")).alias("n"))
-    weights = sizes.select("field", F.explode(above).alias("route"), "n").groupBy("field", "route").agg(F.sum("n").alias("weight"))
-    routed = sizes.select("field", "prefix", F.explode(above).alias("route")).join(weights, ["field", "route"])
-    light = F.col("weight") <= ROUTE_TERMS
-    best = F.min(F.when(light, F.struct(F.length("route").alias("length"), "route"))).alias("best")
-    routes = routed.groupBy("field", "prefix").agg(best, F.min("weight").alias("own")).select("field", "prefix", F.coalesce("best.route", "prefix").alias("route"), F.when(F.col("best").isNull(), F.ceil(F.col("own") / ROUTE_TERMS)).otherwise(1).cast("int").alias("ways"))
-    parts = tries.join(routes, ["field", "prefix"]).mapInArrow(_split, _CONTAINERS_DDL + ", route string, part int")
-    return parts.groupBy("field", "route", "part").applyInPandas(_merge, "field string, term string, n_occurrences bigint, n_records bigint")
+    weights = sizes.select("field", F.explode(prefixes("prefix")).alias("route"), "n").groupBy("field", "route").agg(F.sum("n").alias("weight"))
+    routed = sizes.select("field", "prefix", F.explode(prefixes("prefix")).alias("route")).join(weights, ["field", "route"])
+    best = F.min(F.when(F.col("weight") <= ROUTE_TERMS, F.struct(F.length("route").alias("length"), "route", "weight"))).alias("best")
+    chosen = cut(routed.groupBy("field", "prefix").agg(best).select("field", "prefix", "best.route", "best.weight"))
+    routes = chosen.where("route is not null").select("field", "route", "weight").distinct()
+
+    # terms in containers of heavy prefixes: candidates are their own prefixes, as long as some route below that prefix is
+    below = routes.select("field", F.explode(prefixes("route")).alias("prefix"), F.length("route").alias("length")).groupBy("field", "prefix").agg(F.collect_set("length").alias("lengths"))
+    heavy = tries.join(chosen.where("route is null").select("field", "prefix"), ["field", "prefix"], "left_semi").join(below, ["field", "prefix"], "left")
+    entry = heavy.select("field", "lengths", F.explode(F.arrays_zip("terms", "occurrences", "records")).alias("e"))
+    loose = entry.groupBy("field", F.col("e.terms").alias("term")).agg(F.sum("e.occurrences").alias("o"), F.sum("e.records").alias("r"), F.array_distinct(F.flatten(F.collect_set("lengths"))).alias("lengths"))
+    own = F.transform(F.filter("lengths", lambda n: n <= F.length("term")), lambda n: F.substring(F.col("term"), F.lit(1), n))
+    met = loose.select("field", "term", "o", "r", F.explode_outer(own).alias("route")).join(routes.withColumn("met", F.col("route")), ["field", "route"], "left")
+    single = cut(met.groupBy("field", "term").agg(F.first("o").alias("o"), F.first("r").alias("r"), F.max("met").alias("route")))
+
+    more = single.where("route is not null").groupBy("field", "route").agg(F.count(F.lit(1)).alias("more"))
+    ways = routes.join(more, ["field", "route"], "left").select("field", "route", F.ceil((F.col("weight") + F.coalesce("more", F.lit(0))) / ROUTE_TERMS).cast("int").alias("ways"))
+    whole = tries.join(chosen.where("route is not null").select("field", "prefix", "route"), ["field", "prefix"])
+    few = single.where("route is not null").select("field", F.col("route").alias("prefix"), F.array("term").alias("terms"), F.array("o").alias("occurrences"), F.array("r").alias("records"), "route")
+    parts = whole.select(*few.columns).unionByName(few).join(ways, ["field", "route"]).mapInArrow(_split, _CONTAINERS_DDL + ", route string, part int")
+    merged = parts.groupBy("field", "route", "part").applyInPandas(_merge, "field string, term string, n_occurrences bigint, n_records bigint")
+    return merged.unionByName(single.where("route is null").select("field", "term", F.col("o").alias("n_occurrences"), F.col("r").alias("n_records")))
 
 
 def index_records(files: DataFrame, symbols: DataFrame) -> DataFrame:

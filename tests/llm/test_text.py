@@ -124,6 +124,23 @@ def test_terms_brute_force(spark, monkeypatch, burst, route):
     assert set(flat) == {t for _, t in occ}
 
 
+def test_terms_counted_by_uneven_tasks(spark):
+    """A task that bursts a heavy prefix and others that don't: one row a term, with the sum."""
+    many = [f"get{i:05d}" for i in range(50_200)]
+    few = ["get00007", "get", "g", "getter", "other", "get50199"]
+    rows = [[("f", many, [1] * len(many))], [("f", few, [2] * len(few))], [("f", few[:3], [3] * 3), ("f", few[2:], [1] * 4)]]
+    df = spark.createDataFrame(spark.sparkContext.parallelize([r for p in rows for r in p], 4), "field string, terms array<string>, counts array<bigint>")
+    want = {t: [1, 1] for t in many}
+    for part in rows[1:]:
+        for _, ts, ns in part:
+            for t, n in zip(ts, ns, strict=True):
+                o = want.setdefault(t, [0, 0])
+                want[t] = [o[0] + n, o[1] + 1]
+    got = [(r.term, [r.n_occurrences, r.n_records]) for r in terms.count_terms(df).collect()]
+    assert len(got) == len(want)
+    assert dict(got) == want
+
+
 def test_terms_index(spark):
     files = spark.createDataFrame([], "file_id string, indexed_at timestamp, received_at timestamp, domain_map map<string, struct<filename:int,path:int,symbol:int>>, exports array<string>")
     symbols = spark.createDataFrame([("a", "n"), ("a", "n"), ("b", None), (None, "q"), ("c", "n")], "symbol_id string, name string")
