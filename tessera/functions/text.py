@@ -285,6 +285,18 @@ def ignored(c: Column | str, patterns: list[str]) -> Column:
     return out
 
 
+def glob_regex(glob: str) -> str:
+    """The expression a glob stands for: ``*`` and ``?`` within a segment, ``**`` over segments, ``{a,b}``; a glob without
+    a slash speaks of names in any directory, one that ends in a slash of all below it."""
+    braces = re.fullmatch(r"[^{}]*(?:\{[^{}]*\}[^{}]*)*", glob) is not None
+    out, deep = "" if "/" in glob else "(?:.*/)?", False
+    for part in re.findall(r"\*\*/|\*\*|.", glob + "**" * glob.endswith("/"), re.DOTALL):
+        deep = part == "{" or deep and part != "}"
+        fixed = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"} | ({"{": "(?:", "}": ")"} | ({",": "|"} if deep else {}) if braces else {})
+        out += fixed.get(part) or re.escape(part)
+    return out
+
+
 def cap_aliases(c: Column | str) -> Column:
     """Newest first (the end of the list), at most 12 aliases and 40 words, never fewer than 4."""
     rev = F.reverse(_col(c))

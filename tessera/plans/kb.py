@@ -9,12 +9,18 @@ empty; a note without anchors can't be inactive; ties rank by note id; an empty
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import fixed as K
 from tessera.functions import text as X
+from tessera.session import cut, top_k
 
 ONE = lambda: Window.partitionBy(F.lit(1))  # noqa: E731  windows over a page or over a query's terms only
 
@@ -260,20 +266,64 @@ def symbol_backfill(notes: DataFrame, anchors: DataFrame, declared: DataFrame, c
     return bare.join(notes.where("status = 'active' and type = 'file'").select("note_id"), "note_id", "left_semi").join(first, "path").select("note_id", "path", F.transform("s", lambda x: x["name"]).alias("symbols"))
 
 
+_WORD = re.compile("[a-z0-9_]+")
+
+
+def _searches(batches: Iterator[pa.RecordBatch], sets: list[tuple[list[str], list[str]]]) -> Iterator[pa.RecordBatch]:
+    """(search, file_id) of every text that contains all terms of a search, in one pass: a term's longest part of word
+    characters lies inside one of the text's words, and what each word contains is worked out once per worker."""
+    by_term: dict[str, list[int]] = {}  # searches by their longest term
+    for n, (terms, _) in enumerate(sets):
+        by_term.setdefault(max(terms, key=len), []).append(n)
+    by_part: dict[str, list[str]] = {}
+    for term in {t for terms, _ in sets for t in terms}:
+        by_part.setdefault(max(_WORD.findall(term), key=len, default=""), []).append(term)
+    bare = by_part.pop("", [])
+    globs = [[re.compile(X.glob_regex(g)) for g in gs] for _, gs in sets]
+    lengths = sorted({len(p) for p in by_part})
+    known: dict[str, tuple[str, ...]] = {}
+
+    def parts(word: str) -> tuple[str, ...]:
+        if len(word) > min(64, len(by_part)):
+            return tuple(p for p in by_part if p in word)
+        if word not in known:
+            if len(known) > 1_000_000:
+                known.clear()
+            known[word] = tuple({p for n in lengths for at in range(len(word) - n + 1) if (p := word[at : at + n]) in by_part})
+        return known[word]
+
+    for batch in batches:
+        found, files = [], []
+        for file_id, path, text in zip(*(batch.column(c).to_pylist() for c in ("file_id", "path", "text")), strict=True):
+            inside = {p for w in set(_WORD.findall(text)) for p in parts(w)}
+            hits = {t for p in inside for t in by_part[p] if t == p or t in text} | {t for t in bare if t in text}
+            for n in (n for t in hits for n in by_term.get(t, ())):
+                if hits.issuperset(sets[n][0]) and (not globs[n] or any(g.fullmatch(path or "") for g in globs[n])):
+                    found.append(n)
+                    files.append(file_id)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(files, pa.string())], names=["search", "file_id"])
+
+
 def absence_stamp(asked: DataFrame, texts: DataFrame) -> DataFrame:
-    """(note_id, n_matches, sample): how many texts contain all of a note's terms, with the least three.
+    """(note_id, n_matches, sample, samples): how many texts contain all of a note's terms, with the least and the least three.
 
-    ``asked(note_id, terms)`` is joined by the rarest word of its terms with the words of the texts, so that only texts
-    that hold that word are looked at; the containment itself is checked on the text.
+    Containment is that of texts, in lower case. ``asked(note_id, terms)`` may have ``globs``: with some, only files whose
+    ``path`` (the file id where ``texts`` has none) fits one of them count. Each distinct search, not each note, is sent to
+    the one pass over the texts, which move nowhere. A note without terms matches nothing.
     """
-    words = texts.select("file_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9_]+"))).alias("word")).where("word <> ''")
-    wanted = asked.select("note_id", "terms", F.explode("terms").alias("word"))
-    df = words.join(wanted.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    rarest = wanted.join(df, "word", "left").groupBy("note_id", "terms").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("r")).select("note_id", "terms", "r.word")
-    cand = rarest.join(words, "word").select("note_id", "terms", "file_id")
-    all_in = cand.select("note_id", "file_id", F.explode("terms").alias("word"), F.size("terms").alias("k")).join(words, ["file_id", "word"]).groupBy("note_id", "file_id", "k").agg(F.count(F.lit(1)).alias("n")).where("n = k")
-    found = all_in.groupBy("note_id").agg(F.count(F.lit(1)).alias("n_matches"), F.min("file_id").alias("sample"))
-    return asked.select("note_id").join(found, "note_id", "left").select("note_id", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), "sample")
+    clean = lambda c: F.array_sort(F.array_distinct(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda t: t.isNotNull() & (t != ""))))
+    globs = clean(F.col("globs")) if "globs" in asked.columns else F.array().cast("array<string>")
+    notes = asked.select("note_id", F.array_sort(F.array_distinct(F.transform(clean(F.col("terms")), F.lower))).alias("terms"), globs.alias("globs"))
+    sets = [(list(r["terms"]), list(r["globs"])) for r in notes.where("size(terms) > 0").select("terms", "globs").distinct().collect()]  # a row per distinct search
+    numbers = asked.sparkSession.createDataFrame([(n, *x) for n, x in enumerate(sets)], "search int, terms array<string>, globs array<string>")
+    path = F.col("path") if "path" in texts.columns else F.col("file_id")
+    read = texts.where("file_id is not null and text is not null").select("file_id", path.alias("path"), F.lower("text").alias("text"))
+    fits = cut(read.mapInArrow(partial(_searches, sets=sets), "search int, file_id string").distinct())
+    counts = fits.groupBy("search").agg(F.count(F.lit(1)).alias("n_matches"))
+    least = top_k(fits, ["search"], ["file_id"], 3).groupBy("search").agg(F.array_sort(F.collect_list("file_id")).alias("samples"))
+    found = numbers.join(counts.join(least, "search"), "search").select("terms", "globs", "n_matches", "samples")
+    stamped = notes.join(found, ["terms", "globs"], "left")
+    return stamped.select("note_id", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), F.get("samples", F.lit(0)).alias("sample"), F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
 
 
 def absence_verdict(stamp_terms: Column, note_terms: Column, n_matches: Column) -> Column:

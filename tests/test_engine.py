@@ -186,6 +186,21 @@ def test_notebook(spark):
     assert kb.implant(nb.recall("why does loadThing7 fail")).first()["implant"]
 
 
+def test_absence_is_containment(spark):
+    texts = spark.createDataFrame([("src/a.ts", "const LedgerClient = 1"), ("src/b.ts", "trim_ledger(x)"), ("lib/c.py", "the ledger, a cache-key"), ("lib/d.go", "cache key; v1.2 ledgers"), ("e.md", "::")], "file_id string, text string")
+    asked = spark.createDataFrame([
+        ("part", ["ledger"], None), ("again", ["LEDGER", "ledger"], None), ("both", ["ledger", "client"], None), ("dash", ["cache-key"], None), ("dot", ["v1.2"], None), ("no part", ["::"], None), ("short", ["x"], None),
+        ("absent", ["ledger", "harbor"], None), ("glob", ["ledger"], ["src/*", "*.{go,rs}"]), ("deep", ["ledger"], ["**/c.??"]), ("other", ["ledger"], ["*.ts/x", "src"]), ("none", [], None),
+    ], "note_id string, terms array<string>, globs array<string>")
+    three = ["lib/c.py", "lib/d.go", "src/a.ts"]
+    want = {
+        "part": (4, three), "again": (4, three), "both": (1, ["src/a.ts"]), "dash": (1, ["lib/c.py"]), "dot": (1, ["lib/d.go"]), "no part": (1, ["e.md"]), "short": (1, ["src/b.ts"]),
+        "absent": (0, []), "glob": (3, ["lib/d.go", "src/a.ts", "src/b.ts"]), "deep": (1, ["lib/c.py"]), "other": (0, []), "none": (0, []),
+    }
+    got = kb.absence_stamp(asked, texts).collect()
+    assert {r.note_id: (r.n_matches, r.samples) for r in got} == want and all(r.sample == (r.samples or [None])[0] for r in got)
+
+
 def test_write(spark):
     nb = notebook(spark)
     ok = nb.write({"type": "flow", "title": "quite different words", "identityAliases": ["x"], "steps": [{"path": "a", "role": "r"}]})
