@@ -122,13 +122,13 @@ def tiers(hits: DataFrame, notes: DataFrame, stamped: DataFrame) -> DataFrame:
 
 
 def page(tiered: DataFrame, cap: int, floor: float | None = None, seen: list[str] = ()) -> DataFrame:
-    """The first ``cap`` hits by tier, score and id, those below ``floor`` of the best left out; what the session has
+    """The first ``cap`` hits by tier, score and id, those below ``floor`` of the first left out before the cap; what the session has
     seen is taken off after the cap, so the page shrinks. ``place`` is the place before that."""
-    top = tiered.orderBy("tier", F.desc("score"), "note_id").limit(max(cap * 8, 64))  # a page of candidates, not the table
-    ranked = top.withColumn("place", F.row_number().over(ONE().orderBy("tier", F.desc("score"), "note_id")).cast("bigint"))
-    best = F.first("score").over(ONE().orderBy("tier", F.desc("score"), "note_id"))
-    kept = ranked.withColumn("best", best).where(F.col("score") >= (floor or 0.0) * F.col("best")).drop("best")
-    kept = kept.withColumn("place", F.row_number().over(ONE().orderBy("place")).cast("bigint")).where(F.col("place") <= cap)
+    if floor:
+        first = tiered.agg(F.min_by("score", F.struct("tier", -F.col("score"), "note_id")).alias("best"))  # one row
+        tiered = tiered.crossJoin(F.broadcast(first)).where(F.col("score") >= floor * F.col("best")).drop("best")
+    top = tiered.orderBy("tier", F.desc("score"), "note_id").limit(cap)
+    kept = top.withColumn("place", F.row_number().over(ONE().orderBy("tier", F.desc("score"), "note_id")).cast("bigint"))
     return kept.where(~F.col("note_id").isin(*seen)) if seen else kept
 
 

@@ -201,6 +201,15 @@ def test_absence_is_containment(spark):
     assert {r.note_id: (r.n_matches, r.samples) for r in got} == want and all(r.sample == (r.samples or [None])[0] for r in got)
 
 
+def test_floor_before_the_cap(spark):
+    """More hits of the first tier than a page of candidates, nearly all below the floor: the next tier's take their place."""
+    rows = [("named", 0, 100.0)] + [(f"low{i:03d}", 0, 1.0) for i in range(90)] + [("next", 1, 60.0), ("last", 2, 50.0)]
+    hits = spark.createDataFrame([(*r, False) for r in rows], "note_id string, tier int, score double, convergence boolean")
+    assert [(r.note_id, r.place) for r in kb.page(hits, 3, K.HOOK_FLOOR).orderBy("place").collect()] == [("named", 1), ("next", 2), ("last", 3)]
+    assert not kb.implant(kb.page(hits, 3, K.HOOK_FLOOR)).first()["implant"]
+    assert kb.page(hits.limit(0), 3, K.HOOK_FLOOR).count() == 0
+
+
 def test_write(spark):
     nb = notebook(spark)
     ok = nb.write({"type": "flow", "title": "quite different words", "identityAliases": ["x"], "steps": [{"path": "a", "role": "r"}]})
