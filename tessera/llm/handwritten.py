@@ -125,7 +125,7 @@ def path_patterns(path: str) -> list[str]:
         rest = dirs[n + 1 :]
         if d in _PACKAGED:
             # a package tree holds libraries by name: <tree>/<library>/<file>
-            if rest and (d in ("node_modules", "bower_components", "jspm_packages") or not re.search(r"\d", rest[0]) and _library_file(rest, name)):
+            if rest and (d in ("node_modules", "bower_components", "jspm_packages") or not rest[0][:1].isdigit() and _library_file(rest, name)):
                 out.append(f"tree:{d}")
         if d in _STUBDIRS:
             out.append(f"dir:{d}")
@@ -148,7 +148,28 @@ def _library_file(rest: list[str], name: str) -> bool:
     return len(rest) >= 1 and (stem in ("index", "core", "main", "mod", "lib", "__init__", rest[0].lower()) or len(rest) >= 2 and rest[1] in ("src", "lib", "dist"))
 
 
-_FEATURES = pa.schema([("file_id", pa.string()), ("evidence", pa.list_(pa.string())), ("patterns", pa.list_(pa.string())), ("digest", pa.string())])
+#: Files that come with a library of its own.
+_MANIFEST = re.compile(r"(?:package\.json|bower\.json|component\.json|go\.mod|cargo\.toml|setup\.(?:py|cfg)|pyproject\.toml|pom\.xml|metadata|record|(?:un)?licen[sc]e(?:[.-][\w.-]+)?|copying(?:\.\w+)?|notice(?:\.\w+)?)$", re.IGNORECASE)
+_RELEASE = re.compile(r"[A-Za-z].*[-_@]v?\d+(?:\.\d+)+")
+
+
+def library(path: str) -> tuple[str | None, str | None, bool]:
+    """(tree, directory of the library, whether the path alone shows one) of a path in a package tree.
+
+    The directory is that below the tree, below the owner of a scoped name, or below host and owner. A manifest or licence
+    in it, a release in its name or a host above it shows a library.
+    """
+    *dirs, name = path.split("/")
+    for n, d in enumerate(dirs[:-1]):
+        if d in _PACKAGED:
+            host = "." in dirs[n + 1] and not _RELEASE.fullmatch(dirs[n + 1])
+            end = min(len(dirs), n + 2 + (2 if host else 1 if dirs[n + 1].startswith("@") else 0))
+            return d, "/".join(dirs[:end]), host or bool(_RELEASE.fullmatch(dirs[end - 1])) or (end == len(dirs) and _MANIFEST.match(name) is not None)
+    return None, None, False
+
+
+_FEATURES = pa.schema([("file_id", pa.string()), ("evidence", pa.list_(pa.string())), ("patterns", pa.list_(pa.string())), ("digest", pa.string()), ("tree", pa.string()), ("library", pa.string()), ("shows", pa.bool_())])
+_FEATURES_DDL = "file_id string, evidence array<string>, patterns array<string>, digest string, tree string, library string, shows boolean"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +178,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fid, text in zip(batch.column("file_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             path = fid.partition("/")[2]
             digest = blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if text and len(text) > 200 else None
-            rows.append((fid, content_evidence(path, text), path_patterns(path), digest))
+            rows.append((fid, content_evidence(path, text), path_patterns(path), digest, *library(path)))
         cols = list(zip(*rows, strict=True)) or [()] * len(_FEATURES)
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, _FEATURES, strict=True)], schema=_FEATURES)
 
@@ -222,12 +243,12 @@ def judge(docs: DataFrame, files: DataFrame) -> DataFrame:
     counts (more than 1000 characters a line).
     """
     texts = docs.where("file_id is not null").select("file_id", "text")
-    seen = texts.mapInArrow(_features, "file_id string, evidence array<string>, patterns array<string>, digest string")
+    seen = texts.mapInArrow(_features, _FEATURES_DDL)
     stored = files.where("file_id is not null").groupBy("file_id").agg(F.max(F.try_divide(F.col("token_estimate") * 4, F.col("line_count"))).alias("width"))
     long_lines = F.col("file_id").rlike(r"\.(?:[mc]?jsx?|css)$") & (F.col("width") > 1000)
     bare = stored.join(texts.select("file_id"), "file_id", "left_anti").select("file_id", F.when(long_lines, F.array(F.lit("minified"))).otherwise(F.array()).cast("array<string>").alias("evidence"), "width")
-    unread = bare.select("file_id", F.lit(None).cast("string").alias("text")).mapInArrow(_features, "file_id string, evidence array<string>, patterns array<string>, digest string")
-    unread = unread.drop("evidence").join(bare.select("file_id", "evidence"), "file_id").select("file_id", "evidence", "patterns", "digest")
+    unread = bare.select("file_id", F.lit(None).cast("string").alias("text")).mapInArrow(_features, _FEATURES_DDL)
+    unread = unread.drop("evidence").join(bare.select("file_id", "evidence"), "file_id").select(*_FEATURES.names)
     features = cut(seen.unionByName(unread).withColumn("repo", F.substring_index("file_id", "/", 1)))
 
     # copies of one text under several repositories are third-party; a text that is known as vendored is so everywhere
@@ -241,6 +262,10 @@ def judge(docs: DataFrame, files: DataFrame) -> DataFrame:
         published = published | F.col("pattern").like(p)
     rules = mined.where(published | ((F.col("support") >= SUPPORT) & (F.col("precision") >= PRECISION))).select("pattern")
     by_rule = features.select("file_id", F.explode("patterns").alias("pattern")).join(rules, "pattern").select("file_id", F.col("pattern").alias("reason"))
+    # a package tree is judged by library: what shows one of its files as third-party speaks for all files of its directory
+    in_tree = with_copies.where("library is not null").select("file_id", "repo", "library", F.concat(F.lit("tree:"), "tree").alias("reason"), (F.col("shows") | F.array_contains("evidence", "vendored") | F.coalesce("vendored", F.lit(False)) | F.coalesce("spread", F.lit(False))).alias("shows"))
+    by_tree = in_tree.join(in_tree.where("shows").select("repo", "library").distinct(), ["repo", "library"], "left_semi").select("file_id", "reason")
+    by_rule = by_rule.unionByName(by_tree)
     by_text = with_copies.select("file_id", F.explode(F.array_union("evidence", F.when(F.coalesce("vendored", F.lit(False)), F.array(F.lit("vendored"))).otherwise(F.array().cast("array<string>")))).alias("reason"))
 
     # declared: a deeper attribute file wins over a higher one, a later line over an earlier one

@@ -210,6 +210,16 @@ def test_path_patterns():
     assert "suffix:pb2" in p("a_pb2.py") and "name:versioned" in p("x/lib-1.2.3.js") and "dir:__generated__" in p("__generated__/a.ts")
 
 
+def test_libraries_of_package_trees(spark):
+    same = "export function debounce(f, wait) {\n  return later(f, wait);\n}\n" * 6
+    rows = [("a/third_party/lodash/debounce.js", same), ("b/web/far.js", same), ("a/third_party/lodash/deep/other.js", "x"), ("a/vendor/github.com/pkg/errors/stack.go", "package errors"), ("a/third_party/zlib-1.3/inflate.js", "x"), ("a/vendor/base64/index.js", "x")]
+    rows += [("a/vendor/left/package.json", "{}"), ("a/vendor/left/pad.js", "x"), ("a/external/billing/invoice.js", "const own = 1"), ("a/src/lodash/other.js", "x")]
+    docs = spark.createDataFrame(rows, "file_id string, text string")
+    files = spark.createDataFrame([], "file_id string, token_estimate int, line_count int")
+    got = {r.file_id for r in handwritten.judge(docs, files).collect()}
+    assert got == {f for f, _ in rows} - {"b/web/far.js", "a/external/billing/invoice.js", "a/src/lodash/other.js"} | (got & {"b/web/far.js"})
+
+
 def test_attributes_precedence(spark):
     rows = [
         (1, "*.gen.ts linguist-generated\nlib/** linguist-vendored\n# c\nlib/own/** -linguist-vendored\n", "r/.gitattributes"), (2, "*.ts linguist-generated=false\nbig.css linguist-generated=true\n", "r/sub/.gitattributes"),
