@@ -1,25 +1,29 @@
 """Deeply nested records as flat tables (Merkle subtree identities).
 
-Every object and array of a JSON record is canonicalised and hashed bottom-up. Three tables come out:
+Every object and array of a JSON record is canonicalised and hashed bottom-up: 128 bits over its type, its keys in
+order and its children, each with its length, so that no two values share an identity by their spelling. Identical
+objects are stored once, however many records hold them; every occurrence stays in the parent-child bridges with
+its place in the parent. A record is put together again by walking the bridges from its root.
 
-* ``roots(record_id, kind, root_hash)``: one row per occurrence of a record,
-* ``bridges(parent_hash, ordinal, key, child_hash, value, vtype)``: the children of each *distinct* object or
-  array, in their order, a child being another identity or an inlined scalar.
+``merkle_tables`` gives all of it: ``roots(record_id, kind, root_hash, root_type)`` and
+``bridges(parent_hash, ordinal, key, child_hash, value, vtype)``, the children of each distinct object or array, scalars inlined.
 
-Identical objects are stored once, however many records hold them; a record is put together again by walking
-the bridges from its root. Paths are asked for as transitions ``(state, parent type, key) -> state``, so a walk
-only ever reads the bridges on its way.
+``flat_items`` asks for some paths only (``ASKED``), and what is asked for goes into the decomposition as a column list goes into
+a scan: of an object only the bridges that lead on are kept, arrays count as places of their object's bridges.
+Occurrences are walked by doubling, so records nested n objects deep take about log2(n) joins, not n.
 
 Defined cases: null, empty and non-JSON texts (also ``NaN``, a byte-order mark, trailing text) give no root and
 no bridge; of a repeated key the last value counts; repeated records share one root; a lone surrogate escape
-becomes U+FFFD; empty objects and arrays have an identity and no children; an empty table gives empty tables.
+becomes U+FFFD; empty objects and arrays have an identity and no children; records may be nested to any depth; an empty
+table gives empty tables.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
+import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from typing import Any
 
 import pyarrow as pa
@@ -28,35 +32,100 @@ from pyspark.sql import functions as F
 
 from tessera.session import cut
 
-NODE_SCHEMA = "record_id bigint, kind string, depth int, parent_hash string, ordinal int, key string, child_hash string, value string, vtype string"
-_ARROW = pa.schema([("record_id", pa.int64()), ("kind", pa.string()), ("depth", pa.int32()), ("parent_hash", pa.string()), ("ordinal", pa.int32()), ("key", pa.string()), ("child_hash", pa.string()), ("value", pa.string()), ("vtype", pa.string())])
-
-#: (kind, state, container type, key or "*") -> next state. States in capitals hold what is asked for.
-TRANSITIONS = {
-    "hook": [("root", "object", "tool_input", "input"), ("root", "object", "postToolUse", "post"), ("post", "object", "tool_input", "input"), ("post", "array", "*", "post_item"), ("post_item", "object", "tool_input", "input"), ("input", "object", "command", "COMMAND"), ("COMMAND", "array", "*", "COMMAND_ITEM")],
-    "transcript": [("root", "object", "message", "message"), ("message", "object", "content", "blocks"), ("blocks", "array", "*", "block"), ("block", "object", "type", "TYPE"), ("block", "object", "content", "blocks")],
-    "rollout": [("root", "object", "payload", "payload"), ("payload", "object", "output", "items"), ("items", "array", "*", "item"), ("item", "object", "text", "TEXT"), ("item", "object", "content", "items")],
+#: What is asked for: kind -> state of an object -> key -> (shapes, state of the objects there). Shapes: a string, strings of an
+#: array, one object, the objects of an array.
+ASKED: dict[str, dict[str, dict[str, tuple[str, str]]]] = {
+    "hook": {"root": {"tool_input": ("object", "input"), "postToolUse": ("object array", "post")}, "post": {"tool_input": ("object", "input")}, "input": {"command": ("string strings", "")}},
+    "transcript": {"root": {"message": ("object", "message")}, "message": {"content": ("array", "block")}, "block": {"type": ("string", ""), "content": ("array", "block")}},
+    "rollout": {"root": {"payload": ("object", "payload")}, "payload": {"output": ("array", "item")}, "item": {"text": ("string", ""), "content": ("array", "item")}},
 }
 #: Paths whose string value, if it holds a JSON array, is read as that array.
 EMBEDDED = {"rollout": ("payload", "output")}
 
 
+class _Number(str):
+    """A JSON number by its spelling, so none is too long or loses digits."""
+
+
 def _no_constant(name: str) -> None:
     raise ValueError(name)
 
 
 def parse_strict(text: str | None) -> tuple[bool, Any]:
-    """Whether a text is JSON as a whole, and its value. Numbers stay text, so none is too long or loses digits."""
+    """Whether a text is JSON as a whole, and its value; nested too deeply for the recursive parser, it is read with a stack."""
     if not text:
         return False, None
     try:
-        return True, json.loads(text, parse_constant=_no_constant, parse_int=_Number, parse_float=_Number)
-    except (ValueError, RecursionError):
+        try:
+            return True, json.loads(text, parse_constant=_no_constant, parse_int=_Number, parse_float=_Number)
+        except RecursionError:
+            return True, _parse_deep(text)
+    except ValueError:
         return False, None
 
 
-class _Number(str):
-    """A JSON number by its spelling."""
+_BLANK = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def _parse_deep(text: str) -> Any:
+    """The value of a JSON text by an explicit stack of (container, key that waits for its value)."""
+    skip = lambda at: _BLANK.match(text, at).end()
+
+    def key(at: int) -> tuple[str, int]:
+        if text[at : at + 1] != '"':
+            raise ValueError("a key is a string")
+        name, at = json.decoder.scanstring(text, at + 1, True)
+        at = skip(at)
+        if text[at : at + 1] != ":":
+            raise ValueError("no colon")
+        return name, skip(at + 1)
+
+    stack: list[tuple[Any, str | None]] = []
+    at = skip(0)
+    while True:
+        c = text[at : at + 1]
+        if c and c in "{[":
+            value: Any = {} if c == "{" else []
+            at = skip(at + 1)
+            if text[at : at + 1] != ("}" if c == "{" else "]"):
+                name = None
+                if c == "{":
+                    name, at = key(at)
+                stack.append((value, name))
+                continue
+            at += 1
+        elif c == '"':
+            value, at = json.decoder.scanstring(text, at + 1, True)
+        elif word := next((w for w in _WORDS if text.startswith(w, at)), None):
+            value, at = _WORDS[word], at + len(word)
+        elif m := _NUMBER.match(text, at):
+            value, at = _Number(m.group()), m.end()
+        else:
+            raise ValueError("no value")
+        while stack:
+            box, name = stack[-1]
+            if name is None:
+                box.append(value)
+            else:
+                box[name] = value
+            at = skip(at)
+            c = text[at : at + 1]
+            if c == ",":
+                at = skip(at + 1)
+                if name is not None:
+                    name, at = key(at)
+                    stack[-1] = (box, name)
+                break
+            if c != ("]" if name is None else "}"):
+                raise ValueError("not closed")
+            stack.pop()
+            value, at = box, at + 1
+        else:
+            if skip(at) != len(text):
+                raise ValueError("text behind the value")
+            return value
 
 
 def _clean(s: str) -> str:
@@ -67,101 +136,169 @@ def _clean(s: str) -> str:
         return s.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def _digest(parts: list[str]) -> str:
-    return hashlib.blake2b("\x1f".join(parts).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
-
-
-def decompose(value: Any, seen: set[str], rows: list[tuple], embedded: tuple[str, ...] | None, path: tuple[str, ...] = ()) -> tuple[str | None, str | None, str, int]:
-    """Hash one value bottom-up: (identity, scalar, type, height). Children of identities not in ``seen`` go to ``rows``."""
-    if isinstance(value, str) and not isinstance(value, _Number) and embedded == path:
-        ok, inner = parse_strict(value)
-        if ok and isinstance(inner, list):
-            value = inner
-    if isinstance(value, dict):
-        vtype, items = "object", [(k, value[k]) for k in sorted(value)]
-    elif isinstance(value, list):
-        vtype, items = "array", [(None, v) for v in value]
-    elif isinstance(value, _Number):
-        return None, str(value), "number", 0
-    elif isinstance(value, str):
-        return None, _clean(value), "string", 0
-    elif value is None:
-        return None, None, "null", 0
-    else:
-        return None, "true" if value else "false", "boolean", 0
-    children, parts, height = [], [vtype], 0
-    for n, (k, v) in enumerate(items):
-        child, scalar, kind, below = decompose(v, seen, rows, embedded, (*path, k) if k is not None else (*path, "*"))
-        height = max(height, below)
-        parts += [k or "", kind, child or scalar or ""]
-        children.append((n, None if k is None else _clean(k), child, scalar, kind))
-    me = _digest(parts)
-    if me not in seen:
-        seen.add(me)
-        rows += [(me, n, k, child, scalar, kind) for n, k, child, scalar, kind in children]
-    return me, None, vtype, height + 1
-
-
-def _decompose_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _form(v: Any, known: dict[int, bytes]) -> bytes:
+    """One child for its parent's hash: a tag, and its identity or its text behind the text's length."""
+    if isinstance(v, (dict, list)):
+        return b"c" + known[id(v)]
+    if isinstance(v, str):
+        b = v.encode("utf-8", "surrogatepass")
+        return b"%s%d:%s" % (b"n" if isinstance(v, _Number) else b"s", len(b), b)
+    return b"z" if v is None else b"t" if v else b"f"
+
+
+def identities(root: Any) -> tuple[list[Any], dict[int, bytes]]:
+    """The containers of a value, parents first, and the identity of each by its ``id()``."""
+    order = [root] if isinstance(root, (dict, list)) else []
+    for c in order:
+        order.extend(v for v in (c.values() if isinstance(c, dict) else c) if isinstance(v, (dict, list)))
+    known: dict[int, bytes] = {}
+    for c in reversed(order):
+        if isinstance(c, dict):
+            parts = [b"o"]
+            for k in sorted(c):
+                kb = k.encode("utf-8", "surrogatepass")
+                parts += (b"%d:" % len(kb), kb, _form(c[k], known))
+        else:
+            parts = [b"a", *(_form(v, known) for v in c)]
+        known[id(c)] = blake2b(b"".join(parts), digest_size=16).digest()
+    return order, known
+
+
+def _value(kind: str | None, raw: str | None) -> tuple[bool, Any]:
+    ok, value = parse_strict(raw)
+    if ok and kind in EMBEDDED:
+        *path, last = EMBEDDED[kind]
+        at = value
+        for k in path:
+            at = at.get(k) if isinstance(at, dict) else None
+        inner = at.get(last) if isinstance(at, dict) else None
+        if isinstance(inner, str) and not isinstance(inner, _Number):
+            found, inner = parse_strict(inner)
+            if found and isinstance(inner, list):
+                at[last] = inner
+    return ok, value
+
+
+def _scalar(v: Any) -> tuple[str | None, str]:
+    if isinstance(v, _Number):
+        return str(v), "number"
+    if isinstance(v, str):
+        return _clean(v), "string"
+    return (None, "null") if v is None else ("true" if v else "false", "boolean")
+
+
+def _records(batch: pa.RecordBatch) -> Iterator[tuple[int, str, Any]]:
+    for rid, kind, raw in zip(*(batch.column(c).to_pylist() for c in ("record_id", "kind", "raw")), strict=True):
+        ok, value = _value(kind, raw)
+        if ok:
+            yield rid, kind, value
+
+
+def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
+
+
+_NODES = pa.schema([("record_id", pa.int64()), ("kind", pa.string()), ("parent_hash", pa.binary()), ("ordinal", pa.int32()), ("key", pa.string()), ("child_hash", pa.binary()), ("value", pa.string()), ("vtype", pa.string())])
+_NODES_DDL = "record_id bigint, kind string, parent_hash binary, ordinal int, key string, child_hash binary, value string, vtype string"
+
+
+def _decompose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per record (no parent), and the bridges of each identity that is new to the batch."""
+    kind_of = lambda v: "object" if isinstance(v, dict) else "array"
     for batch in batches:
-        seen: set[str] = set()
+        seen: set[bytes] = set()
         out: list[tuple] = []
-        for rid, kind, raw in zip(*(batch.column(c).to_pylist() for c in ("record_id", "kind", "raw")), strict=True):
-            ok, value = parse_strict(raw)
-            if not ok:
-                continue
-            rows: list[tuple] = []
-            root, scalar, vtype, height = decompose(value, seen, rows, EMBEDDED.get(kind))
-            out.append((rid, kind, height, None, None, None, root, scalar, vtype))
-            out += [(None, None, None, *r) for r in rows]
-        cols = list(zip(*out, strict=True)) or [()] * len(_ARROW)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, _ARROW, strict=True)], schema=_ARROW)
+        for rid, kind, value in _records(batch):
+            order, known = identities(value)
+            out.append((rid, kind, None, None, None, known[id(value)], None, kind_of(value)) if order else (rid, kind, None, None, None, None, *_scalar(value)))
+            for c in order:
+                me = known[id(c)]
+                if me not in seen:
+                    seen.add(me)
+                    for n, (k, v) in enumerate(sorted(c.items()) if isinstance(c, dict) else ((None, v) for v in c)):
+                        k = None if k is None else _clean(k)
+                        out.append((None, None, me, n, k, known[id(v)], None, kind_of(v)) if isinstance(v, (dict, list)) else (None, None, me, n, k, None, *_scalar(v)))
+        yield _columns(out, _NODES)
 
 
 def merkle_tables(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(roots, bridges) of ``record_id, kind, raw``. The parse runs once; identities are made distinct by their hash."""
-    nodes = cut(records.select(F.col("record_id").cast("bigint"), "kind", "raw").mapInArrow(_decompose_batches, NODE_SCHEMA))
-    roots = nodes.where("parent_hash is null").select("record_id", "kind", F.col("child_hash").alias("root_hash"), F.col("vtype").alias("root_type"), "depth").distinct()
+    nodes = cut(records.select(F.col("record_id").cast("bigint"), "kind", "raw").mapInArrow(_decompose, _NODES_DDL))
+    roots = nodes.where("parent_hash is null").select("record_id", "kind", F.col("child_hash").alias("root_hash"), F.col("vtype").alias("root_type")).distinct()
     bridges = nodes.where("parent_hash is not null").select("parent_hash", "ordinal", "key", "child_hash", "value", "vtype").dropDuplicates(["parent_hash", "ordinal"])
     return roots, bridges
 
 
-def walk(roots: DataFrame, bridges: DataFrame, transitions: dict[str, list[tuple]] = TRANSITIONS) -> DataFrame:
-    """Leaves ``(record_id, item_path, value)`` reached by the transitions, by a level-wise join down the bridges.
-
-    Distinct roots are walked, not records; the occurrences come back by one join at the end. The number of
-    levels is bounded by the greatest height of any record, one number read at the driver.
-    """
-    spark = roots.sparkSession
-    steps = spark.createDataFrame([(k, s, t, key, n) for k, l in transitions.items() for s, t, key, n in l], "kind string, state string, vtype string, step_key string, next_state string")
-    keys = sorted({key for l in transitions.values() for _, _, key, _ in l})
-    used = bridges.where(F.col("key").isNull() | F.col("key").isin(keys)).withColumn("step_key", F.coalesce("key", F.lit("*")))
-    levels = roots.agg(F.max("depth")).first()[0] or 0
-    front = roots.where("root_hash is not null").select("kind", "root_hash", F.col("root_hash").alias("at"), F.lit("root").alias("state"), F.col("root_type").alias("vtype"), F.lit("").alias("item_path")).distinct()
-    found = None
-    for _ in range(levels):
-        down = cut(_down(front, steps, used))
-        hits = down.where("vtype = 'string' and next_state rlike '^[A-Z_]+$'").select("kind", "root_hash", "item_path", "value")
-        found = hits if found is None else found.unionByName(hits)
-        front = down.where("at is not null").select("kind", "root_hash", "at", F.col("next_state").alias("state"), "vtype", "item_path")
-        if front.isEmpty():
-            break
-    if found is None:
-        return spark.createDataFrame([], "record_id bigint, item_path string, value string")
-    return roots.select("record_id", "kind", "root_hash").join(found, ["kind", "root_hash"]).select("record_id", "item_path", "value").distinct()
-
-
-def _down(front: DataFrame, steps: DataFrame, used: DataFrame) -> DataFrame:
-    """One level: every bridge of the front's identities that a transition allows."""
-    wanted = front.join(F.broadcast(steps), ["kind", "state", "vtype"]).withColumnRenamed("at", "parent_hash").drop("state", "vtype")
-    step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("ordinal"), F.lit("]"))).when(F.col("item_path") == "", F.col("key")).otherwise(F.concat(F.lit("."), F.col("key")))
-    return wanted.join(used, ["parent_hash", "step_key"]).select("kind", "root_hash", F.col("child_hash").alias("at"), "next_state", "vtype", F.concat("item_path", step).alias("item_path"), "value")
+_STORE = pa.schema([
+    ("record_id", pa.int64()), ("hops", pa.int32()), ("hash", pa.binary()), ("state", pa.string()),
+    ("links", pa.list_(pa.struct([("step", pa.string()), ("child", pa.binary()), ("state", pa.string())]))), ("leaves", pa.list_(pa.struct([("step", pa.string()), ("value", pa.string())]))),
+])
+_STORE_DDL = "record_id bigint, hops int, hash binary, state string, links array<struct<step:string,child:binary,state:string>>, leaves array<struct<step:string,value:string>>"
+
+
+def _decompose_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per record (root, its state, how many bridges lie below it at most), and one per identity and state new to the batch."""
+    for batch in batches:
+        seen: set[tuple[bytes, str]] = set()
+        out: list[tuple] = []
+        for rid, kind, value in _records(batch):
+            asked = ASKED.get(kind)
+            if asked is None or not isinstance(value, dict):
+                continue
+            _, known = identities(value)
+            todo, hops = [(value, "root", 0)], 0
+            for at, state, depth in todo:
+                hops = max(hops, depth)
+                links, leaves = [], []
+                for key, (shapes, below) in asked[state].items():
+                    v = at.get(key)
+                    if isinstance(v, dict):
+                        places = [(key, v)] if "object" in shapes else []
+                    elif isinstance(v, list):
+                        places = [(f"{key}[{n}]", x) for n, x in enumerate(v)] if "array" in shapes or "strings" in shapes else []
+                    else:
+                        places = [(key, v)] if "string" in shapes.split() else []
+                    for step, x in places:
+                        if isinstance(x, dict) and below:
+                            links.append({"step": step, "child": known[id(x)], "state": f"{kind}.{below}"})
+                            todo.append((x, below, depth + 1))
+                        elif isinstance(x, str) and not below and not isinstance(x, _Number):
+                            leaves.append({"step": step, "value": _clean(x)})
+                me = known[id(at)], f"{kind}.{state}"
+                if (links or leaves) and me not in seen:
+                    seen.add(me)
+                    out.append((None, None, *me, links, leaves))
+            out.append((rid, hops, known[id(value)], f"{kind}.root", None, None))
+        yield _columns(out, _STORE)
+
+
+def occurrences(roots: DataFrame, links: DataFrame, hops: int) -> DataFrame:
+    """``record_id, path, hash, state`` of every object on the asked paths, by doubling: after n joins, all objects less than 2^n bridges below their root."""
+    path = lambda a, b: F.when(F.col(a) == "", F.col(b)).otherwise(F.concat(a, F.lit("."), b))
+    found, jump, span = roots.withColumn("path", F.lit("")), links, 1
+    while span <= hops:
+        down = found.join(jump, ["hash", "state"]).select("record_id", path("path", "step").alias("path"), F.col("child").alias("hash"), F.col("child_state").alias("state"))
+        found = found.select("record_id", "path", "hash", "state").unionByName(down)
+        span *= 2
+        if span <= hops:
+            far = jump.select(F.col("hash").alias("child"), F.col("state").alias("child_state"), F.col("step").alias("far"), F.col("child").alias("far_child"), F.col("child_state").alias("far_state"))
+            jump = jump.join(far, ["child", "child_state"]).select("hash", "state", path("step", "far").alias("step"), F.col("far_child").alias("child"), F.col("far_state").alias("child_state"))
+            if span > 4:  # the plan doubles with each round
+                found, jump = cut(found), cut(jump)
+    return found
 
 
 def flat_items(records: DataFrame) -> DataFrame:
-    """Commands, block types and output texts of the records as ``(record_id, item_path, value)``."""
-    roots, bridges = merkle_tables(records)
-    return walk(roots, bridges)
+    """Commands, block types and output texts of the records as ``(record_id, item_path, value)``, distinct."""
+    rows = cut(records.select(F.col("record_id").cast("bigint"), "kind", "raw").mapInArrow(_decompose_asked, _STORE_DDL))
+    hops = rows.agg(F.max("hops")).first()[0] or 0  # one number
+    roots = rows.where("hops is not null").select("record_id", "hash", "state").distinct()
+    store = rows.where("hops is null").groupBy("hash", "state").agg(F.first(F.struct("links", "leaves")).alias("o"))
+    links = store.select("hash", "state", F.explode("o.links").alias("l")).select("hash", "state", "l.step", "l.child", F.col("l.state").alias("child_state"))
+    leaves = store.where("size(o.leaves) > 0").select("hash", "state", "o.leaves")
+    hits = occurrences(roots, links, hops).join(leaves, ["hash", "state"]).select("record_id", "path", F.explode("leaves").alias("x"))
+    return hits.select("record_id", F.when(F.col("path") == "", F.col("x.step")).otherwise(F.concat("path", F.lit("."), "x.step")).alias("item_path"), F.col("x.value").alias("value")).distinct()
 
 
 def sharing(records: DataFrame) -> DataFrame:

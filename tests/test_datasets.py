@@ -92,6 +92,75 @@ def test_nested_empty_and_sharing(spark):
     assert bridges.count() == 3  # b, c of the root, and one a for both
 
 
+def test_nested_identity_is_injective():
+    key = lambda s: nested.identities(nested.parse_strict(s)[1])
+    me = lambda s: (lambda o, k: k[id(o[0])])(*key(s))
+    texts = ['{"x":"1"}', '{"x":1}', '{"x":[1]}', '{"x":["1"]}', '{"x":null}', '{"x":""}', '{"x\\u001fy":"a"}', '{"x":"y\\u001fstring\\u001fa"}', '{"x":"y","z":"a"}', '{"x":{"y":"a"}}', '{"x":true}', '{"x":"true"}', '["x","1"]', '["x1"]', '{"":"x1"}', '{}', '[]', '[[]]', '{"x":"3:abc"}', '{"x3:abc":""}']
+    assert len({me(t) for t in texts}) == len(texts)
+    assert me('{"a":1,"b":[2]}') == me(' {"b": [2], "a":1}')
+
+
+def test_nested_separators_in_values(spark):
+    rows = [(1, "hook", '{"tool_input":{"command":"x","y":"z"}}'), (2, "hook", json.dumps({"tool_input": {"command": "x\x1fy\x1fstring\x1fz"}})), (3, "hook", json.dumps({"tool_input": {"command\x1fy": "q", "command": "r"}}))]
+    got = {tuple(x) for x in nested.flat_items(spark.createDataFrame(rows, "record_id bigint, kind string, raw string")).collect()}
+    assert got == {(1, "tool_input.command", "x"), (2, "tool_input.command", "x\x1fy\x1fstring\x1fz"), (3, "tool_input.command", "r")}
+
+
+def deep(n, leaf):
+    return '{"type":"t","content":[' * n + leaf + "]}" * n
+
+
+def test_nested_any_depth(spark):
+    """1,200 asked levels, 100,000 others; a tree of that depth that isn't closed is no JSON."""
+    rows = [
+        (1, "transcript", '{"message":{"content":[' + deep(1200, '{"type":"end"}') + "]}}"),
+        (2, "hook", '{"tool_input":{"command":"c","x":' + "[" * 100_000 + "]" * 100_000 + "}}"),
+        (3, "hook", '{"tool_input":{"command":"d","x":' + '{"a":' * 100_000 + "1.50" + "}" * 100_000 + "}}"),
+        (4, "hook", '{"tool_input":{"command":"e","x":' + "[" * 100_000 + "]" * 99_999 + "}}"),
+        (5, "rollout", json.dumps({"payload": {"output": "[" * 100_000 + "]" * 100_000}})),
+    ]
+    df = spark.createDataFrame(rows, "record_id bigint, kind string, raw string")
+    got = {tuple(x) for x in nested.flat_items(df).collect()}
+    want = {(1, "message.content[0]" + ".content[0]" * n + ".type", "t" if n < 1200 else "end") for n in range(1201)}
+    assert got == want | {(2, "tool_input.command", "c"), (3, "tool_input.command", "d")}
+    assert nested.merkle_tables(df)[0].count() == 4
+
+
+@pytest.mark.parametrize("text", ["[]", " [ 1 , -0.5e+3, {} ] ", '{"a":[true,false,null,"\\u00e9\\ud83d\\ude00"],"a":2,"":{"b":[[]]}}', "1", '"x"', "", " ", "[1,]", "[1 2]", '{"a"}', '{"a":}', '{"a":1,}', "{1:2}", "01", "1.", "-", "+1", "tru", "nulll", '"a\nb"', "[", "]", '{"a":[1}', "NaN", "[Infinity]", "\ufeff1", "[1]x"])
+def test_deep_parser_agrees(text):
+    try:
+        want = json.loads(text, parse_constant=nested._no_constant, parse_int=str, parse_float=str)
+    except ValueError:
+        with pytest.raises(ValueError):
+            nested._parse_deep(text)
+    else:
+        assert nested._parse_deep(text) == want
+
+
+def rebuilt(bridges, h, vtype):
+    """The value of an identity, put together from the bridges."""
+    rows = sorted(bridges.get(h, []), key=lambda r: r.ordinal)
+    item = lambda r: rebuilt(bridges, r.child_hash, r.vtype) if r.child_hash else {"null": None, "true": True, "false": False}.get(r.value if r.vtype == "boolean" else r.vtype, r.value)
+    return {r.key: item(r) for r in rows} if vtype == "object" else [item(r) for r in rows]
+
+
+def test_nested_round_trip(spark):
+    r = random.Random(11)
+
+    def value(d):
+        k = r.random()
+        if d > 5 or k < 0.3:
+            return r.choice([None, True, False, "", "x", "null", "1\x1f"])
+        return [value(d + 1) for _ in range(r.randrange(4))] if k < 0.6 else {r.choice("abcd"): value(d + 1) for _ in range(r.randrange(4))}
+
+    values = {n: {"v": value(0)} for n in range(300)}
+    roots, bridges = nested.merkle_tables(spark.createDataFrame([(n, "odd", json.dumps(v)) for n, v in values.items()], "record_id bigint, kind string, raw string"))
+    by_parent = {}
+    for b in bridges.collect():
+        by_parent.setdefault(b.parent_hash, []).append(b)
+    assert {x.record_id: rebuilt(by_parent, x.root_hash, x.root_type) for x in roots.collect()} == values
+
+
 def tables(spark, edges, anchors=(), files=(), symbols=(), versions=()):
     e = spark.createDataFrame(list(edges), "edge_id bigint, src string, dst string, type string, seen_at timestamp, key string")
     a = spark.createDataFrame(list(anchors), "anchor_id bigint, repo string, path string, hash string, verified_at timestamp")
