@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 
 from tessera.session import cut
 
-#: What is asked for: kind -> state of an object -> key -> (shapes, state of the objects there). Shapes: a string, strings of an
-#: array, one object, the objects of an array.
+#: What is asked for: kind -> state of an object -> path of keys in it -> (shapes, state of the objects there). Shapes: a string,
+#: strings of an array, one object, the objects of an array. Objects on the way of a path have one way on and need no bridge of their own.
 ASKED: dict[str, dict[str, dict[str, tuple[str, str]]]] = {
-    "hook": {"root": {"tool_input": ("object", "input"), "postToolUse": ("object array", "post")}, "post": {"tool_input": ("object", "input")}, "input": {"command": ("string strings", "")}},
-    "transcript": {"root": {"message": ("object", "message")}, "message": {"content": ("array", "block")}, "block": {"type": ("string", ""), "content": ("array", "block")}},
-    "rollout": {"root": {"payload": ("object", "payload")}, "payload": {"output": ("array", "item")}, "item": {"text": ("string", ""), "content": ("array", "item")}},
+    "hook": {"root": {"tool_input.command": ("string strings", ""), "postToolUse": ("object array", "post")}, "post": {"tool_input.command": ("string strings", "")}},
+    "transcript": {"root": {"message.content": ("array", "block")}, "block": {"type": ("string", ""), "content": ("array", "block")}},
+    "rollout": {"root": {"payload.output": ("array", "item")}, "item": {"text": ("string", ""), "content": ("array", "item")}},
 }
 #: Paths whose string value, if it holds a JSON array, is read as that array.
 EMBEDDED = {"rollout": ("payload", "output")}
@@ -252,7 +252,9 @@ def _decompose_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 hops = max(hops, depth)
                 links, leaves = [], []
                 for key, (shapes, below) in asked[state].items():
-                    v = at.get(key)
+                    v = at
+                    for k in key.split("."):
+                        v = v.get(k) if isinstance(v, dict) else None
                     if isinstance(v, dict):
                         places = [(key, v)] if "object" in shapes else []
                     elif isinstance(v, list):
@@ -293,8 +295,8 @@ def flat_items(records: DataFrame) -> DataFrame:
     """Commands, block types and output texts of the records as ``(record_id, item_path, value)``, distinct."""
     rows = cut(records.select(F.col("record_id").cast("bigint"), "kind", "raw").mapInArrow(_decompose_asked, _STORE_DDL))
     hops = rows.agg(F.max("hops")).first()[0] or 0  # one number
-    roots = rows.where("hops is not null").select("record_id", "hash", "state").distinct()
-    store = rows.where("hops is null").groupBy("hash", "state").agg(F.first(F.struct("links", "leaves")).alias("o"))
+    roots = rows.where("hops is not null").select("record_id", "hash", "state")
+    store = cut(rows.where("hops is null").groupBy("hash", "state").agg(F.first(F.struct("links", "leaves")).alias("o")))
     links = store.select("hash", "state", F.explode("o.links").alias("l")).select("hash", "state", "l.step", "l.child", F.col("l.state").alias("child_state"))
     leaves = store.where("size(o.leaves) > 0").select("hash", "state", "o.leaves")
     hits = occurrences(roots, links, hops).join(leaves, ["hash", "state"]).select("record_id", "path", F.explode("leaves").alias("x"))
