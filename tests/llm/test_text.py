@@ -204,10 +204,47 @@ def test_content_evidence(path, text, want):
 
 
 def test_path_patterns():
-    p = handwritten.path_patterns
-    assert "tree:third_party" in p("m/third_party/lib/index.js") and "tree:vendor" in p("vendor/lib/lib.go")
-    assert not [x for x in p("apps/vendor/11c/src/a.py") if x.startswith("tree")] and not [x for x in p("src/vendor/ledger.ts") if x.startswith("tree")]
-    assert "suffix:pb2" in p("a_pb2.py") and "name:versioned" in p("x/lib-1.2.3.js") and "dir:__generated__" in p("__generated__/a.ts")
+    assert handwritten.path_patterns("m/gen/gen/v2/a_pb2.py") == ["**/m/**", "**/gen/**", "*_pb2.*"] and handwritten.path_patterns("app-0a1b2c3d4e.js") == ["*[.-]<hash>.*"] and handwritten.path_patterns("") == []
+    assert handwritten.library("m/third_party/lib/index.js")[2] and handwritten.library("vendor/lib/lib.go")[2]
+    assert not handwritten.library("apps/vendor/11c/src/a.py")[2] and not handwritten.library("src/vendor/ledger.ts")[2]
+
+
+def test_repeated_forms():
+    assert handwritten.repeats_forms("".join(f"public String get{c}() {{ return {c.lower()}; }}\n" for c in "ABCDEFGH"))
+    assert not handwritten.repeats_forms(HAND) and not handwritten.repeats_forms(None) and not handwritten.repeats_forms("x = 1\n" * 7)
+
+
+def own(n):
+    """A text of its own that a person may have written."""
+    return HAND.replace("load", f"load{n}") + f"// {n}\n" + "\n".join(f"const k{n}x{i} = {'f(' * (i % 5 + 1)}{n}{')' * (i % 5 + 1)};" for i in range(4))
+
+
+def test_patterns_mined_from_declared_repositories(spark):
+    """Three repositories declare what lies under stubs/ as generated; a fourth without attribute files gets the rule, one that takes the kind back doesn't."""
+    rows = [(n, "stubs/** linguist-generated\n", f"r{n}/.gitattributes") for n in range(3)]
+    rows += [(100 * n + i, own(100 * n + i), f"r{n}/stubs/f{i}.ts") for n in range(3) for i in range(60)]
+    rows += [(900 + i, own(900 + i), f"r{i % 4}/src/g{i}.ts") for i in range(40)]
+    rows += [(1000, own(1000), "r9/lib/stubs/a.ts"), (1001, own(1001), "r8/stubs/b.ts"), (1002, "*.ts -linguist-generated\n", "r8/.gitattributes"), (1003, own(1003), "r7/stubs/c.ts"), (1004, "*.ts -linguist-vendored\n*.ts !linguist-generated\n", "r7/.gitattributes")]
+    files = spark.createDataFrame([], "file_id string, line_count int, token_estimate int")
+    got = {r.file_id: r.reasons for r in handwritten.judge(docs(spark, rows), files).collect()}
+    assert got["r9/lib/stubs/a.ts"] == ["path:**/stubs/**"] and got["r7/stubs/c.ts"] == ["path:**/stubs/**"] and "r8/stubs/b.ts" not in got
+    assert all(got[f"r{n}/stubs/f{i}.ts"] == ["declared:generated"] for n in range(3) for i in range(60)) and len(got) == 182
+
+
+def test_patterns_mined_from_evidence(spark):
+    """A suffix whose files mostly carry a header holds for a file without one, unless that file shows no sign and support is small."""
+    form = "".join(f"export const F{i}: number = {i};\n" for i in range(20))
+    rows = [(n, "// @generated by tool\n" + own(n), f"r{n % 4}/a/b{n}_stub.ts") for n in range(19)] + [(50, form, "s/x_stub.ts"), (51, own(51), "s/y_stub.ts"), (52, form, "s/x_plain.ts")]
+    files = spark.createDataFrame([], "file_id string, line_count int, token_estimate int")
+    got = {r.file_id: r.reasons for r in handwritten.judge(docs(spark, rows), files).collect()}
+    assert got["s/x_stub.ts"] == ["path:*_stub.*"] and "s/y_stub.ts" not in got and "s/x_plain.ts" not in got and len(got) == 20
+
+
+def test_unset_takes_back_its_kind_only(spark):
+    banner = "/* lib 2.1.0 - Copyright (c) the lib authors. Released under the BSD license. */\n" + HAND
+    rows = [(1, "*.js -linguist-generated\n", "r/.gitattributes"), (2, banner, "r/a.js"), (3, "// @generated by x\n" + HAND, "r/b.js"), (4, "// @generated by x\n" + HAND, "r/c.ts"), (5, '"odd name.ts" linguist-generated\n!x.ts linguist-generated\n# x\n', "q/.gitattributes"), (6, own(6), "q/odd name.ts"), (7, own(7), "q/x.ts")]
+    files = spark.createDataFrame([], "file_id string, line_count int, token_estimate int")
+    assert {r.file_id: r.reasons for r in handwritten.judge(docs(spark, rows), files).collect()} == {"r/a.js": ["vendored"], "r/c.ts": ["generated"], "q/odd name.ts": ["declared:generated"]}
 
 
 def test_libraries_of_package_trees(spark):
@@ -227,7 +264,7 @@ def test_attributes_precedence(spark):
     ]
     files = spark.createDataFrame([("r/nodoc.min.js", 10, 100000), ("r/zero.js", 0, 5), (None, 1, 1)], "file_id string, line_count int, token_estimate int")
     got = {r.file_id: r.reasons for r in handwritten.judge(docs(spark, rows), files).collect()}
-    assert set(got) == {"r/a.gen.ts", "r/lib/x.js", "r/sub/big.css", "other/a.gen.ts", "r/sub/c.ts", "r/nodoc.min.js"}
+    assert set(got) == {"r/a.gen.ts", "r/lib/x.js", "r/sub/big.css", "r/nodoc.min.js"}  # r/sub takes generated back from all .ts, other/ has too few files to mine from
     assert handwritten.judge(docs(spark, []), files.limit(0)).count() == 0
 
 
