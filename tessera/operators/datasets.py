@@ -32,11 +32,11 @@ def p4_by_period(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return fanin.hot_targets(table(spark, d, "symbol_edges"))
+    return fanin.hot_targets(table(spark, d, "symbol_edges"), table(spark, d, "edges"))
 
 
 def p6_targets(spark: SparkSession, d: str) -> DataFrame:
-    return fanin.target_report(table(spark, d, "symbol_edges"))
+    return fanin.target_report(table(spark, d, "symbol_edges"), table(spark, d, "edges")).withColumn("share", F.round("share", 6))
 
 
 def p6_files(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +64,10 @@ SQL = {
     "p4_found": _ORPHANS + "SELECT DISTINCT ref_table, ref_id, ref_field FROM refs",
     "p4_by_period": _ORPHANS + "SELECT ref_table, ref_field, period, count(DISTINCT ref_id) AS n_orphans FROM refs GROUP BY 1, 2, 3",
     "p6_found": f"SELECT dst FROM ({_TARGETS}) WHERE n_edges >= 0.01 * (SELECT count(DISTINCT edge_id) FROM symbol_edges)",
-    "p6_targets": f"SELECT dst, n_edges, n_sources, round(n_edges / (SELECT count(DISTINCT edge_id) FROM symbol_edges)::DOUBLE, 6) AS share FROM ({_TARGETS})",
+    "p6_targets": f"""
+WITH imports AS (SELECT {_KEY.format('dst')} AS file_id, count(*) AS n_imports FROM edges WHERE dst IS NOT NULL GROUP BY 1)
+SELECT dst, n_edges, n_sources, round(n_edges / (SELECT count(DISTINCT edge_id) FROM symbol_edges)::DOUBLE, 6) AS share, coalesce(n_imports, 0) AS n_imports, n_edges * coalesce(n_imports, 0) AS n_pairs
+FROM ({_TARGETS}) LEFT JOIN imports ON split_part(dst, '#', 1) = imports.file_id""",
     "p6_files": f"""
 WITH calls AS (SELECT split_part(dst, '#', 1) AS file_id, CAST(sum(n_edges) AS BIGINT) AS n_edges FROM ({_TARGETS}) GROUP BY 1),
 imports AS (SELECT dst AS file_id, CAST(sum(n) AS BIGINT) AS n_imports, count(src) AS n_importers FROM (SELECT {_KEY.format('dst')} AS dst, {_KEY.format('src')} AS src, count(*) AS n FROM edges WHERE dst IS NOT NULL GROUP BY 1, 2) GROUP BY 1),

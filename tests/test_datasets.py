@@ -201,15 +201,17 @@ def test_fanin(spark):
     rows = [(i, f"s{i % 7}", "./hot" if i % 2 else f"d{i % 500}", "calls", T, "k") for i in range(2000)]
     rows += rows[:300] + [(9000, None, "hot", "calls", T, "k"), (9001, "s", None, "calls", T, "k"), (None, "s", "hot", "calls", T, "k")]
     e = spark.createDataFrame(rows, "edge_id bigint, src string, dst string, type string, seen_at timestamp, n_edges string")
-    got = {r.dst: (r.n_edges, r.n_sources) for r in fanin.target_report(e).collect()}
-    assert got["hot"] == (1001, 7) and got["d0"] == (4, 4)
-    assert {r.dst for r in fanin.hot_targets(e).collect()} == {"hot"}
     imports = spark.createDataFrame([("a", "hot", 1), ("a", "hot", 2), ("b", "hot", 1), (None, "d0", 1)], "src string, dst string, file_id int")
+    got = {r.dst: (r.n_edges, r.n_sources) for r in fanin.target_report(e, imports).collect()}
+    assert got["hot"] == (1001, 7) and got["d0"] == (4, 4)
+    hot = next(r for r in fanin.target_report(e, imports).collect() if r.dst == "hot")
+    assert hot.share == 1001 / 2002 and (hot.n_imports, hot.n_pairs) == (3, 3003)  # the edge without a target is one of all
+    assert {r.dst for r in fanin.hot_targets(e, imports).collect()} == {"hot"}
     files = spark.createDataFrame([("hot", T, T, 5), ("hot", T - dt.timedelta(1), T, 9), ("x", None, None, None)], "file_id string, indexed_at timestamp, received_at timestamp, imported_by_count int")
     rep = {r.file_id: r[1:] for r in fanin.file_report(e, imports, files).collect()}
     assert rep["hot"] == (1001, 3, 2, 3003, 5) and rep["x"] == (0, 0, 0, 0, None) and rep["d0"][:3] == (4, 1, 0)
     none = e.limit(0)
-    assert fanin.hot_targets(none).count() == 0 and fanin.file_report(none, imports.limit(0), files.limit(0)).count() == 0
+    assert fanin.hot_targets(none, imports.limit(0)).count() == 0 and fanin.file_report(none, imports.limit(0), files.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("text, ok", [("1", True), ("[", False), ('{"a":1}{', False), ("Infinity", False), (" {} ", True), (None, False)])
