@@ -1,8 +1,9 @@
-"""Import and call resolution: candidates with an ordinal, one equality join, the least ordinal wins.
+"""Import and call resolution: base paths with an ordinal, one equality join, the least ordinal wins.
 
-Every rule of a language turns a specifier into an ordered array of candidate ids inside the plan; the rows are
-exploded, joined with the files on the whole id and reduced by ``min_by``. No rule looks at the file system, and
-"the first file wins" always means the least id, so results don't depend on any order of reading.
+Every rule of a language turns a specifier into an ordered array of base paths inside the plan. Extensions and index files are not
+tried one by one: ``probe_index`` holds every file once under each base it answers to, with the place of its
+extension, so a base is one key of one join, and ``min_by`` takes the first base that has a file. No rule looks at the file
+system, and "the first file wins" always means the least id, so results don't depend on any order of reading.
 
 Ids are paths from the root of the indexed tree, the repository being the first segment; walks towards the root
 stop at ``root_depth`` segments (1: at the repository). Scopes (aliases, modules, manifests, gems, crates, include
@@ -26,7 +27,18 @@ INDEX_FILES = "index.ts index.tsx index.js index.jsx index.mjs index.cjs index.p
 JS_TO_TS = {".js": [".ts", ".tsx"], ".jsx": [".tsx"], ".mjs": [".mts"], ".cjs": [".cts"]}
 RUBY_ROOTS = ["lib", "app", "spec", "test"]
 JVM_MARKERS = ["src/main/java/", "src/test/java/", "src/main/kotlin/", "src/test/kotlin/", "src/"]
-MAX_DEPTH = 64
+
+
+#: Columns of the scope tables; one that isn't given is empty.
+SCOPES = {
+    "aliases": "scope string, prefix string, target string, ord int", "modules": "scope string, kind string, name string, dir string, ord int", "psr4": "scope string, prefix string, dir string, ord int",
+    "gems": "scope string, name string, lib string, ord int", "crates": "scope string, name string, src string", "include_roots": "scope string, dir string, ord int",
+}
+
+
+def _no_scope(imports: DataFrame, name: str) -> DataFrame:
+    """An empty scope table that the optimizer knows to be empty."""
+    return imports.sparkSession.range(1).select(*[F.lit(None).cast(t).alias(c) for c, t in (x.split(" ") for x in SCOPES[name].split(", "))]).where(F.lit(False))
 
 
 def _c(c: Column | str) -> Column:
@@ -48,21 +60,38 @@ def join_path(*parts: Column) -> Column:
     return normalize(F.concat_ws("/", *parts))
 
 
+def exact(path: Column) -> Column:
+    """Key of a path as it stands."""
+    return F.concat(F.lit("="), path)
+
+
 def probe(base: Column) -> Column:
-    """Candidates of a base path in order: itself (and TypeScript for JavaScript) with an extension, else each extension, then each index file."""
+    """Key of a base path: itself where it has an extension, else whatever extension or index file completes it."""
     ext = F.regexp_extract(base, r"(?<=[^/])(\.[^./]+)$", 1)
-    stem = F.substring(base, F.lit(1), F.length(base) - F.length(ext))
-    exact = F.array(base)
-    for e, alts in JS_TO_TS.items():
-        exact = F.when(ext == e, F.concat(F.array(base), *[F.array(F.concat(stem, F.lit(a))) for a in alts])).otherwise(exact)
-    bare = F.array(*[F.concat(base, F.lit(e)) for e in EXTENSIONS], *[F.concat(base, F.lit("/" + i)) for i in INDEX_FILES])
-    return F.when(ext != "", exact).otherwise(bare)
+    return F.when(ext != "", exact(base)).otherwise(F.concat(F.lit("~"), base))
+
+
+def probe_index(files: DataFrame) -> DataFrame:
+    """``key, target``: the file that a key finds first.
+
+    A path finds itself, a JavaScript path then its TypeScript sources, a base without extension first the extensions and then the index files, each in their order.
+    """
+    f = F.col("file_id")
+    none = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("int").alias("place"))
+    entry = lambda key, place: F.struct(key.alias("key"), F.lit(place).alias("place"))
+    without = lambda end: F.substring(f, F.lit(1), F.length(f) - len(end))
+    keys = [entry(exact(f), 0)]
+    keys += [F.when(f.endswith(alt), entry(F.concat(F.lit("="), without(alt), F.lit(js)), n)).otherwise(none) for js, alts in JS_TO_TS.items() for n, alt in enumerate(alts, 1)]
+    keys += [F.when(f.endswith(e), entry(F.concat(F.lit("~"), without(e)), n)).otherwise(none) for n, e in enumerate(EXTENSIONS)]
+    keys += [F.when(f.endswith("/" + i), entry(F.concat(F.lit("~"), without("/" + i)), len(EXTENSIONS) + n)).otherwise(none) for n, i in enumerate(INDEX_FILES)]
+    rows = files.where("file_id is not null").select("file_id", F.explode(F.filter(F.array(*keys), lambda k: k["key"].isNotNull())).alias("k"))
+    return rows.groupBy("k.key").agg(F.min(F.struct("k.place", "file_id")).alias("b")).select("key", F.col("b.file_id").alias("target"))
 
 
 def ancestors(directory: Column, root_depth: int = 1) -> Column:
     """A directory and those above it, nearest first, down to ``root_depth`` segments."""
     parts = F.filter(F.split(directory, "/", -1), lambda s: s != "")
-    depth = F.least(F.size(parts), F.lit(MAX_DEPTH))
+    depth = F.size(parts)
     n = F.when(depth < root_depth, F.array(depth)).otherwise(F.reverse(F.sequence(F.lit(root_depth), F.greatest(depth, F.lit(root_depth)))))
     return F.transform(n, lambda k: F.array_join(F.slice(parts, 1, k), "/"))
 
@@ -74,11 +103,11 @@ def prefixes(specifier: Column, sep: str) -> Column:
     return F.transform(F.reverse(F.sequence(F.lit(1), F.size(parts))), lambda k: F.array_join(F.slice(parts, 1, k), joiner))
 
 
-def first_hit(imports: DataFrame, candidates: Column, files: DataFrame) -> DataFrame:
-    """``file_id, specifier, target``: the first of the candidates that is a file, null if none is."""
+def first_hit(imports: DataFrame, bases: Column, files: DataFrame) -> DataFrame:
+    """``file_id, specifier, target``: what the first of the keys of ``bases`` finds, null if none finds a file."""
     keys = imports.select("file_id", "specifier").distinct()
-    rows = imports.select("file_id", "specifier", F.posexplode(candidates).alias("ordinal", "candidate"))
-    hits = rows.join(files.select(F.col("file_id").alias("candidate")).distinct(), "candidate").groupBy("file_id", "specifier").agg(F.min_by("candidate", "ordinal").alias("target"))
+    rows = imports.select("file_id", "specifier", F.posexplode(bases).alias("ordinal", "key"))
+    hits = rows.join(probe_index(files), "key").groupBy("file_id", "specifier").agg(F.min_by("target", "ordinal").alias("target"))
     return keys.join(hits, ["file_id", "specifier"], "left")
 
 
@@ -89,20 +118,20 @@ def _least(rows: DataFrame, target: str, *order: str) -> DataFrame:
 def resolve_relative(imports: DataFrame, files: DataFrame) -> DataFrame:
     """Specifiers that begin with ``.`` or ``/``, from the importing file's directory."""
     rel = imports.where("specifier like '.%' or specifier like '/%'")
-    return first_hit(rel, probe(join_path(dirname("file_id"), F.col("specifier"))), files)
+    return first_hit(rel, F.array(probe(join_path(dirname("file_id"), F.col("specifier")))), files)
 
 
 def resolve_alias(imports: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
     """Other specifiers by ``aliases(scope, prefix, target, ord)``: the longest prefix of the nearest scope alone counts,
-    its targets are tried in order, and none of them means null."""
+    its targets are tried in order, and none of them means null. A target that begins with ``/`` is a path from the root, others are relative to the scope."""
     i = imports.where("specifier not like '.%' and specifier not like '/%'")
     rows = i.select("file_id", "specifier", F.explode(prefixes(F.col("specifier"), "/")).alias("prefix"), ancestors(dirname("file_id")).alias("scopes"))
     m = rows.join(aliases, "prefix").where("array_contains(scopes, scope)")
     best = Window.partitionBy("file_id", "specifier").orderBy(F.desc(F.length("scope")), F.desc(F.length("prefix")))
     m = m.withColumn("r", F.dense_rank().over(best)).where("r = 1")
-    base = join_path(F.col("scope"), F.col("target"), F.expr("substring(specifier, length(prefix) + 1)"))
-    tried = m.select("file_id", "specifier", "ord", F.posexplode(probe(base)).alias("n", "candidate")).join(files.select(F.col("file_id").alias("candidate")), "candidate")
-    return i.select("file_id", "specifier").distinct().join(_least(tried, "candidate", "ord", "n"), ["file_id", "specifier"], "left")
+    base = join_path(F.when(F.col("target").startswith("/"), F.lit("")).otherwise(F.col("scope")), F.col("target"), F.expr("substring(specifier, length(prefix) + 1)"))
+    tried = m.select("file_id", "specifier", "ord", probe(base).alias("key")).join(probe_index(files), "key")
+    return i.select("file_id", "specifier").distinct().join(_least(tried, "target", "ord"), ["file_id", "specifier"], "left")
 
 
 def resolve_python(imports: DataFrame, files: DataFrame, root_depth: int = 1) -> DataFrame:
@@ -110,9 +139,9 @@ def resolve_python(imports: DataFrame, files: DataFrame, root_depth: int = 1) ->
     dots = F.length(F.regexp_extract("specifier", r"^(\.*)", 1))
     name = F.translate(F.regexp_replace("specifier", r"^\.+", ""), ".", "/")
     climbed = join_path(dirname("file_id"), F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0))))
-    relative = F.when(name == "", F.array(F.concat(climbed, F.lit("/__init__.py")))).otherwise(probe(join_path(climbed, name)))
+    relative = F.array(F.when(name == "", exact(F.concat(climbed, F.lit("/__init__.py")))).otherwise(probe(join_path(climbed, name))))
     up = ancestors(dirname("file_id"), root_depth)
-    absolute = F.flatten(F.transform(up, lambda a: F.concat(probe(join_path(a, name)), probe(join_path(a, F.lit("src"), name)))))
+    absolute = F.flatten(F.transform(up, lambda a: F.array(probe(join_path(a, name)), probe(join_path(a, F.lit("src"), name)))))
     return first_hit(imports, F.when(dots > 0, relative).otherwise(absolute), files)
 
 
@@ -171,8 +200,8 @@ def resolve_php(imports: DataFrame, files: DataFrame, psr4: DataFrame) -> DataFr
     rules = psr4.select("scope", F.translate("prefix", "\\", "/").alias("prefix"), "dir", "ord")
     m = scopes.join(rules, "scope").where("norm = prefix or startswith(norm, concat(prefix, '/'))")
     base = join_path(F.col("dir"), F.expr("substring(norm, length(prefix) + 1)"))
-    tried = m.select("file_id", "specifier", "up", (-F.length("prefix")).alias("short"), "ord", F.posexplode(probe(base)).alias("n", "candidate")).join(files.select(F.col("file_id").alias("candidate")), "candidate")
-    named = i.select("file_id", "specifier").distinct().join(_least(tried, "candidate", "up", "short", "ord", "n"), ["file_id", "specifier"], "left")
+    tried = m.select("file_id", "specifier", "up", (-F.length("prefix")).alias("short"), "ord", probe(base).alias("key")).join(probe_index(files), "key")
+    named = i.select("file_id", "specifier").distinct().join(_least(tried, "target", "up", "short", "ord"), ["file_id", "specifier"], "left")
     return named.unionByName(resolve_relative(imports, files))
 
 
@@ -180,12 +209,12 @@ def resolve_ruby(imports: DataFrame, files: DataFrame, gems: DataFrame, root_dep
     """Load roots of each ancestor, nearest first; then ``gems(scope, name, lib, ord)`` of the nearest gem file."""
     i = imports.where("specifier not like '.%' and specifier not like '/%'")
     up = ancestors(dirname("file_id"), root_depth)
-    roots = F.flatten(F.transform(up, lambda a: F.flatten(F.array(*[probe(join_path(a, F.lit(r), F.col("specifier"))) for r in RUBY_ROOTS]))))
+    roots = F.flatten(F.transform(up, lambda a: F.array(*[probe(join_path(a, F.lit(r), F.col("specifier"))) for r in RUBY_ROOTS])))
     walked = first_hit(i, roots, files)
     g = i.select("file_id", "specifier", F.posexplode(ancestors(dirname("file_id"), 0)).alias("up", "scope")).join(gems, "scope")
     g = g.withColumn("near", F.min("up").over(Window.partitionBy("file_id", "specifier"))).where("up = near and (specifier = name or startswith(specifier, concat(name, '/')))")
-    tried = g.select("file_id", "specifier", "ord", F.posexplode(probe(join_path(F.col("lib"), F.col("specifier")))).alias("n", "candidate")).join(files.select(F.col("file_id").alias("candidate")), "candidate")
-    by_gem = _least(tried, "candidate", "ord", "n").withColumnRenamed("target", "gem")
+    tried = g.select("file_id", "specifier", "ord", probe(join_path(F.col("lib"), F.col("specifier"))).alias("key")).join(probe_index(files), "key")
+    by_gem = _least(tried, "target", "ord").withColumnRenamed("target", "gem")
     both = walked.join(by_gem, ["file_id", "specifier"], "left").select("file_id", "specifier", F.coalesce("target", "gem").alias("target"))
     return both.unionByName(resolve_relative(imports, files))
 
@@ -194,14 +223,14 @@ def resolve_rust(imports: DataFrame, files: DataFrame, crates: DataFrame) -> Dat
     """One segment: the sibling module. Else by ``crates(scope, name, src)`` of the nearest workspace: the longest path that is a file, at last the crate's root."""
     i = imports.select("file_id", "specifier").distinct()
     one = F.when(~F.col("specifier").contains("::"), F.array(F.concat(join_path(dirname("file_id"), F.col("specifier")), F.lit(".rs")), F.concat(join_path(dirname("file_id"), F.col("specifier")), F.lit("/mod.rs")))).otherwise(F.array().cast("array<string>"))
-    sibling = first_hit(i, one, files)
+    sibling = first_hit(i, F.transform(one, exact), files)
     parts = F.filter(F.split("specifier", "::"), lambda s: s != "")
     w = i.select("file_id", "specifier", parts.alias("parts"), F.posexplode(ancestors(dirname("file_id"), 0)).alias("up", "scope")).join(crates, "scope")
     w = w.withColumn("near", F.min("up").over(Window.partitionBy("file_id", "specifier"))).where("up = near and name = try_element_at(parts, 1)")
     deep = F.transform(F.reverse(F.sequence(F.lit(1), F.greatest(F.size("parts") - 1, F.lit(1)))), lambda k: F.array_join(F.slice("parts", 2, k), "/"))
     sub = F.flatten(F.transform(F.when(F.size("parts") > 1, deep).otherwise(F.array().cast("array<string>")), lambda p: F.array(F.concat_ws("/", "src", F.concat(p, F.lit(".rs"))), F.concat_ws("/", "src", p, F.lit("mod.rs")))))
     cand = F.concat(sub, F.array(F.concat_ws("/", "src", F.lit("lib.rs")), F.concat_ws("/", "src", F.lit("main.rs"))))
-    by_crate = first_hit(w, F.transform(cand, normalize), files).withColumnRenamed("target", "crate")
+    by_crate = first_hit(w, F.transform(cand, lambda p: exact(normalize(p))), files).withColumnRenamed("target", "crate")
     return sibling.join(by_crate, ["file_id", "specifier"], "left").select("file_id", "specifier", F.coalesce("target", "crate").alias("target"))
 
 
@@ -212,7 +241,7 @@ def resolve_cpp(imports: DataFrame, files: DataFrame, include_roots: DataFrame)
     roots = up.groupBy("file_id", "specifier").agg(F.transform(F.array_sort(F.collect_list(F.struct("up", "ord", "dir"))), lambda r: r["dir"]).alias("dirs"))
     j = i.join(roots, ["file_id", "specifier"], "left")
     dirs = F.concat(F.array(dirname("file_id")), F.coalesce("dirs", F.array().cast("array<string>")), F.array(F.substring_index("file_id", "/", 1)))
-    return first_hit(j, F.flatten(F.transform(dirs, lambda d: probe(join_path(d, F.col("specifier"))))), files)
+    return first_hit(j, F.transform(dirs, lambda d: probe(join_path(d, F.col("specifier")))), files)
 
 
 def resolve_csharp(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -240,10 +269,9 @@ def resolve_imports(imports: DataFrame, files: DataFrame, scopes: dict[str, Data
     named = "typescript javascript python java kotlin groovy csharp go php ruby rust cpp".split()
     web = imports.where(F.col("language").isin("typescript", "javascript", "vue", "svelte", "astro", "css", "html", "graphql") | ~F.col("language").isin(*named))
     parts.append(resolve_relative(web, files))
-    parts.append(resolve_alias(web, files, scopes["aliases"]) if "aliases" in scopes else web.where("specifier not like '.%' and specifier not like '/%'").select("file_id", "specifier", F.lit(None).cast("string").alias("target")).distinct())
+    parts.append(resolve_alias(web, files, scopes["aliases"] if "aliases" in scopes else _no_scope(imports, "aliases")))
     for name, langs, f in (("modules", ("go",), resolve_go), ("psr4", ("php",), resolve_php), ("gems", ("ruby",), resolve_ruby), ("crates", ("rust",), resolve_rust), ("include_roots", ("cpp",), resolve_cpp)):
-        if name in scopes:
-            parts.append(f(of(*langs), files, scopes[name]))
+        parts.append(f(of(*langs), files, scopes[name] if name in scopes else _no_scope(imports, name)))
     done = parts[0]
     for p in parts[1:]:
         done = done.unionByName(p)

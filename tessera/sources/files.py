@@ -15,9 +15,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions import fixed as K
 from tessera.functions import text as X
+from tessera.session import cut
 
 VERSION = "1"
 #: Configuration files that are read though their names have no language.
@@ -270,20 +272,91 @@ def tool_evidence(calls: DataFrame) -> DataFrame:
 def configs(files: DataFrame) -> dict[str, DataFrame]:
     """Scope tables for import resolution from the configuration files of a tree (``file_id, text``).
 
-    aliases of tsconfig and jsconfig (one level of extends is the caller's to merge), workspaces, Go modules and
-    workspaces with replacements, namespaces of composer files, path gems and crates of Cargo workspaces. A file that doesn't
-    parse gives no row.
+    aliases of tsconfig and jsconfig files with what they extend, and of workspace packages (npm, yarn, pnpm; an alias of the same name wins),
+    Go modules and workspaces with replacements, namespaces of composer files, path gems and crates of Cargo workspaces.
+    A file that doesn't parse gives no row.
     """
     name = F.element_at(F.split("file_id", "/"), -1)
-    wanted = files.where(name.isin("tsconfig.json", "jsconfig.json", "package.json", "go.mod", "go.work", "composer.json", "Gemfile", "Cargo.toml", "CMakeLists.txt"))
-    rows = wanted.select("file_id", "text").mapInPandas(_config_rows, "kind string, scope string, a string, b string, c string, ord int")
+    wanted = files.where(name.isin("package.json", "pnpm-workspace.yaml", "go.mod", "go.work", "composer.json", "Gemfile", "Cargo.toml", "CMakeLists.txt"))
+    rows = cut(wanted.select("file_id", "text").mapInPandas(_config_rows, "kind string, scope string, a string, b string, c string, ord int"))
     pick = lambda k, **cols: rows.where(F.col("kind").isin(*k.split())).select("scope", *[F.col(src).alias(dst) for dst, src in cols.items()], "ord")
+    paths = tsconfig_aliases(files)
+    packages = workspace_aliases(rows).join(paths.select("scope", "prefix").distinct(), ["scope", "prefix"], "left_anti")
+    globbed = members(rows, "crate_glob", "crate_dir").select("scope", F.col("name"), F.concat("dir", F.lit("/src")).alias("src"))
     return {
-        "aliases": pick("alias", prefix="a", target="b"), "modules": rows.where("kind in ('work', 'module', 'replace')").select("scope", "kind", F.col("a").alias("name"), F.col("b").alias("dir"), "ord"),
-        "psr4": pick("psr4", prefix="a", dir="b"), "gems": pick("gem", name="a", lib="b"), "crates": pick("crate", name="a", src="b").drop("ord"), "workspaces": pick("workspace", name="a", dir="b"), "include_roots": pick("include", dir="b"),
+        "aliases": paths.unionByName(packages), "modules": rows.where("kind in ('work', 'module', 'replace')").select("scope", "kind", F.col("a").alias("name"), F.col("b").alias("dir"), "ord"),
+        "psr4": pick("psr4", prefix="a", dir="b"), "gems": pick("gem", name="a", lib="b"), "crates": pick("crate", name="a", src="b").drop("ord").unionByName(globbed).distinct(), "workspaces": pick("workspace", name="a", dir="b"), "include_roots": pick("include", dir="b"),
     }
 
 
+def members(rows: DataFrame, glob: str, member: str) -> DataFrame:
+    """``scope, name, dir`` of the ``member`` rows whose directory a ``glob`` row of a directory above names.
+
+    A member meets the globs of its ancestors by whole keys; ``*`` stands for part of one segment.
+    """
+    m = rows.where(F.col("kind") == member).select(F.col("scope").alias("dir"), F.col("a").alias("name")).where("name <> ''")
+    parts = F.filter(F.split("dir", "/"), lambda s: s != "")
+    up = m.select("dir", "name", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("scope"))
+    g = rows.where(F.col("kind") == glob).select("scope", F.col("c").alias("glob")).distinct()
+    relative = F.when(F.col("scope") == "", F.col("dir")).otherwise(F.expr("substring(dir, length(scope) + 2)"))
+    return up.join(g, "scope").withColumn("relative", relative).where(F.expr("relative rlike concat('^', glob, '$')")).select("scope", "name", "dir").distinct()
+
+
+def workspace_aliases(rows: DataFrame) -> DataFrame:
+    """``scope, prefix, target, ord``: packages of a workspace by their names, for the files below the workspace's root; of one name the least directory first."""
+    order = F.row_number().over(Window.partitionBy("scope", "name").orderBy("dir"))
+    return members(rows, "workspace", "package").select("scope", F.col("name").alias("prefix"), F.concat(F.lit("/"), "dir").alias("target"), order.alias("ord"))
+
+
+_TSCONFIG = "root string, place array<int>, trail array<string>, kind string, a string, b string, ord int"
+
+
+def tsconfig_aliases(files: DataFrame) -> DataFrame:
+    """``scope, prefix, target, ord`` of all tsconfig and jsconfig files, targets as paths from the root.
+
+    A chain of ``extends`` is followed a step at a time, until no file extends one that isn't on its way yet. Of
+    several definitions the file's own wins, then the later entry of ``extends``, nearer before farther; so a definition's
+    place is the list of entries that lead to it, compared from the left.
+    """
+    front = files.where(F.element_at(F.split("file_id", "/"), -1).isin("tsconfig.json", "jsconfig.json")).select(F.col("file_id").alias("root"), F.array().cast("array<int>").alias("place"), F.array("file_id").alias("trail"), "text")
+    steps = []
+    while True:
+        parsed = cut(front.mapInPandas(_tsconfig_rows, _TSCONFIG))
+        steps.append(parsed.where("kind <> 'extends'"))
+        more = parsed.where("kind = 'extends' and not array_contains(trail, a)")
+        if more.isEmpty():
+            break
+        front = more.join(files.select(F.col("file_id").alias("a"), "text"), "a").select("root", F.array_append("place", F.col("ord")).alias("place"), F.array_append("trail", F.col("a")).alias("trail"), "text")
+    defs = reduce(lambda x, y: x.unionByName(y), steps).withColumn("place", F.array_append("place", F.lit(2147483647)))
+    base = defs.where("kind = 'base'").groupBy("root").agg(F.max_by("a", "place").alias("base"))
+    paths = defs.where("kind = 'path'")
+    best = paths.groupBy("root", "a").agg(F.max("place").alias("place"))
+    scope = F.regexp_replace(F.regexp_replace("root", "^[^/]*$", ""), "/[^/]*$", "")
+    kept = paths.join(best, ["root", "a", "place"]).join(base, "root", "left").withColumn("scope", scope)
+    return kept.select("scope", F.col("a").alias("prefix"), F.concat(F.lit("/"), F.coalesce("base", "scope"), F.lit("/"), "b").alias("target"), "ord").distinct()
+
+
+def _tsconfig_rows(batches):
+    import pandas as pd
+
+    for pdf in batches:
+        out = []
+        for root, place, trail, text in zip(pdf["root"], pdf["place"], pdf["trail"], pdf["text"], strict=True):
+            folder = trail[-1].rpartition("/")[0]
+            try:
+                bare = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*[\s\S]*?\*/', lambda m: m[1] or "", text or "")
+                cfg = json.loads(re.sub(r",(\s*[}\]])", r"\1", bare))
+                options, extends = cfg.get("compilerOptions") or {}, cfg.get("extends") or []
+                rows = [("extends", _join(folder, e if e.endswith(".json") else e + ".json"), None, n) for n, e in enumerate([extends] if isinstance(extends, str) else extends)]
+                if options.get("baseUrl"):
+                    rows.append(("base", _join(folder, options["baseUrl"]), None, 0))
+                rows += [("path", k.removesuffix("/*"), t.removesuffix("/*"), n) for k, ts in (options.get("paths") or {}).items() for n, t in enumerate(ts)]
+            except (ValueError, TypeError, AttributeError):
+                continue
+            out += [(root, list(place), list(trail), *r) for r in rows]
+        yield pd.DataFrame(out, columns=["root", "place", "trail", "kind", "a", "b", "ord"])
+
+
 def _config_rows(batches):
     import pandas as pd
 
@@ -299,19 +372,26 @@ def _config_rows(batches):
 
 
 def _join(*parts: str) -> str:
-    return os.path.normpath("/".join(p for p in parts if p)).lstrip("./") if any(parts) else ""
+    """A path from the root; what leaves the root stays at it."""
+    path = os.path.normpath("/" + "/".join(p for p in parts if p)).lstrip("/")
+    return "" if path == "." else path
+
+
+def _segments(glob: str) -> str:
+    """The expression of a workspace glob, ``*`` within one segment."""
+    return "/".join("[^/]*".join(map(re.escape, seg.split("*"))) for seg in os.path.normpath(glob).split("/"))
 
 
-def _parse_config(name: str, folder: str, text: str) -> list[tuple[str, str, str, str | None]]:
-    if name in ("tsconfig.json", "jsconfig.json"):
-        cfg = json.loads(re.sub(r",(\s*[}\]])", r"\1", re.sub(r"(?m)^\s*//.*$", "", text))).get("compilerOptions", {})
-        base = cfg.get("baseUrl", ".")
-        return [("alias", k.removesuffix("/*"), os.path.normpath(os.path.join(base, t.removesuffix("/*"))), None) for k, ts in cfg.get("paths", {}).items() for t in ts]
+def _parse_config(name: str, folder: str, text: str) -> list[tuple[str, str, str | None, str | None]]:
     if name == "package.json":
         cfg = json.loads(text)
         ws = cfg.get("workspaces", [])
         ws = ws.get("packages", []) if isinstance(ws, dict) else ws
-        return [("workspace", cfg.get("name") or "", _join(folder, w), None) for w in ws]
+        own = [("package", cfg["name"], None, None)] if isinstance(cfg.get("name"), str) else []
+        return own + [("workspace", cfg.get("name") or "", _join(folder, w), _segments(w)) for w in ws if not w.startswith("!")]
+    if name == "pnpm-workspace.yaml":
+        globs = re.findall(r"(?m)^\s+-\s+['\"]?([^'\"#\s]+)['\"]?", text)
+        return [("workspace", "", _join(folder, w), _segments(w)) for w in globs if not w.startswith("!")]
     if name == "composer.json":
         cfg = json.loads(text)
         out = []
@@ -336,7 +416,9 @@ def _parse_config(name: str, folder: str, text: str) -> list[tuple[str, str, str
 
         cfg = tomllib.loads(text)
         out = [("crate", m.rsplit("/", 1)[-1].replace("-", "_"), _join(folder, m, "src"), None) for m in cfg.get("workspace", {}).get("members", []) if "*" not in m]
+        out += [("crate_glob", "", None, _segments(m)) for m in cfg.get("workspace", {}).get("members", []) if "*" in m]
         if "package" in cfg:
+            out.append(("crate_dir", cfg["package"]["name"].replace("-", "_"), None, None))
             out.append(("crate", cfg["package"]["name"].replace("-", "_"), _join(folder, "src"), None))
         return out
     return []

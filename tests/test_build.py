@@ -154,3 +154,39 @@ def test_api_checks():
     assert api.check_spec([]) and api.check_spec({"op": "x"}) and api.check_spec({"type": "flow", "character": "hub"}) and api.check_spec({"type": "file", "facets": []}) and api.check_spec({"type": "flow", "id": "BAD ID"})
     assert api.check_spec({"type": "file-hub", "path": "a"}) is None
     assert api.missing_fields({"type": "flow"}) == ["identityAliases", "steps"]
+
+
+def test_aliases_of_configurations(spark):
+    rows = [
+        ("m/tsconfig.base.json", '{"compilerOptions": {"baseUrl": "./lib", "paths": {"@far/*": ["far/*"], "@both": ["base"]}}}'),
+        ("m/app/tsconfig.json", '{// child\n"extends": ["../tsconfig.base", "../none"], "compilerOptions": {"paths": {"@both": ["own", "own2"], "@url": ["x//y"],}}}'),
+        ("m/loop/tsconfig.json", '{"extends": "./tsconfig.json", "compilerOptions": {"paths": {"@l": ["l"]}}}'), ("m/bad/tsconfig.json", "{"), ("m/null/tsconfig.json", None),
+        ("m/package.json", '{"name": "root", "workspaces": {"packages": ["packages/*", "!packages/no", "tools"]}}'), ("m/packages/a/package.json", '{"name": "@s/a"}'), ("m/packages/deep/b/package.json", '{"name": "b"}'), ("m/tools/package.json", '{"name": "tools"}'),
+        ("p/pnpm-workspace.yaml", "packages:\n  - 'x-*/lib'\n  - '!q'\n"), ("p/x-1/lib/package.json", '{"name": "one"}'), ("p/q/package.json", '{"name": "q"}'),
+        ("r/Cargo.toml", '[workspace]\nmembers = ["crates/*", "cli"]\n'), ("r/crates/k-v/Cargo.toml", '[package]\nname = "k-v"\n'), ("r/cli/Cargo.toml", '[package]\nname = "cli"\n'),
+    ]
+    scopes = S.configs(spark.createDataFrame(rows, "file_id string, text string"))
+    got = {(r.scope, r.prefix, r.target, r.ord) for r in scopes["aliases"].collect()}
+    assert got == {
+        ("m/app", "@far", "/m/lib/far", 0), ("m/app", "@both", "/m/lib/own", 0), ("m/app", "@both", "/m/lib/own2", 1), ("m/app", "@url", "/m/lib/x//y", 0), ("m/loop", "@l", "/m/loop/l", 0),
+        ("m", "@s/a", "/m/packages/a", 1), ("m", "tools", "/m/tools", 1), ("p", "one", "/p/x-1/lib", 1),
+    }
+    crates = {(r.scope, r.name, r.src) for r in scopes["crates"].collect()}
+    assert {("r", "k_v", "r/crates/k-v/src"), ("r", "cli", "r/cli/src")} <= crates
+    files = spark.createDataFrame([(f, None) for f in ("m/app/a.ts", "m/lib/own2.ts", "m/lib/far/z/index.ts", "m/packages/a/src/util.ts", "m/packages/a/index.js", "m/lib/x/y.ts")], "file_id string, package_name string")
+    imports = spark.createDataFrame([("m/app/a.ts", s) for s in ("@both", "@far/z", "@s/a", "@s/a/src/util", "@url", "@s/none", "react")], "file_id string, specifier string")
+    hit = {r.specifier: r.target for r in R.resolve_alias(imports, files, scopes["aliases"]).collect()}
+    assert hit == {"@both": "m/lib/own2.ts", "@far/z": "m/lib/far/z/index.ts", "@s/a": "m/packages/a/index.js", "@s/a/src/util": "m/packages/a/src/util.ts", "@url": "m/lib/x/y.ts", "@s/none": None, "react": None}
+
+
+def test_probing_order(spark):
+    """The first extension, then index files; a JavaScript path finds itself first, then its TypeScript source; 90 directories are walked from the near end."""
+    deep = "/".join(["r"] + [f"d{i}" for i in range(90)])
+    ids = ["r/a.js", "r/a.ts", "r/b/index.js", "r/b/mod.rs", "r/c.tsx", "r/d.d.ts", "r/e.mts", "r/v1.2/x.py", f"{deep}/near.py", "r/d0/near.py", f"{deep}/src/only.py", "r/p/__init__.py"]
+    files = spark.createDataFrame([(i, None) for i in ids] + [(None, None)], "file_id string, package_name string")
+    rel = [("r/m.ts", s) for s in ("./a", "./a.js", "./b", "./c.js", "./c.jsx", "./d", "./e.mjs", "./none", "../../../r/a", "./v1.2/x")] + [(None, "./a")]
+    got = {r.specifier: r.target for r in R.resolve_relative(spark.createDataFrame(rel, "file_id string, specifier string"), files).where("file_id is not null").collect()}
+    assert got == {"./a": "r/a.ts", "./a.js": "r/a.js", "./b": "r/b/index.js", "./c.js": "r/c.tsx", "./c.jsx": "r/c.tsx", "./d": "r/d.d.ts", "./e.mjs": "r/e.mts", "./none": None, "../../../r/a": "r/a.ts", "./v1.2/x": "r/v1.2/x.py"}
+    py = spark.createDataFrame([(f"{deep}/m.py", s) for s in ("near", "only", "p", "." * 91 + "p", "gone")], "file_id string, specifier string")
+    got = {r.specifier: r.target for r in R.resolve_python(py, files).collect()}
+    assert got == {"near": f"{deep}/near.py", "only": f"{deep}/src/only.py", "p": "r/p/__init__.py", "." * 91 + "p": "r/p/__init__.py", "gone": None}
