@@ -203,12 +203,6 @@ def is_shaped_token(c: Column | str) -> Column:
     return several & (F.length(t) >= 5)
 
 
-def specifier_bucket(c: Column | str) -> Column:
-    """How a specifier looks: relative, alias, scoped, absolute or bare."""
-    s = _col(c)
-    return F.when(s.startswith("."), "relative").when(s.startswith("@/") | s.startswith("~/"), "alias").when(s.startswith("@"), "scoped").when(s.startswith("/"), "absolute").otherwise("bare")
-
-
 def edge_bucket(c: Column | str) -> Column:
     """Kind of an edge's specifier: ``regular`` without a colon, the categories before a class name, else the whole."""
     s = _col(c)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import resolve as R
 from tessera.operators.catalog_graph import _files, _symbols, _G
+from tessera.functions import fixed as K
 from tessera.functions import text as X
 from tessera.session import table
 
@@ -75,8 +76,7 @@ def _stored(spark, d):
 
 def _resolved(spark, d):
     derived = _relative(spark, d).join(_files(spark, d).select("file_id", X.language_of_path("path").alias("language")), "file_id").where("language in ('typescript', 'javascript')").withColumn("is_bonus", F.lit(False))
-    both = _stored(spark, d).where("language in ('typescript', 'javascript', 'python')").unionByName(derived).distinct()
-    return R.resolve_imports(both, _files(spark, d), {})
+    return R.resolve_imports(_stored(spark, d).unionByName(derived).distinct(), _files(spark, d), {})
 
 
 def resolution_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +88,9 @@ def unresolved_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def specifier_buckets(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "edges").where("specifier is not null").groupBy(X.specifier_bucket("specifier").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    """Kinds of the import edges and of the edges by convention."""
+    both = table(spark, d, "edges").where("specifier is not null").select("specifier").unionByName(partial_pairs(spark, d).select("specifier")).unionByName(_files(spark, d).where("is_test_file").select(F.lit("convention:tests").alias("specifier")))
+    return both.groupBy(X.edge_bucket("specifier").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _call_inputs(spark, d):
@@ -142,7 +144,17 @@ relr AS (SELECT file_id, specifier, arg_min(c, n) AS target FROM (
   ) WHERE c IN (SELECT file_id FROM cur) GROUP BY 1, 2)
 """
 _UP = "list_transform(range(len(string_split({0}, '/')) - 1, 0, -1), lambda k: array_to_string(string_split({0}, '/')[1:k], '/'))"
-_STATS = ", imp AS (SELECT DISTINCT src AS file_id, specifier, CASE WHEN regexp_matches(path, '\\.(ts|tsx|mts|cts)$') THEN 'typescript' WHEN regexp_matches(path, '\\.(js|jsx|mjs|cjs)$') THEN 'javascript' WHEN regexp_matches(path, '\\.py$') THEN 'python' END AS language FROM edges JOIN cur ON cur.file_id = src WHERE specifier IS NOT NULL), "
+_LANG = ", ".join(f"('{e}', '{v}')" for e, v in K.EXTENSION_LANGUAGE.items())
+_STATS = _R + f""", lang AS (SELECT * FROM (VALUES {_LANG}) v(ext, language)),
+ml AS (SELECT file_id, language, regexp_replace(file_id, '/[^/]*$', '') AS dir FROM (SELECT file_id, lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM cur) LEFT JOIN lang USING (ext)),
+im AS (SELECT DISTINCT src AS file_id, specifier, language, dir FROM edges JOIN ml ON ml.file_id = src WHERE specifier IS NOT NULL UNION SELECT file_id, specifier, language, dir FROM rel JOIN ml USING (file_id) WHERE language IN ('typescript', 'javascript')),
+bs AS (SELECT file_id, specifier, language, CASE WHEN specifier LIKE './../%' THEN rel.base WHEN specifier LIKE './%' THEN dir || substr(specifier, 2) WHEN specifier LIKE '../%' THEN regexp_replace(dir, '/?[^/]*$', '') || substr(specifier, 3) END AS base FROM im LEFT JOIN rel USING (file_id, specifier)),
+cn AS (SELECT file_id, specifier, language, n, base || e AS c FROM bs, tail WHERE base IS NOT NULL AND language NOT IN ('java', 'kotlin', 'groovy', 'csharp', 'go', 'rust') AND NOT regexp_matches(base, '[^/]\\.[^./]+$')
+  UNION ALL SELECT file_id, specifier, language, 0, base FROM bs WHERE regexp_matches(base, '[^/]\\.[^./]+$') AND language NOT IN ('java', 'kotlin', 'groovy', 'csharp', 'go', 'rust')
+  UNION ALL SELECT file_id, specifier, language, 0, base || '.rs' FROM bs WHERE language = 'rust' UNION ALL SELECT file_id, specifier, language, 1, base || '/mod.rs' FROM bs WHERE language = 'rust'),
+ht AS (SELECT file_id, specifier, arg_min(c, n) AS target FROM cn WHERE c IN (SELECT file_id FROM cur) GROUP BY 1, 2),
+res AS (SELECT im.file_id, im.specifier, language, target FROM im LEFT JOIN ht USING (file_id, specifier) WHERE target IS NULL OR target <> im.file_id)
+"""
 SQL = {
     "resolve_candidates_first": _R + "SELECT DISTINCT file_id, specifier, target FROM rel LEFT JOIN relr USING (file_id, specifier)",
     "resolve_longest_prefix": _R + """, tgt AS (SELECT repo, t, row_number() OVER (PARTITION BY repo ORDER BY t) AS ord FROM (SELECT DISTINCT repo, regexp_extract(path, '^(.*?/)?src/') AS t FROM cur) WHERE t <> ''),
@@ -162,7 +174,11 @@ SELECT file_id, specifier, target FROM s LEFT JOIN h USING (file_id, specifier)"
 ix AS (SELECT k, min(file_id) AS target FROM (SELECT file_id, CASE WHEN package_name IS NOT NULL THEN fqcn ELSE replace(regexp_replace(CASE WHEN contains(file_id, 'src/main/java/') THEN split_part(file_id, 'src/main/java/', 2) WHEN contains(file_id, 'src/') THEN substr(file_id, instr(file_id, 'src/') + 4) ELSE file_id END, '\\.java$', ''), '/', '.') END AS k FROM jv) GROUP BY 1),
 s AS (SELECT DISTINCT (SELECT min(file_id) FROM jv j WHERE j.repo = jv.repo) AS file_id, unnest([fqcn, fqcn || '.LIMIT', fqcn || '.*']) AS specifier FROM jv)
 SELECT file_id, specifier, CASE WHEN suffix(specifier, '.*') THEN NULL ELSE coalesce(a.target, b.target) END AS target FROM s LEFT JOIN ix a ON a.k = specifier LEFT JOIN ix b ON b.k = regexp_replace(specifier, '\\.[^.]*$', '') AND contains(specifier, '.')""",
-    "specifier_buckets": "SELECT CASE WHEN specifier LIKE '.%' THEN 'relative' WHEN specifier LIKE '@/%' OR specifier LIKE '~/%' THEN 'alias' WHEN specifier LIKE '@%' THEN 'scoped' WHEN specifier LIKE '/%' THEN 'absolute' ELSE 'bare' END AS bucket, count(*) AS n FROM edges WHERE specifier IS NOT NULL GROUP BY 1",
+    "specifier_buckets": _G + """, p AS (SELECT DISTINCT split_part(file_id, '/', 1) AS ns, name, file_id FROM sym WHERE kind = 'class' AND name IS NOT NULL), sp AS (SELECT specifier FROM edges WHERE specifier IS NOT NULL
+ UNION ALL SELECT 'partial:' || min(a.name) FROM p a JOIN p b ON a.ns = b.ns AND a.name = b.name AND a.file_id <> b.file_id GROUP BY a.file_id, b.file_id UNION ALL SELECT 'convention:tests' FROM cur WHERE is_test_file)
+SELECT CASE WHEN NOT contains(specifier, ':') THEN 'regular' WHEN regexp_matches(specifier, ':[A-Z][^:]*$') THEN regexp_replace(specifier, '[^:]*$', '*') ELSE specifier END AS bucket, count(*) AS n FROM sp GROUP BY 1""",
+    "resolution_stats": _STATS + "SELECT language, count(*) AS n, count(target) AS n_resolved, round(count(target) / count(*)::DOUBLE, 3) AS ratio FROM res GROUP BY 1",
+    "unresolved_topk": _STATS + "SELECT language, specifier, n, sample, place FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY n DESC, specifier) AS place FROM (SELECT language, specifier, count(*) AS n, min(file_id) AS sample FROM res WHERE target IS NULL GROUP BY 1, 2)) WHERE place <= 30",
     "partial_pairs": _G + ", p AS (SELECT DISTINCT split_part(file_id, '/', 1) AS ns, name, file_id FROM sym WHERE kind = 'class' AND name IS NOT NULL) SELECT a.file_id AS src, b.file_id AS dst, 'partial:' || min(a.name) AS specifier FROM p a JOIN p b ON a.ns = b.ns AND a.name = b.name AND a.file_id <> b.file_id GROUP BY 1, 2",
     "idempotent_merge": _G + ", p AS (SELECT DISTINCT split_part(file_id, '/', 1) AS ns, name, file_id FROM sym WHERE kind = 'class' AND name IS NOT NULL), n AS (SELECT DISTINCT a.file_id AS src, b.file_id AS dst FROM p a JOIN p b ON a.ns = b.ns AND a.name = b.name AND a.file_id <> b.file_id) SELECT 'import' AS kind, count(*) AS n FROM adj UNION ALL SELECT 'partial', count(*) FROM n WHERE (src, dst) NOT IN (SELECT (src, dst) FROM adj)",
 }
