@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import current_rows, key_form
+from tessera.session import current_rows, cut, key_form
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
@@ -42,6 +42,7 @@ def target_report(edges: DataFrame, imports: DataFrame) -> DataFrame:
     """
     calls = target_states(edges).withColumn("file_id", F.substring_index("dst", "#", 1))
     states = calls.join(import_states(imports).withColumnRenamed("dst", "file_id"), "file_id", "left").select("dst", "n_edges", "n_sources", F.coalesce("n_imports", F.lit(0)).alias("n_imports"))
+    states = cut(states)  # read for the total and for the rows: a row per target
     total = states.agg(F.coalesce(F.sum("n_edges"), F.lit(0)).alias("total"))
     share = F.try_divide(F.col("n_edges"), F.col("total"))
     return states.crossJoin(F.broadcast(total)).where("dst is not null").select("dst", "n_edges", "n_sources", share.alias("share"), "n_imports", (F.col("n_edges") * F.col("n_imports")).alias("n_pairs"))  # total: one row
