@@ -18,21 +18,23 @@ class _Find:
 
     def __init__(self, spark: SparkSession, d: str):
         self.docs, self.imports = table(spark, d, "documents"), table(spark, d, "edges")
-        self.files, self.symbols = P.live_files(table(spark, d, "files")), P.live_symbols(table(spark, d, "symbols"))
+        self.files, self.symbols = P.live_files(table(spark, d, "files")), P.symbol_names(table(spark, d, "symbols"))
         self.cand = P.candidates(self.docs, self.files, self.symbols, TERMS)
 
     def weights(self) -> DataFrame:
-        self.n = self.files.count()  # one number
+        self.n = self.files.count()  # one number, from a few columns of the files
         return P.term_weights(self.cand, TERMS, self.n)
 
+    def evidence(self) -> DataFrame:
+        return P.evidence(self.cand, self.weights(), self.imports)
+
 
 def find_coverage(spark: SparkSession, d: str) -> DataFrame:
     return P.body_coverage(table(spark, d, "documents"), TERMS).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_terms"))
 
 
 def find_name_channel(spark: SparkSession, d: str) -> DataFrame:
-    f = _Find(spark, d)
-    return P.name_coverage(f.files, f.symbols, TERMS)
+    return P.name_coverage(P.live_files(table(spark, d, "files")), P.symbol_names(table(spark, d, "symbols")), TERMS)
 
 
 def find_union_channels(spark: SparkSession, d: str) -> DataFrame:
@@ -62,12 +64,12 @@ def find_rank(spark: SparkSession, d: str) -> DataFrame:
 
 def find_evidence_class(spark: SparkSession, d: str) -> DataFrame:
     f = _Find(spark, d)
-    return P.evidence(f.cand, f.weights(), f.symbols, f.imports, TERMS)
+    return f.evidence()
 
 
 def find_partition_classes(spark: SparkSession, d: str) -> DataFrame:
     f = _Find(spark, d)
-    return P.partition(f.cand, f.files, P.evidence(f.cand, f.weights(), f.symbols, f.imports, TERMS))
+    return P.partition(f.cand, f.files, f.evidence())
 
 
 def find_noise_floor(spark: SparkSession, d: str) -> DataFrame:
@@ -78,13 +80,13 @@ def find_page(spark: SparkSession, d: str) -> DataFrame:
     """The listed files per class: twelve of code, four documents, four styles, best first."""
     f = _Find(spark, d)
     w = f.weights()
-    shown = P.partition(f.cand, f.files, P.evidence(f.cand, w, f.symbols, f.imports, TERMS)).where("shown")
+    shown = P.partition(f.cand, f.files, P.evidence(f.cand, w, f.imports)).where("shown")
     ranked = P.rank(f.cand, w, None).join(shown.select("file_id", "class"), "file_id")
     return top_k(ranked, ["class"], [F.desc("score"), "file_id"], P.K.LISTED).where(F.col("place") <= F.when(F.col("class") == "code", P.K.LISTED).otherwise(P.K.DOCS_LISTED))
 
 
 def line_mask(spark: SparkSession, d: str) -> DataFrame:
-    return P.excluded_lines(P.lines(table(spark, d, "documents"))).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("excluded").cast("int")).alias("n_excluded"))
+    return P.line_counts(table(spark, d, "documents"))
 
 
 def _converged(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +125,7 @@ def via_terms(spark: SparkSession, d: str) -> DataFrame:
     """Why a file consumes another: the terms the definer declares and the consumer has, two with the best idf."""
     f = _Find(spark, d)
     w = f.weights()
-    ev = P.evidence(f.cand, w, f.symbols, f.imports, TERMS).where("class = 'declares'").select(F.col("file_id").alias("b"), "term")
+    ev = P.evidence(f.cand, w, f.imports).where("class = 'declares'").select(F.col("file_id").alias("b"), "term")
     direct = P.relations(f.cand, f.imports).where("relation = 'consumes'").select("a", "b")
     via = direct.join(ev, "b").join(f.cand.select(F.col("file_id").alias("a"), "term"), ["a", "term"], "left_semi").join(F.broadcast(w.where("is_disc").select("term", "idf")), "term")
     place = F.row_number().over(P.Window.partitionBy("a", "b").orderBy(F.desc("idf"), "term"))
@@ -131,7 +133,8 @@ def via_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def import_target_first(spark: SparkSession, d: str) -> DataFrame:
-    return P.import_targets(table(spark, d, "edges"), P.live_symbols(table(spark, d, "symbols")), TERMS)
+    f = _Find(spark, d)
+    return P.import_targets(f.cand, f.imports)
 
 
 def rare_postings(spark: SparkSession, d: str) -> DataFrame:
@@ -153,13 +156,9 @@ def related_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bridge_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Postings whose token contains a query stem or is contained in one (four characters at least)."""
+    """Postings whose token contains a stem of the query or is contained in one."""
     p = P.rare_postings(P.content_tokens(table(spark, d, "documents")), P.live_files(table(spark, d, "files")))
-    stems = [s for t in TERMS for s in {t.lower().replace("_", "").replace("-", "")} if len(s) >= 4]
-    near = F.lit(False)
-    for s in stems:
-        near = near | X.fold_sep("token").contains(s) | F.lit(s).contains(X.fold_sep("token"))
-    return p.where(near).select("token", "df")
+    return P.near_query(p, TERMS).select("token", "df")
 
 
 def name_echo(spark: SparkSession, d: str) -> DataFrame:
@@ -191,7 +190,8 @@ idf AS (SELECT term, df, ln(1 + ((SELECT count(*) FROM cur) - df + 0.5) / (df +
 w AS (SELECT term, df, idf, greatest(1.0, max(idf) OVER ()) AS max_idf, df / (SELECT count(*) FROM cur)::DOUBLE < 0.05 AS is_rare, idf >= (SELECT list_sort(list(idf))[((count(*) - 1) // 2 + 1)::BIGINT] FROM idf) AS is_disc FROM idf),
 ranked AS (SELECT file_id, round(3 * count(*) + sum((3 * idf * in_name::INT + 2 * idf * in_path::INT) / max_idf), 4) AS score, count(*) AS coverage FROM cand JOIN w USING (term) GROUP BY 1),
 decl AS (SELECT DISTINCT file_id, term FROM sym, terms WHERE contains({_FOLD.format('name')}, folded)),
-spec AS (SELECT DISTINCT src AS file_id, term FROM edges, terms WHERE contains({_FOLD.format('specifier')}, folded)),
+carry AS (SELECT file_id AS dst, term FROM cur, terms WHERE contains({_FOLD.format('path')}, folded) UNION SELECT file_id, term FROM decl WHERE file_id IN (SELECT file_id FROM cur)),
+spec AS (SELECT DISTINCT src AS file_id, term FROM edges JOIN carry USING (dst)),
 ev AS (SELECT file_id, term, CASE WHEN d.term IS NOT NULL THEN 'declares' WHEN in_path THEN 'in_path' WHEN is_rare AND s.term IS NOT NULL THEN 'imports' WHEN is_rare AND in_body THEN 'mentions' END AS class
   FROM cand JOIN w USING (term) LEFT JOIN decl d USING (file_id, term) LEFT JOIN spec s USING (file_id, term)),
 ev1 AS (SELECT * FROM ev WHERE class IS NOT NULL),
@@ -252,14 +252,14 @@ SQL = {
     "direct_relations": _W + _REL + "SELECT * FROM direct",
     "cocitation_siblings": _W + _REL + "SELECT * FROM sib",
     "via_terms": _W + _REL + "SELECT * FROM (SELECT a, b, term, row_number() OVER (PARTITION BY a, b ORDER BY idf DESC, term) AS place FROM direct JOIN (SELECT file_id AS b, term FROM ev1 WHERE class = 'declares') USING (b) JOIN (SELECT term, idf FROM w WHERE is_disc) USING (term) WHERE (a, term) IN (SELECT (file_id, term) FROM cand)) WHERE place <= 2",
-    "import_target_first": _W + f"SELECT src AS file_id, term, arg_min(dst, (ord, dst)) AS target FROM (SELECT DISTINCT src, dst, ord FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL), terms WHERE contains({_FOLD.format('dst')}, folded) OR (dst, term) IN (SELECT (file_id, term) FROM decl) GROUP BY 1, 2",
+    "import_target_first": _W + "SELECT src AS file_id, term, arg_min(dst, (ord, dst)) AS target FROM (SELECT DISTINCT src, dst, ord FROM edges WHERE src IS NOT NULL) JOIN carry USING (dst) GROUP BY 1, 2",
     "rare_postings": _W + "," + _LINES + "," + _TOK + "SELECT token, df, array_to_string(files, ',') AS files FROM post",
     "content_tokens": "WITH cur AS (SELECT 1 AS file_id, false AS is_test_file, false AS is_barrel)," + _LINES + "," + _TOK.replace("file_id IN (SELECT file_id FROM cur", "false AND 1 IN (SELECT file_id FROM cur") + "SELECT bits, count(*) AS n, count(DISTINCT token) AS n_tokens FROM tok GROUP BY 1",
     "rare_token_bridge": _W + "," + _LINES + "," + _TOK + """, p AS (SELECT p0.token, df, f, bits FROM (SELECT token, df, unnest(files) AS f FROM post) p0 JOIN tok ON tok.file_id = f AND tok.token = p0.token),
  prs AS (SELECT a.token, a.df, a.f AS a, b.f AS b, ((a.bits | b.bits) & 2) // 2 AS quoted FROM p a JOIN p b ON a.token = b.token AND a.f < b.f WHERE regexp_replace(a.f, '/[^/]*$', '') <> regexp_replace(b.f, '/[^/]*$', '')),
  s AS (SELECT a, b, count(*) AS n_shared, min(df) AS min_df, max(len(regexp_split_to_array(token, '[\\s\\-_./]+'))) AS words, max(quoted) AS quoted FROM prs GROUP BY 1, 2)
 SELECT a, b, n_shared, min_df FROM s WHERE (n_shared >= 2 OR quoted = 1 OR (min_df <= 3 AND words >= 3)) AND (a, b) NOT IN (SELECT (least(src, dst), greatest(src, dst)) FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL)""",
-    "bridge_gate": _W + "," + _LINES + "," + _TOK + "SELECT DISTINCT token, df FROM post, terms WHERE length(folded) >= 4 AND (contains(replace(replace(token, '-', ''), '_', ''), folded) OR contains(folded, replace(replace(token, '-', ''), '_', '')))",
+    "bridge_gate": _W + "," + _LINES + "," + _TOK + ", stem AS (SELECT DISTINCT s FROM (SELECT unnest([low] || regexp_split_to_array(low, '[_\\W]+')) AS s FROM terms) WHERE length(s) >= 4) SELECT DISTINCT token, df FROM post, stem WHERE contains(token, s) OR contains(s, token)",
     "name_echo": _W.replace(_T, _T.replace("(VALUES ", "(VALUES ('roster', 'roster', 'roster'), ")) + f", h AS (SELECT DISTINCT file_id, term FROM cur, terms WHERE contains({_FOLD.format(chr(39).join(['regexp_extract(path, ', '[^/]*$', ')']))}, folded)) SELECT file_id, term FROM h WHERE term IN (SELECT term FROM h GROUP BY 1 HAVING count(*) <= 200)",
 }
 

@@ -41,14 +41,14 @@ class CodeIndex:
             files = files.where(F.col("path").contains(path))
         if not tests:
             files = files.where(~F.coalesce("is_test_file", X.is_test_path("path")))
-        cand = P.candidates(self.t["documents"], files, self.symbols, terms)
+        cand = P.candidates(self.t["documents"], files, P.symbol_names(self.t["symbols"]), terms)
         n = files.count()
         w = P.term_weights(cand, terms, n)
-        ev = P.evidence(cand, w, self.symbols, self.t["edges"], terms)
+        ev = P.evidence(cand, w, self.t["edges"])
         conv = P.convergence(self.t["documents"], w, terms, n)
         return {
             "status": "ok", "terms": terms, "rank": P.rank(cand, w, limit), "weights": w, "evidence": ev, "classes": P.partition(cand, files, ev), "relations": P.relations(cand, self.t["edges"]),
-            "preview": P.clusters(conv).where(F.col("peak_rank") <= K.PREVIEW_CLUSTERS), "targets": P.import_targets(self.t["edges"], self.symbols, terms),
+            "preview": P.clusters(conv).where(F.col("peak_rank") <= K.PREVIEW_CLUSTERS), "targets": P.import_targets(cand, self.t["edges"]),
         }
 
     def gs(self, path: str, view: str | None = None, match: str | None = None, symbol: str | None = None) -> dict[str, Any]:

@@ -1,8 +1,9 @@
 """find: files ranked for a set of terms, and everything the page shows about them.
 
 A query's terms are a handful of literals in the plan; candidates come from the bodies, names, paths and symbols,
-scores from coverage, document frequency and where a term stands. Bodies are read once, for coverage and lines;
-ranking itself never looks at them.
+scores from coverage, document frequency and where a term stands. One pass over the bodies gives the candidates, a few flags a
+file; they are written once and all of ranking, evidence and relations reads only them. Lines are cut, masked and matched inside
+their file's row, so of a body only lines that hold a term ever move.
 
 Defined cases: no usable term gives empty results; a term no file has gets df 0; null texts, paths and names match
 nothing; ties rank by file id.
@@ -10,13 +11,15 @@ nothing; ties rank by file id.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import fixed as K
 from tessera.functions import text as X
-from tessera.session import current_rows
+from tessera.session import current_rows, cut, top_k
 
 
 def live_files(files: DataFrame) -> DataFrame:
@@ -50,12 +53,28 @@ def name_coverage(files: DataFrame, symbols: DataFrame, terms: list[str]) -> Dat
     return path.unionByName(name).groupBy("file_id", "term").agg(F.max("in_name").alias("in_name"), F.max("in_path").alias("in_path"))
 
 
+def symbol_names(symbols: DataFrame) -> DataFrame:
+    """``file_id, name`` of the live symbols, repeated rows and all: enough for whether a name contains a term."""
+    return symbols.where("deleted_at is null and symbol_id is not null").select("file_id", "name")
+
+
 def candidates(docs: DataFrame, files: DataFrame, symbols: DataFrame, terms: list[str]) -> DataFrame:
-    """(file_id, term, in_name, in_path, in_body) of live files: the union of all channels."""
-    body = body_coverage(docs, terms).withColumn("in_body", F.lit(True))
-    both = name_coverage(files, symbols, terms).join(body, ["file_id", "term"], "full")
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
-    return both.select("file_id", "term", flag("in_name"), flag("in_path"), flag("in_body")).join(files.select("file_id"), "file_id", "left_semi")
+    """(file_id, term, in_name, in_path, in_body) of live files, written once: the union of all channels.
+
+    Each channel gives a flag per term and row; one aggregation by file joins them and tells the live files.
+    """
+    n = len(terms)
+
+    def channel(df: DataFrame, c: str, at: int, live: bool) -> DataFrame:
+        low = F.lower(X.fold_sep(c) if at < 2 else F.col(c))
+        keys = [(t.replace("-", "").replace("_", "") if at < 2 else t).lower() for t in terms]
+        flags = [F.coalesce(low.contains(k), F.lit(False)) if m // n == at else F.lit(False) for m, k in enumerate(keys * 3)]
+        return df.where(f"file_id is not null and ({c} is not null or {str(live).lower()})").select("file_id", *[f.alias(f"f{m}") for m, f in enumerate(flags)], F.lit(live).alias("live"))
+
+    rows = channel(symbols, "name", 0, False).unionByName(channel(files, "path", 1, True)).unionByName(channel(docs, "text", 2, False))
+    per_file = rows.groupBy("file_id").agg(*[F.max(f"f{m}").alias(f"f{m}") for m in range(3 * n)], F.max("live").alias("live")).where("live")
+    met = F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"f{m}").alias("in_name"), F.col(f"f{n + m}").alias("in_path"), F.col(f"f{2 * n + m}").alias("in_body")) for m, t in enumerate(terms)])
+    return cut(per_file.select("file_id", F.explode(F.filter(met, lambda x: x["in_name"] | x["in_path"] | x["in_body"])).alias("x")).select("file_id", "x.*"))
 
 
 def doc_freq(cand: DataFrame, terms: list[str]) -> DataFrame:
@@ -81,12 +100,21 @@ def rank(cand: DataFrame, weights: DataFrame, limit: int | None = K.JSON_LISTED)
     return out.limit(limit) if limit else out
 
 
-def evidence(cand: DataFrame, weights: DataFrame, symbols: DataFrame, imports: DataFrame, terms: list[str]) -> DataFrame:
-    """(file_id, term, class): declares > in_path > imports (rare terms) > mentions (rare terms); the first that holds."""
-    declared = symbols.where("name is not null").select("file_id", F.explode(matching(F.col("name"), terms, True)).alias("term")).distinct().withColumn("declares", F.lit(True))
-    spec = imports.where("specifier is not null").select(F.col("src").alias("file_id"), F.explode(matching(F.col("specifier"), terms, True)).alias("term")).distinct().withColumn("imports", F.lit(True))
-    all_ = cand.join(F.broadcast(weights.select("term", "is_rare")), "term").join(declared, ["file_id", "term"], "left").join(spec, ["file_id", "term"], "left")
-    kind = F.when(F.col("declares"), "declares").when(F.col("in_path"), "in_path").when(F.col("is_rare") & F.col("imports"), "imports").when(F.col("is_rare") & F.col("in_body"), "mentions")
+def import_carriers(cand: DataFrame, imports: DataFrame) -> DataFrame:
+    """(file_id, term, ord, target): imports of a live file whose path or symbols contain the term."""
+    named = cand.where("in_name or in_path").select(F.col("file_id").alias("dst"), "term")
+    e = imports.where("src is not null and dst is not null").select("src", "dst", "ord").distinct()
+    return e.join(named, "dst").select(F.col("src").alias("file_id"), "term", "ord", F.col("dst").alias("target"))
+
+
+def evidence(cand: DataFrame, weights: DataFrame, imports: DataFrame) -> DataFrame:
+    """(file_id, term, class): declares > in_path > imports (rare terms) > mentions (rare terms); the first that holds.
+
+    A file imports a term if an edge of its leads to a file that declares the term or has it in its path.
+    """
+    spec = import_carriers(cand, imports).select("file_id", "term").distinct().withColumn("imports", F.lit(True))
+    all_ = cand.join(F.broadcast(weights.select("term", "is_rare")), "term").join(spec, ["file_id", "term"], "left")
+    kind = F.when(F.col("in_name"), "declares").when(F.col("in_path"), "in_path").when(F.col("is_rare") & F.col("imports"), "imports").when(F.col("is_rare") & F.col("in_body"), "mentions")
     return all_.select("file_id", "term", kind.alias("class")).where("class is not null")
 
 
@@ -104,28 +132,46 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.where("file_id is not null and text is not null").select("file_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
 
 
-def excluded_lines(all_lines: DataFrame) -> DataFrame:
-    """Adds ``excluded``: comment lines by their leader, and lines of triple-quoted texts by the parity of the quotes before."""
-    per_file = Window.partitionBy("file_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    quotes = F.size(F.split("text", '"""|\'\'\'', -1)) - 1
-    with_q = all_lines.withColumn("quotes", quotes)
-    before = F.coalesce(F.sum("quotes").over(per_file), F.lit(0))
-    comment = F.trim("text").rlike(r"^(#|//|/\*|\*|<!--|;;|--\s)")
-    return with_q.withColumn("excluded", (before % 2 == 1) | (F.col("quotes") > 0) | comment).drop("quotes")
+#: Noncharacters of Unicode, put in for what stands inside triple quotes and for the quotes themselves.
+_INSIDE, _QUOTES = "\ufdd0", "\ufdd1"
+
+
+def masked(text: Column | str) -> Column:
+    """A text's lines as an array of (line, text, excluded), in one pass over the text.
+
+    Excluded are comment lines by their leader, and lines of triple-quoted texts by the parity of the quotes before: every
+    second stretch between such quotes is inside, so its line ends get a mark that the split leaves at the front of its lines.
+    """
+    clean = F.translate(text if isinstance(text, Column) else F.col(text), _INSIDE + _QUOTES, "\ufffd\ufffd")
+    woven = F.array_join(F.transform(F.split(clean, '"""|\'\'\'', -1), lambda s, n: F.when(n % 2 == 1, F.replace(s, F.lit("\n"), F.lit("\n" + _INSIDE))).otherwise(s)), _QUOTES)
+    comment = lambda t: F.trim(t).rlike(r"^(#|//|/\*|\*|<!--|;;|--\s)")
+    return F.transform(F.split(woven, "\n", -1), lambda t, n: F.struct(n.alias("line"), t.alias("text"), (t.startswith(_INSIDE) | t.contains(_QUOTES) | comment(t)).alias("excluded")))
+
+
+def masked_lines(docs: DataFrame) -> DataFrame:
+    """(file_id, lines) of source files."""
+    return docs.where("file_id is not null and text is not null").select("file_id", masked("text").alias("lines"))
+
+
+def line_counts(docs: DataFrame) -> DataFrame:
+    """(file_id, n_lines, n_excluded): lines of a file and those its mask leaves out."""
+    m = masked_lines(docs).select("file_id", F.size("lines").alias("n"), F.size(F.filter("lines", lambda x: x["excluded"])).alias("x"))
+    return m.groupBy("file_id").agg(F.sum("n").alias("n_lines"), F.sum("x").alias("n_excluded"))
 
 
 def convergence(docs: DataFrame, weights: DataFrame, terms: list[str], n_files: int) -> DataFrame:
     """(file_id, line, n_terms, score) of the lines worth a preview: two terms within three lines, or a rare one.
 
-    Only lines with a term go into the window, so a file's window is as long as its matches.
+    Only lines with a term leave their text's row.
     """
-    marked = excluded_lines(lines(docs)).where("not excluded")
-    hits = marked.select("file_id", "line", "text", F.explode(matching(F.col("text"), terms)).alias("term")).join(F.broadcast(weights.select("term", "df", "is_rare")), "term")
+    with_terms = F.filter(F.transform(F.filter("lines", lambda x: ~x["excluded"]), lambda x: F.struct(x["line"].alias("line"), x["text"].alias("text"), matching(x["text"], terms).alias("terms"))), lambda x: F.size(x["terms"]) > 0)
+    rows = masked_lines(docs).select("file_id", F.explode(with_terms).alias("x")).select("file_id", "x.line", X.is_import_line("x.text").alias("is_import"), F.explode("x.terms").alias("term"))
+    hits = rows.join(F.broadcast(weights.select("term", "df", "is_rare")), "term")  # weights: a row per term of the query
     near = Window.partitionBy("file_id").orderBy("line").rangeBetween(-K.WINDOW_LINES, K.WINDOW_LINES)
     hits = hits.withColumn("near", F.collect_set(F.struct("term", "df")).over(near))
-    per_line = hits.groupBy("file_id", "line").agg(F.first("near").alias("near"), F.max("is_rare").alias("rare"), F.first("text").alias("text"))
+    per_line = hits.groupBy("file_id", "line").agg(F.first("near").alias("near"), F.max("is_rare").alias("rare"), F.max("is_import").alias("is_import"))
     weight = F.aggregate("near", F.lit(0.0), lambda a, t: a + F.lit(float(n_files)) / F.greatest(F.lit(1), t["df"]))
-    score = weight * F.when(X.is_import_line("text"), K.IMPORT_BOOST).otherwise(1.0)
+    score = weight * F.when(F.col("is_import"), K.IMPORT_BOOST).otherwise(1.0)
     return per_line.where((F.size("near") >= 2) | F.col("rare")).select("file_id", "line", F.size("near").cast("bigint").alias("n_terms"), F.round(score, 6).alias("score"))
 
 
@@ -158,13 +204,9 @@ def relations(cand: DataFrame, imports: DataFrame, hub: int = K.HUB_DEGREE) -> D
     return direct.withColumn("relation", F.lit("consumes")).unionByName(pairs.join(either, ["a", "b"], "left_anti").withColumn("relation", F.lit("siblings")))
 
 
-def import_targets(imports: DataFrame, symbols: DataFrame, terms: list[str]) -> DataFrame:
-    """(file_id, term, target): the first import, by its order, whose path or symbols contain the term."""
-    named = symbols.select(F.col("file_id").alias("dst"), F.explode(matching(F.col("name"), terms, True)).alias("term")).distinct()
-    e = imports.where("src is not null and dst is not null").select("src", "dst", "ord").distinct()
-    by_path = e.select("src", "dst", "ord", F.explode(matching(F.col("dst"), terms, True)).alias("term"))
-    both = by_path.unionByName(e.join(named, "dst").select("src", "dst", "ord", "term"))
-    return both.groupBy(F.col("src").alias("file_id"), "term").agg(F.min(F.struct("ord", "dst")).alias("first")).select("file_id", "term", F.col("first.dst").alias("target"))
+def import_targets(cand: DataFrame, imports: DataFrame) -> DataFrame:
+    """(file_id, term, target): the first import, by its order, of a live file whose path or symbols contain the term."""
+    return import_carriers(cand, imports).groupBy("file_id", "term").agg(F.min(F.struct("ord", "target")).alias("first")).select("file_id", "term", "first.target")
 
 
 def rare_postings(tokens: DataFrame, files: DataFrame, lo: int = K.MIN_POSTINGS, hi: int = K.MAX_POSTINGS) -> DataFrame:
@@ -177,13 +219,14 @@ def rare_postings(tokens: DataFrame, files: DataFrame, lo: int = K.MIN_POSTINGS,
 
 
 def content_tokens(docs: DataFrame) -> DataFrame:
-    """(file_id, token, bits): shaped names of the code (1) and of its string literals (2), comments left out."""
-    code = excluded_lines(lines(docs)).where("not excluded").select("file_id", "text")
-    strings = F.regexp_extract_all("text", F.lit("\"[^\"]*\"|'[^']*'"), F.lit(0))
-    bare = F.regexp_replace("text", "\"[^\"]*\"|'[^']*'", " ")
-    words = lambda c: F.regexp_extract_all(c, F.lit("[A-Za-z][A-Za-z0-9_]*"), F.lit(0))
-    both = code.select("file_id", F.explode(words(bare)).alias("token"), F.lit(1).alias("bit")).unionByName(code.select("file_id", F.explode(words(F.array_join(strings, " "))).alias("token"), F.lit(2).alias("bit")))
-    return both.where(X.is_shaped_token("token")).groupBy("file_id", F.lower("token").alias("token")).agg(F.bit_or("bit").alias("bits"))
+    """(file_id, token, bits), written once: shaped names of the code (1) and of its string literals (2), comments left out."""
+    code = F.array_join(F.transform(F.filter("lines", lambda x: ~x["excluded"]), lambda x: x["text"]), "\n")
+    literal = F.lit("\"[^\"\n]*\"|'[^'\n]*'")
+    shaped = lambda c: F.array_distinct(F.transform(F.filter(F.regexp_extract_all(c, F.lit("[A-Za-z][A-Za-z0-9_]*"), F.lit(0)), X.is_shaped_token), F.lower))
+    both = masked_lines(docs).select("file_id", code.alias("code")).select("file_id", shaped(F.regexp_replace("code", literal, F.lit(" "))).alias("bare"), shaped(F.array_join(F.regexp_extract_all("code", literal, F.lit(0)), " ")).alias("quoted"))
+    bit = lambda c, n: F.transform(F.col(c), lambda t: F.struct(t.alias("token"), F.lit(n).alias("bit")))
+    one = both.select("file_id", F.explode(F.concat(bit("bare", 1), bit("quoted", 2))).alias("t")).select("file_id", "t.token", "t.bit")
+    return cut(one.groupBy("file_id", "token").agg(F.bit_or("bit").alias("bits")))
 
 
 def bridges(postings: DataFrame, tokens: DataFrame, imports: DataFrame) -> DataFrame:
@@ -202,11 +245,26 @@ def bridges(postings: DataFrame, tokens: DataFrame, imports: DataFrame) -> DataF
     return strong.join(e, ["a", "b"], "left_anti").select("a", "b", "n_shared", "min_df")
 
 
+def query_stems(terms: list[str]) -> list[str]:
+    """The terms of four characters or more, and such parts of them between underscores and signs."""
+    return sorted({p for t in terms for p in [t.lower(), *re.split(r"[_\W]+", t.lower())] if len(p) >= 4})
+
+
+def near_query(tokens: DataFrame, terms: list[str]) -> DataFrame:
+    """Rows whose ``token`` contains a stem of the query or is contained in one; all of them if the query has no stem."""
+    stems = query_stems(terms)
+    if not stems:
+        return tokens
+    near = F.lit(False)
+    for s in stems:
+        near = near | F.col("token").contains(s) | F.lit(s).contains(F.col("token"))
+    return tokens.where(near)
+
+
 def related_files(linked: DataFrame, cap: int = 3) -> DataFrame:
     """(file_id, related, n_shared, place): the three files each file shares most rare tokens with, rarer ones first."""
     both = linked.select(F.col("a").alias("file_id"), F.col("b").alias("related"), "n_shared", "min_df").unionByName(linked.select(F.col("b").alias("file_id"), F.col("a").alias("related"), "n_shared", "min_df"))
-    place = F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("n_shared"), "min_df", "related"))
-    return both.withColumn("place", place.cast("bigint")).where(F.col("place") <= cap).select("file_id", "related", "n_shared", "place")
+    return top_k(both, ["file_id"], [F.desc("n_shared"), "min_df", "related"], cap).select("file_id", "related", "n_shared", "place")
 
 
 def page_links(pairs: list[tuple[str, str, int]], cap: int = 6) -> list[tuple[str, str, int]]:

@@ -250,8 +250,28 @@ def test_find_by_hand(spark):
 
 def test_mask(spark):
     text = 'x = 1\n"""doc\nbeta\n"""\n# c\n  // d\ny'
-    rows = find.excluded_lines(find.lines(spark.createDataFrame([("f", text)], "file_id string, text string"))).orderBy("line").collect()
-    assert [r.excluded for r in rows] == [False, True, True, True, True, True, False]
+    mask = lambda t: [(x.text, x.excluded) for x in find.masked_lines(spark.createDataFrame([("f", t)], "file_id string, text string")).first().lines]
+    assert [e for _, e in mask(text)] == [False, True, True, True, True, True, False]
+    assert mask("") == [("", False)] and mask("a '''b''' c\nd")[1] == ("d", False) and [e for _, e in mask('"""\n\n')] == [True, True, True]
+    assert [t for t, e in mask("p\n﷐q\n") if not e] == ["p", "�q", ""]
+    long = "\n".join(f"line {i}" if i % 7 else '"""' for i in range(30000))
+    parity, want = 0, []
+    for line in long.split("\n"):
+        want.append(parity % 2 == 1 or '"""' in line)
+        parity += line.count('"""')
+    assert [e for _, e in mask(long)] == want
+    assert find.line_counts(spark.createDataFrame([("f", None), (None, "x"), ("g", text)], "file_id string, text string")).collect()[0][:] == ("g", 7, 5)
+
+
+def test_imports_follow_the_edge(spark):
+    """A file imports a term if the target declares it or has it in its path, whatever the specifier says; dead targets don't count."""
+    docs = spark.createDataFrame([("a.ts", "alpha"), ("b.ts", "alpha"), ("c.ts", "alpha")] + [(f"n{i}.ts", "x") for i in range(100)], "file_id string, text string")
+    files = spark.createDataFrame([(f, f) for f in ["a.ts", "b.ts", "c.ts", "def.ts"] + [f"n{i}.ts" for i in range(100)]], "file_id string, path string")
+    sym = spark.createDataFrame([("def.ts", "makeAlpha")], "file_id string, name string")
+    cand = find.candidates(docs, files, sym, ["alpha"])
+    edges = spark.createDataFrame([("a.ts", "def.ts", "@/other", 1), ("b.ts", "n1.ts", "./alpha", 1), ("c.ts", "gone/alpha.ts", "x", 1)], "src string, dst string, specifier string, ord int")
+    got = {r.file_id: r["class"] for r in find.evidence(cand, find.term_weights(cand, ["alpha"], 104), edges).collect()}
+    assert got == {"a.ts": "imports", "b.ts": "mentions", "c.ts": "mentions", "def.ts": "declares"}
 
 
 def test_regions_and_budget(spark):
