@@ -122,3 +122,5 @@ SQL = {
     "alias_cap": _REC + f"SELECT note_id, array_to_string({_CAP}, ',') AS aliases FROM lists",
     "alias_hidden": _REC + f"SELECT note_id, len(aliases) AS n_aliases, array_to_string(list_sort(list_filter(aliases, lambda q: NOT list_contains({_CAP}, q))), ',') AS hidden FROM lists",
 }
+
+RECORDS_SQL = SQL

@@ -1,7 +1,7 @@
 """Queries of the notebook over notes and anchors of the code index, and the same in SQL.
 
-Notes are the documents of kind note: the first line is the title, a type comes from the id, an alias is the
-second heading. Anchors are those of the index.
+Notes are the documents of kind note, of several texts the newest: the first line is the title, a type comes from the id, an
+alias is the second heading. Anchors are those of the index; a flow's steps are its anchors' paths as they are written.
 """
 
 from __future__ import annotations
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import fixed as K
 from tessera.functions import text as X
+from tessera.operators import fold as L
+from tessera.operators.catalog_fold import RECORDS_SQL
+from tessera.operators.catalog_fold import records as fold_records
 from tessera.operators.catalog_graph import _files, _symbols, _G
 from tessera.operators.catalog_text import STEM
 from tessera.plans import kb as N
@@ -22,7 +25,7 @@ IGNORE = ["*.md", "generated/", "src/ledger/", "!src/ledger/*.ts"]
 
 
 def notes(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "documents").where("kind = 'note' and note_id is not null").groupBy("note_id").agg(F.max("text").alias("text"))
+    n = table(spark, d, "documents").where("kind = 'note' and note_id is not null").groupBy("note_id").agg(F.max_by("text", F.struct("created_at", "text")).alias("text"))
     m = (F.ascii(F.substring("note_id", -1, 1)) + F.length("note_id")) % 10
     typ = F.when(m < 4, "file").when(m < 8, "flow").otherwise("lesson")
     status = F.when(m == 3, "superseded").when(m == 7, "retracted").otherwise("active")
@@ -36,6 +39,14 @@ def anchors(spark: SparkSession, d: str) -> DataFrame:
     return a.select("note_id", F.concat("repo", F.lit("/"), key_form(F.col("path"))).alias("path"), "symbols", "hash")
 
 
+def shaped(spark: SparkSession, d: str) -> DataFrame:
+    """Notes with the scope terms of lessons, two words of the title, and the steps of flows; every third has none."""
+    a = table(spark, d, "anchors").where("note_id is not null and path is not null").groupBy("note_id").agg(F.array_sort(F.collect_set(F.concat("repo", F.lit("/"), "path"))).alias("written"))
+    terms = F.array_distinct(F.slice(F.filter(X.symbol_tokens("title"), lambda t: F.length(t) >= 4), 1, 2))
+    some = F.pmod(F.length("note_id"), F.lit(3)) > 0
+    return notes(spark, d).join(a, "note_id", "left").withColumns({"scope_terms": F.when((F.col("type") == "lesson") & some, terms), "steps": F.when((F.col("type") == "flow") & some, F.col("written"))}).drop("written")
+
+
 def live(spark: SparkSession, d: str) -> DataFrame:
     """Live files with the hash of their version seen last."""
     h = table(spark, d, "live_hashes").groupBy(F.concat("repo", F.lit("/"), "path").alias("path")).agg(F.max_by("hash", F.struct("seen_at", "hash")).alias("hash"))
@@ -125,19 +136,23 @@ def anchor_lane(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _asked(spark, d):
-    """Lessons ask for two words of their title."""
-    words = F.filter(F.transform(X.symbol_tokens("title"), lambda t: F.lower(t)), lambda t: F.length(t) >= 4)
-    return notes(spark, d).where("type = 'lesson'").select("note_id", F.array_distinct(F.slice(words, 1, 2)).alias("terms")).where("size(terms) > 0")
+    """Lessons ask for two words of their title, half of them in some files only."""
+    words = F.filter(X.symbol_tokens("title"), lambda t: F.length(t) >= 4)
+    globs = F.when(F.length("note_id") % 2 == 0, F.array(F.lit("*.ts"), F.lit("*.py"))).otherwise(F.array().cast("array<string>"))
+    return notes(spark, d).where("type = 'lesson'").select("note_id", F.array_distinct(F.slice(words, 1, 2)).alias("terms"), globs.alias("globs")).where("size(terms) > 0")
+
+
+def _stamped_absence(spark, d):
+    return N.absence_stamp(_asked(spark, d), table(spark, d, "documents").where("file_id is not null and text is not null").select("file_id", "text"))
 
 
 def absence_stamp(spark: SparkSession, d: str) -> DataFrame:
-    texts = table(spark, d, "documents").where("file_id is not null and text is not null").select("file_id", "text")
-    return N.absence_stamp(_asked(spark, d), texts)
+    return _stamped_absence(spark, d).withColumn("samples", F.array_join("samples", ","))
 
 
 def absence_verdict(spark: SparkSession, d: str) -> DataFrame:
     a = _asked(spark, d)
-    s = absence_stamp(spark, d).join(a, "note_id")
+    s = _stamped_absence(spark, d).join(a, "note_id")
     stamped = F.when(F.pmod(F.length("note_id"), F.lit(3)) == 0, None).otherwise(F.reverse("terms"))
     return s.select("note_id", N.absence_verdict(stamped, F.col("terms"), F.col("n_matches")).alias("verdict"))
 
@@ -174,12 +189,17 @@ def dup_jaccard(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lint_findings(spark: SparkSession, d: str) -> DataFrame:
-    f = N.lint(notes(spark, d), anchors(spark, d), _stamped(spark, d), IGNORE, absence_stamp(spark, d))
+    f = N.lint(notes(spark, d), anchors(spark, d), _stamped(spark, d), IGNORE, _stamped_absence(spark, d), L.warnings(fold_records(table(spark, d, "events"))))
     return f.groupBy("check").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("note_id").alias("n_notes"))
 
 
 def repair_checks(spark: SparkSession, d: str) -> DataFrame:
-    return N.repairs(notes(spark, d), anchors(spark, d))
+    return N.repairs(shaped(spark, d), anchors(spark, d))
+
+
+def page_omitted(spark: SparkSession, d: str) -> DataFrame:
+    t = N.tiers(N.bm25(_channels(spark, d), TERMS), notes(spark, d), _stamped(spark, d))
+    return N.omitted(t, 8)
 
 
 def symbol_backfill(spark: SparkSession, d: str) -> DataFrame:
@@ -193,7 +213,7 @@ def status_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def paged_worklist(spark: SparkSession, d: str) -> DataFrame:
-    return N.paged(N.repairs(notes(spark, d), anchors(spark, d)), ["check", "note_id"], 10, 25)[0]
+    return N.paged(N.repairs(shaped(spark, d), anchors(spark, d)), ["check", "note_id"], 10, 25)[0]
 
 
 def notebook_toc(spark: SparkSession, d: str) -> DataFrame:
@@ -209,7 +229,7 @@ def note_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    anchor_freshness, rename_unique_hash, freshness_rollup, bm25_tool, note_term_df, hook_score, hook_gates, tier_rank, relative_floor, cap_then_exclude, implant_flag, convergence_lane, anchor_lane, absence_stamp,
+    anchor_freshness, rename_unique_hash, freshness_rollup, bm25_tool, note_term_df, hook_score, hook_gates, tier_rank, relative_floor, cap_then_exclude, page_omitted, implant_flag, convergence_lane, anchor_lane, absence_stamp,
     absence_verdict, exact_address_lookup, kb_lookup, note_map_best, wikilink_backlinks, dup_jaccard, lint_findings, repair_checks, symbol_backfill, status_totals, paged_worklist, notebook_toc, note_ids,
 )}
 
@@ -237,7 +257,7 @@ SQL = {
 }
 
 _NOTES = f""",
-nt0 AS (SELECT note_id, max(text) AS text, (ascii(note_id[-1]) + length(note_id)) % 10 AS m FROM documents WHERE kind = 'note' AND note_id IS NOT NULL GROUP BY note_id),
+nt0 AS (SELECT note_id, text, (ascii(note_id[-1]) + length(note_id)) % 10 AS m FROM (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY created_at DESC NULLS LAST, text DESC NULLS LAST) AS rn FROM documents WHERE kind = 'note' AND note_id IS NOT NULL) WHERE rn = 1),
 nt AS (SELECT note_id, CASE WHEN m < 4 THEN 'file' WHEN m < 8 THEN 'flow' ELSE 'lesson' END AS type, CASE WHEN m = 3 THEN 'superseded' WHEN m = 7 THEN 'retracted' ELSE 'active' END AS status,
  coalesce(regexp_replace(split_part(text, chr(10), 1), '^[\\s#]+', ''), '') AS title, list_filter([regexp_extract(text, '\\n## ([^\\n]+)', 1)], lambda a: a IS NOT NULL AND a <> '' AND m % 2 = 0) AS aliases, coalesce(text, '') AS body FROM nt0),
 tm AS (SELECT * FROM (VALUES {_V}) v(term, low, code)),
@@ -250,13 +270,18 @@ tfs AS (SELECT note_id, term, length, 3 * CASE WHEN contains(name, low) THEN (le
 bm AS (SELECT note_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * length / avg_len))), 6) AS score, count(*) AS covered FROM tfs JOIN sts USING (term) GROUP BY 1),
 gn AS (SELECT note_id, bool_and(state = 'missing') AS g FROM st GROUP BY 1),
 ti AS (SELECT note_id, score, CASE WHEN type <> 'lesson' AND coalesce(g, false) THEN 2 WHEN status <> 'active' THEN 1 ELSE 0 END AS tier FROM bm JOIN nt USING (note_id) LEFT JOIN gn USING (note_id)),
-wrd AS (SELECT DISTINCT file_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS word FROM documents WHERE file_id IS NOT NULL AND text IS NOT NULL),
-ask AS (SELECT note_id, terms FROM (SELECT note_id, list_distinct((list_filter({_TOK.format('title')}, lambda t: length(t) >= 4))[1:2]) AS terms FROM nt WHERE type = 'lesson') WHERE len(terms) > 0),
-abm AS (SELECT note_id, file_id FROM (SELECT note_id, unnest(terms) AS word, len(terms) AS k FROM ask) JOIN wrd USING (word) GROUP BY note_id, file_id, k HAVING count(*) = k),
-ab AS (SELECT note_id, coalesce(n, 0) AS n_matches, sample FROM ask LEFT JOIN (SELECT note_id, count(*) AS n, min(file_id) AS sample FROM abm GROUP BY 1) USING (note_id)),
-asy AS (SELECT note_id, max((len(coalesce(symbols, [])) > 0)::INT) AS s, count(path) AS n FROM anc GROUP BY 1),
-rep AS (SELECT 'missing-identity-aliases' AS "check", note_id FROM nt WHERE status = 'active' AND type IN ('file', 'flow') AND len(aliases) = 0 UNION ALL SELECT 'file-no-symbols', note_id FROM nt LEFT JOIN asy USING (note_id) WHERE status = 'active' AND type = 'file' AND coalesce(s, 0) = 0
- UNION ALL SELECT 'flow-no-steps', note_id FROM nt LEFT JOIN asy USING (note_id) WHERE status = 'active' AND type = 'flow' AND coalesce(n, 0) = 0 UNION ALL SELECT 'missing-scope-terms', note_id FROM nt WHERE status = 'active' AND type = 'lesson' AND length(body) = 0),
+ask AS (SELECT note_id, terms, length(note_id) % 2 = 0 AS globbed FROM (SELECT note_id, list_distinct((list_filter({_TOK.format('title')}, lambda t: length(t) >= 4))[1:2]) AS terms FROM nt WHERE type = 'lesson') WHERE len(terms) > 0),
+src AS (SELECT file_id, lower(text) AS low, regexp_matches(file_id, '\\.(ts|py)$') AS typed FROM documents WHERE file_id IS NOT NULL AND text IS NOT NULL),
+met AS (SELECT DISTINCT t, file_id, typed FROM (SELECT DISTINCT unnest(terms) AS t FROM ask), src WHERE contains(low, t)),
+abm AS (SELECT note_id, file_id FROM (SELECT note_id, unnest(terms) AS t, len(terms) AS k, globbed FROM ask) JOIN met USING (t) WHERE typed OR NOT globbed GROUP BY note_id, file_id, k HAVING count(*) = k),
+ab AS (SELECT note_id, coalesce(n, 0) AS n_matches, sample, coalesce(samples, '') AS samples FROM ask LEFT JOIN (SELECT note_id, count(*) AS n, min(file_id) AS sample, array_to_string(list_sort(list(file_id))[1:3], ',') AS samples FROM abm GROUP BY 1) USING (note_id)),
+asy AS (SELECT note_id, max((len(list_filter(coalesce(symbols, []), lambda x: x <> '')) > 0)::INT) AS s FROM anc GROUP BY 1),
+stp AS (SELECT DISTINCT a.note_id, a.repo || '/' || a.path AS p FROM anchors a JOIN nt USING (note_id) WHERE a.path IS NOT NULL AND a.repo IS NOT NULL AND type = 'flow' AND status = 'active' AND length(note_id) % 3 > 0),
+loo AS (SELECT note_id, array_to_string(list_sort(list(p)), ',') AS detail FROM stp WHERE p <> '' AND (note_id, p) NOT IN (SELECT (note_id, path) FROM anc WHERE path IS NOT NULL) GROUP BY 1),
+act AS (SELECT * FROM nt WHERE status = 'active'),
+rep AS (SELECT 'missing-identity-aliases' AS "check", note_id, '' AS detail FROM act WHERE type IN ('file', 'flow') AND len(aliases) = 0 UNION ALL SELECT 'file-no-symbols', note_id, '' FROM act LEFT JOIN asy USING (note_id) WHERE type = 'file' AND coalesce(s, 0) = 0
+ UNION ALL SELECT 'flow-no-steps', note_id, '' FROM act WHERE type = 'flow' AND note_id NOT IN (SELECT note_id FROM stp) UNION ALL SELECT 'flow-steps-unanchored', note_id, detail FROM loo
+ UNION ALL SELECT 'missing-scope-terms', note_id, '' FROM act LEFT JOIN ask USING (note_id) WHERE type = 'lesson' AND (terms IS NULL OR length(note_id) % 3 = 0)),
 fl AS (SELECT DISTINCT note_id, path FROM anc JOIN nt USING (note_id) WHERE path IS NOT NULL AND status = 'active' AND type = 'flow'),
 fs AS (SELECT note_id, count(*) AS n FROM fl GROUP BY 1 HAVING count(*) >= 2),
 dj AS (SELECT a.note_id AS a, b.note_id AS b, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*))::DOUBLE, 6) AS jaccard FROM fl a JOIN fl b ON a.path = b.path AND a.note_id < b.note_id JOIN fs x ON x.note_id = a.note_id JOIN fs y ON y.note_id = b.note_id GROUP BY 1, 2)
@@ -280,7 +305,8 @@ SQL |= {
     "lint_findings": _N + """, ig AS (SELECT DISTINCT note_id, path FROM anc JOIN nt USING (note_id) WHERE status = 'active' AND path IS NOT NULL AND CASE WHEN regexp_matches(path, '^src/ledger/[^/]*\\.ts(/.*)?$') THEN false WHEN regexp_matches(path, '^src/ledger/.*$') THEN true WHEN regexp_matches(path, '(^|/)generated/.*$') THEN true WHEN regexp_matches(path, '(^|/)[^/]*\\.md(/.*)?$') THEN true ELSE false END),
 fnd AS (SELECT DISTINCT 'dead-anchor' AS "check", note_id, path AS detail FROM st JOIN nt USING (note_id) WHERE state = 'missing' AND status = 'active' UNION ALL SELECT 'duplicate-flows', a, b FROM dj WHERE jaccard >= 0.6
  UNION ALL SELECT 'orphan', note_id, '' FROM nt WHERE status = 'active' AND type <> 'file' UNION ALL SELECT 'ignored-anchor', note_id, path FROM ig UNION ALL SELECT 'absence-stale', note_id, '' FROM ab JOIN nt USING (note_id) WHERE n_matches > 0 AND status = 'active')
-SELECT "check", count(*) AS n, count(DISTINCT note_id) AS n_notes FROM fnd GROUP BY 1""",
+SELECT "check", count(*) AS n, count(DISTINCT note_id) AS n_notes FROM (SELECT "check", note_id FROM fnd UNION ALL SELECT 'malformed', note_id FROM (""" + RECORDS_SQL["fold_warnings"] + """)) GROUP BY 1""",
+    "page_omitted": _N + ", o AS (SELECT score, row_number() OVER (ORDER BY tier, score DESC, note_id) AS place, first_value(score) OVER (ORDER BY tier, score DESC, note_id) AS best FROM ti) SELECT count(*) AS n_omitted FROM o WHERE place > 8 AND score >= 0.25 * best",
     "repair_checks": _N + "SELECT * FROM rep",
     "symbol_backfill": _N + ", d1 AS (SELECT file_id AS path, list(name ORDER BY start_line NULLS FIRST, name) AS l FROM sym WHERE name IS NOT NULL GROUP BY 1) SELECT DISTINCT note_id, path, least(15, len(l)) AS n_symbols, l[1] AS first_symbol FROM anc JOIN nt USING (note_id) JOIN d1 USING (path) WHERE len(coalesce(symbols, [])) = 0 AND status = 'active' AND type = 'file'",
     "status_totals": _N + ", wo AS (SELECT note_id, max(CASE state WHEN 'missing' THEN 4 WHEN 'changed' THEN 3 WHEN 'moved' THEN 2 WHEN 'unverified' THEN 1 ELSE 0 END) AS w FROM st GROUP BY 1) SELECT type, status, count(*) AS n_notes, CAST(sum((coalesce(w, 0) >= 3)::INT) AS BIGINT) AS n_flagged FROM nt LEFT JOIN wo USING (note_id) GROUP BY 1, 2",

@@ -40,26 +40,49 @@ def _terms(terms: list[str]) -> Column:
     return F.array(*[F.struct(F.lit(t).alias("raw"), F.lit(t.lower()).alias("low")) for t in terms])
 
 
-def presence(ch: DataFrame, terms: list[str]) -> DataFrame:
-    """(note_id, term, in_name, in_anchor, in_body, plus the channels): every note and term of the query that meet anywhere."""
-    t = ch.withColumn("t", F.explode(_terms(terms))).select("*", F.col("t.raw").alias("term"), F.col("t.low").alias("low")).drop("t")
-    hit = lambda c: F.col(c).contains(F.col("low")) | X.squash(c).contains(X.squash("low"))
-    return t.select("*", hit("name").alias("in_name"), hit("anchor").alias("in_anchor"), F.col("body").contains(F.col("low")).alias("in_body"))
+#: What a note has of a term: where it meets it, whether a word of its name is it, how often per channel.
+_HIT = "in_name in_anchor in_body word n_names n_anchors n_bodies".split()
+
+
+def note_hits(ch: DataFrame, terms: list[str]) -> DataFrame:
+    """(note_id, groups, n_name, length, hits), a row a note, written once: the terms of the query that the note has, with flags and counts.
+
+    Terms meet the channels inside the note's row, so no text leaves it, and statistics and scores read the same few columns.
+    """
+    c = ch.select("note_id", "groups", "name_raw", "name", "anchor", "body", "n_name", "length", X.squash("name").alias("sq_name"), X.squash("anchor").alias("sq_anchor"))
+    code = F.array(*[F.struct(F.lit(t).alias("raw"), F.lit(t.lower()).alias("low"), X.squash(F.lit(t.lower())).alias("sq")) for t in terms])
+
+    def hit(t: Column) -> Column:
+        n = [X.count_plain(F.col(x), t["low"]) for x in ("name", "anchor", "body")]
+        # squashed texts count once where the plain ones don't meet
+        either = [F.when(n[0] > 0, n[0]).when(F.col("sq_name").contains(t["sq"]), 1.0).otherwise(0.0), F.when(n[1] > 0, n[1]).when(F.col("sq_anchor").contains(t["sq"]), 1.0).otherwise(0.0), n[2]]
+        return F.struct(t["raw"].alias("term"), *[(x > 0).alias(k) for x, k in zip(either, _HIT[:3], strict=True)], X.word_hit("name_raw", t["raw"]).alias("word"), *[x.alias(k) for x, k in zip(either, _HIT[4:], strict=True)])
+
+    kept = F.filter(F.transform(code, hit), lambda h: h["in_name"] | h["in_anchor"] | h["in_body"] | F.coalesce(h["word"], F.lit(False)))
+    return cut(c.select("note_id", "groups", "n_name", "length", kept.alias("hits")))
+
+
+def _exploded(hits: DataFrame) -> DataFrame:
+    return hits.select("note_id", "groups", "n_name", "length", F.explode("hits").alias("h")).select("note_id", "groups", "n_name", "length", "h.*")
+
+
+def _stats(hits: DataFrame, terms: list[str]) -> DataFrame:
+    p = _exploded(hits).where("in_name or in_anchor or in_body").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    t = hits.sparkSession.createDataFrame([(x,) for x in terms], "term string")
+    all_ = hits.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.lit(1.0), F.avg("length")).alias("avg_len"), F.greatest(F.lit(1.0), F.avg("n_name")).alias("avg_name")).first()  # three numbers
+    return t.join(p, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"), F.lit(all_["n"]).alias("n"), F.lit(all_["avg_len"] or 1.0).alias("avg_len"), F.lit(all_["avg_name"] or 1.0).alias("avg_name"))
 
 
 def stats(ch: DataFrame, terms: list[str]) -> DataFrame:
     """(term, df, n, avg_len, avg_name): one row a term."""
-    p = presence(ch, terms).where("in_name or in_anchor or in_body").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    t = ch.sparkSession.createDataFrame([(x,) for x in terms], "term string")
-    all_ = ch.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.lit(1.0), F.avg("length")).alias("avg_len"), F.greatest(F.lit(1.0), F.avg("n_name")).alias("avg_name")).first()  # three numbers
-    return t.join(p, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"), F.lit(all_["n"]).alias("n"), F.lit(all_["avg_len"] or 1.0).alias("avg_len"), F.lit(all_["avg_name"] or 1.0).alias("avg_name"))
+    return _stats(note_hits(ch, terms), terms)
 
 
 def bm25(ch: DataFrame, terms: list[str]) -> DataFrame:
     """(note_id, score, covered): tool mode, term frequencies over weighted channels, saturated and normalised by length."""
-    p = presence(ch, terms).where("in_name or in_anchor or in_body").join(F.broadcast(stats(ch, terms)), "term")  # stats: a row per term
-    low = F.col("low")
-    tf = K.CHANNELS["name"] * X.count_occ(F.col("name"), low) + K.CHANNELS["anchor"] * X.count_occ(F.col("anchor"), low) + K.CHANNELS["body"] * X.count_plain(F.col("body"), low)
+    hits = note_hits(ch, terms)
+    p = _exploded(hits).where("in_name or in_anchor or in_body").join(F.broadcast(_stats(hits, terms)), "term")  # stats: a row per term
+    tf = K.CHANNELS["name"] * F.col("n_names") + K.CHANNELS["anchor"] * F.col("n_anchors") + K.CHANNELS["body"] * F.col("n_bodies")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * (F.col("tf") * (K.BM25_K1 + 1)) / (F.col("tf") + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col("length") / F.col("avg_len")))
     return p.withColumn("tf", tf).withColumn("part", part).groupBy("note_id").agg(F.round(F.sum("part"), 6).alias("score"), F.count(F.lit(1)).alias("covered"))
@@ -87,10 +110,10 @@ def hook(ch: DataFrame, anchors: DataFrame, anchor_symbols: DataFrame, prompt: s
     carriers unless one is hard evidence, and, if all carriers are in names only, two of them in one authored string.
     A prompt that names an anchored path overrides the gates.
     """
-    st = stats(ch, terms)
+    hits = note_hits(ch, terms)
     conv = symbol_files(anchor_symbols, terms).join(anchors.select("note_id", "path").distinct(), "path").select("note_id", "term").distinct().withColumn("converged", F.lit(True))
-    p = presence(ch, terms).join(F.broadcast(st), "term").join(conv, ["note_id", "term"], "left").withColumn("converged", F.coalesce("converged", F.lit(False)))
-    code, word = X.is_code_shaped("term"), X.word_hit("name_raw", F.col("term"))
+    p = _exploded(hits).join(F.broadcast(_stats(hits, terms)), "term").join(conv, ["note_id", "term"], "left").withColumn("converged", F.coalesce("converged", F.lit(False)))
+    code, word = X.is_code_shaped("term"), F.col("word")
     p = p.withColumn("in_name", F.col("in_name") | (~F.col("in_anchor") & ~F.col("in_body") & ~code & word))
     p = p.where("in_name or in_anchor or in_body").where((F.col("df") == 1) | (F.col("df") * 2 <= F.col("n"))).where(F.when(code, F.col("in_name") | F.col("in_anchor")).otherwise(word))
     rare = F.col("df") <= F.ceil(F.col("n") / K.RARITY_DIVISOR)
@@ -132,6 +155,15 @@ def page(tiered: DataFrame, cap: int, floor: float | None = None, seen: list[str
     return kept.where(~F.col("note_id").isin(*seen)) if seen else kept
 
 
+def omitted(tiered: DataFrame, cap: int, floor: float | None = None) -> DataFrame:
+    """(n_omitted): one row, how many hits the cap alone keeps off a page: behind it, but not below the floor of results."""
+    first = tiered.agg(F.min_by("score", F.struct("tier", -F.col("score"), "note_id")).alias("best"))  # one row
+    left = tiered.crossJoin(F.broadcast(first)).where(F.col("score") >= F.lit(floor or 0.0) * F.col("best"))
+    shown = left.orderBy("tier", F.desc("score"), "note_id").limit(cap).agg(F.sum((F.col("score") >= K.RESULT_FLOOR * F.col("best")).cast("bigint")).alias("shown"))
+    all_ = left.agg(F.sum((F.col("score") >= K.RESULT_FLOOR * F.col("best")).cast("bigint")).alias("n"))
+    return all_.crossJoin(F.broadcast(shown)).select((F.coalesce("n", F.lit(0)) - F.coalesce("shown", F.lit(0))).alias("n_omitted"))  # one row each
+
+
 def suppressed(first: dict | None, n_notes: int) -> bool:
     """Page gate of hook mode: the best hit is neither rare nor converged and has fewer than four strong terms."""
     return bool(first) and n_notes >= K.RARITY_MIN_NOTES and not first["rare"] and not first["convergence"] and first["strong_terms"] < K.CONVERGE_MIN
@@ -217,7 +249,7 @@ def wikilinks(notes: DataFrame) -> DataFrame:
     return raw.where("src <> dst").join(notes.select(F.col("note_id").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
-def duplicate_flows(notes: DataFrame, anchors: DataFrame, least: float = K.DUPLICATE_JACCARD, hub: int = 200) -> DataFrame:
+def duplicate_flows(notes: DataFrame, anchors: DataFrame, least: float = K.DUPLICATE_JACCARD) -> DataFrame:
     """(a, b, jaccard): active flows of two anchors or more that share most of them.
 
     Pairs come from shared paths. Two sets with a Jaccard of ``least`` share at least one of the rarest paths of each: of
@@ -236,27 +268,47 @@ def duplicate_flows(notes: DataFrame, anchors: DataFrame, least: float = K.DUPLI
     return j.select("a", "b", F.round(F.size(F.array_intersect("pa", "pb")) / F.size(F.array_union("pa", "pb")), 6).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
-def lint(notes: DataFrame, anchors: DataFrame, stamped: DataFrame, ignore: list[str], absence: DataFrame) -> DataFrame:
-    """(check, note_id, detail): dead anchors, duplicate flows, orphans, ignored anchors and stale absences of active notes."""
-    active = notes.where("status = 'active'")
-    dead = stamped.where("state = 'missing'").join(active.select("note_id"), "note_id", "left_semi").select(F.lit("dead-anchor").alias("check"), "note_id", F.col("path").alias("detail")).distinct()
-    dup = duplicate_flows(notes, anchors).select(F.lit("duplicate-flows").alias("check"), F.col("a").alias("note_id"), F.col("b").alias("detail"))
-    orphan = active.where("type <> 'file'").join(wikilinks(notes).select(F.col("dst").alias("note_id")).distinct(), "note_id", "left_anti").select(F.lit("orphan").alias("check"), "note_id", F.lit("").alias("detail"))
-    skip = anchors.where("path is not null").join(active.select("note_id"), "note_id", "left_semi").where(X.ignored("path", ignore)).select(F.lit("ignored-anchor").alias("check"), "note_id", F.col("path").alias("detail")).distinct()
-    stale = absence.where("n_matches > 0").join(active.select("note_id"), "note_id", "left_semi").select(F.lit("absence-stale").alias("check"), "note_id", F.col("n_matches").cast("string").alias("detail"))
-    return dead.unionByName(dup).unionByName(orphan).unionByName(skip).unionByName(stale)
+def references(notes: DataFrame) -> DataFrame:
+    """(note_id): notes that another note's text links to, or that a feature or facet names (columns ``features``, ``flows`` where given)."""
+    linked = wikilinks(notes).select(F.col("dst").alias("note_id"))
+    for c in ("features", "flows"):
+        if c in notes.columns:
+            linked = linked.unionByName(notes.select(F.explode(c).alias("note_id")))
+    return linked.distinct()
+
+
+def lint(notes: DataFrame, anchors: DataFrame, stamped: DataFrame, ignore: list[str], absence: DataFrame, warnings: DataFrame | None = None) -> DataFrame:
+    """(check, note_id, detail): dead anchors, duplicate flows, orphans, ignored anchors and stale absences of active notes, and
+    records that don't count (``warnings(note_id, reason)``) of any note."""
+    active = cut(notes.where("status = 'active'").select("note_id", "type"))
+    own = cut(anchors.where("path is not null").select("note_id", "path").distinct().join(active.select("note_id"), "note_id", "left_semi"))
+    row = lambda df, check, detail: df.select(F.lit(check).alias("check"), "note_id", detail.alias("detail"))
+    dead = row(stamped.where("state = 'missing'").join(active.select("note_id"), "note_id", "left_semi"), "dead-anchor", F.col("path")).distinct()
+    dup = row(duplicate_flows(active.withColumn("status", F.lit("active")), own).withColumnRenamed("a", "note_id"), "duplicate-flows", F.col("b"))
+    orphan = row(active.where("type <> 'file'").join(references(notes), "note_id", "left_anti"), "orphan", F.lit(""))
+    skip = row(own.where(X.ignored("path", ignore)), "ignored-anchor", F.col("path"))
+    stale = row(absence.where("n_matches > 0").join(active.select("note_id"), "note_id", "left_semi"), "absence-stale", F.col("n_matches").cast("string"))
+    out = dead.unionByName(dup).unionByName(orphan).unionByName(skip).unionByName(stale)
+    return out if warnings is None else out.unionByName(row(warnings, "malformed", F.col("reason")))
 
 
 def repairs(notes: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(check, note_id): what makes an active note hard to find, ordered by check and id."""
-    sym = anchors.groupBy("note_id").agg(F.max((F.size(F.coalesce("symbols", F.array().cast("array<string>"))) > 0).cast("int")).alias("s"), F.count("path").alias("n"))
-    n = notes.where("status = 'active'").join(sym, "note_id", "left")
-    no_alias = F.col("type").isin("file", "flow") & (F.size(F.coalesce("aliases", F.array().cast("array<string>"))) == 0)
-    checks = F.array(
-        F.when(no_alias, F.lit("missing-identity-aliases")), F.when((F.col("type") == "file") & (F.coalesce("s", F.lit(0)) == 0), F.lit("file-no-symbols")), F.when((F.col("type") == "flow") & (F.coalesce("n", F.lit(0)) == 0), F.lit("flow-no-steps")),
-        F.when((F.col("type") == "lesson") & (F.coalesce(F.length("body"), F.lit(0)) == 0), F.lit("missing-scope-terms")),
-    )
-    return n.select(F.explode(F.filter(checks, lambda c: c.isNotNull())).alias("check"), "note_id")
+    """(check, note_id, detail): what makes an active note hard to find; ``detail`` lists the steps without an anchor.
+
+    ``notes`` may have ``scope_terms`` (lessons) and ``steps``, paths in order (flows); without them no note has any.
+    """
+    none = F.array().cast("array<string>")
+    of = lambda c: F.filter(F.coalesce(F.col(c), none), lambda x: x.isNotNull() & (x != "")) if c in notes.columns else none
+    sym = anchors.groupBy("note_id").agg(F.max((F.size(F.filter(F.coalesce("symbols", none), lambda x: x != "")) > 0).cast("int")).alias("s"), F.collect_set("path").alias("paths"))
+    n = notes.where("status = 'active'").select("note_id", "type", of("aliases").alias("aliases"), of("scope_terms").alias("terms"), of("steps").alias("steps")).join(sym, "note_id", "left")
+    n = n.withColumn("loose", F.array_sort(F.array_except("steps", F.coalesce("paths", none))))
+    is_ = lambda *t: F.col("type").isin(*t)
+    checks = [
+        (is_("file", "flow") & (F.size("aliases") == 0), "missing-identity-aliases"), (is_("lesson") & (F.size("terms") == 0), "missing-scope-terms"), (is_("file") & (F.coalesce("s", F.lit(0)) == 0), "file-no-symbols"),
+        (is_("flow") & (F.size("steps") == 0), "flow-no-steps"), (is_("flow") & (F.size("loose") > 0), "flow-steps-unanchored"),
+    ]
+    named = F.array(*[F.when(bad, F.lit(check)) for bad, check in checks])
+    return n.select(F.explode(F.filter(named, lambda c: c.isNotNull())).alias("check"), "note_id", "loose").select("check", "note_id", F.when(F.col("check") == "flow-steps-unanchored", F.array_join("loose", ",")).otherwise("").alias("detail"))
 
 
 def symbol_backfill(notes: DataFrame, anchors: DataFrame, declared: DataFrame, cap: int = K.BACKFILL_SYMBOLS) -> DataFrame:
