@@ -3,7 +3,8 @@
 Sizes are tokens of a public tokenizer. A text of more than the capacity is split: its full pieces fill a
 container each, only the rest is an item. Items are dealt to blocks by a hash, a block holding about
 ``BLOCK_WINDOWS`` containers' worth of tokens whatever the table's size, so a block is one task's work and at
-most part of one container per block is lost to dealing. In a block the two partial partitions with the largest
+most part of one container per block is lost to dealing. Tiny items of a block are first combined to compounds of at most 1 /
+``GRAIN`` of the capacity, so a block never holds more than some thousand parts. In a block the two partial partitions with the largest
 imbalances are merged, large sums against small ones, until one partition is left; where its largest window
 exceeds the capacity, the window count rises by what the excess needs and the block is partitioned anew.
 
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from tessera.llm.encoding import TOKENIZERS, encoder
 from tessera.session import cut
 
-#: Containers' worth of tokens in a block, and items of a block at most on average, should all of them be tiny.
-BLOCK_WINDOWS, BLOCK_ITEMS = 48, 20_000
+#: Containers' worth of tokens in a block; what part of a container compounds of tiny items make up at most.
+BLOCK_WINDOWS, GRAIN = 48, 64
 
 
 def _sizes(folder: str):
@@ -87,10 +88,35 @@ def _leaves(tree) -> list[int]:
     return out
 
 
+def combine(sizes: list[int], limit: int) -> list[list[int]]:
+    """Groups of indices: items of more than half of ``limit`` alone, others together up to ``limit``, so all groups but one exceed its half."""
+    out: list[list[int]] = []
+    open_, room = [], limit
+    for i, s in enumerate(sizes):
+        if 2 * s > limit:
+            out.append([i])
+            continue
+        if s > room:
+            out.append(open_)
+            open_, room = [], limit
+        open_.append(i)
+        room -= s
+    return out + [open_] if open_ else out
+
+
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
     """Windows of at most ``capacity``; the count starts at what the sum and the large items need."""
     if not sizes:
         return []
+    groups = combine(sizes, capacity // GRAIN)
+    if len(groups) < len(sizes):
+        packed = pack_parts([sum(sizes[i] for i in g) for g in groups], capacity)
+        return [[i for g in w for i in groups[g]] for w in packed]
+    return pack_parts(sizes, capacity)
+
+
+def pack_parts(sizes: list[int], capacity: int) -> list[list[int]]:
+    """``pack`` of parts as they are."""
     half = sum(2 * s > capacity for s in sizes)
     k = max(1, -(-sum(sizes) // capacity), half)
     while True:
@@ -116,11 +142,11 @@ def windows(docs: DataFrame, budgets: DataFrame, folder: str = TOKENIZERS) -> Da
     ``window_id`` is ``f``, document and piece for a full piece, else ``b``, block and window.
     """
     sizes = cut(token_sizes(docs, folder))
-    total, n_items = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count(F.lit(1))).first()  # two numbers
+    total = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]  # one number
     caps = [(r.budget_id, r.capacity_tokens) for r in budgets.where("capacity_tokens > 0").distinct().collect()]  # a handful of rows by definition
     if not caps:
         return sizes.sparkSession.createDataFrame([], "budget_id int, window_id string, doc_id bigint, piece int, start_token bigint, n_tokens bigint")
-    plan = F.array(*[F.struct(F.lit(b).cast("int").alias("budget_id"), F.lit(c).cast("bigint").alias("capacity"), F.lit(max(1, total // (c * BLOCK_WINDOWS), n_items // BLOCK_ITEMS)).cast("bigint").alias("blocks")) for b, c in caps])
+    plan = F.array(*[F.struct(F.lit(b).cast("int").alias("budget_id"), F.lit(c).cast("bigint").alias("capacity"), F.lit(max(1, total // (c * BLOCK_WINDOWS))).cast("bigint").alias("blocks")) for b, c in caps])
     dealt = sizes.select("doc_id", F.col("n_tokens").alias("size"), F.explode(plan).alias("p")).select("doc_id", "size", "p.*").withColumn("full", F.expr("if(size > capacity, size div capacity, 0)"))
     full = dealt.where("full > 0").withColumn("piece", F.explode(F.sequence(F.lit(0), (F.col("full") - 1).cast("int"))))
     whole = full.select("budget_id", F.concat_ws("-", F.lit("f"), "doc_id", "piece").alias("window_id"), "doc_id", "piece", (F.col("piece") * F.col("capacity")).alias("start_token"), F.col("capacity").alias("n_tokens"))

@@ -87,6 +87,15 @@ def test_differencing():
     assert packing.pack([], 5) == [] and packing.pack([5, 5], 5) in ([[0], [1]], [[1], [0]])
 
 
+def test_tiny_items_fill_as_well():
+    """Items of one or two tokens are combined first, so a block of them is as full as any other and no slower."""
+    for sizes, cap in (([1] * (8192 * 48), 8192), ([1, 2] * 40000, 4096), ([1] * 5000 + [700] * 50, 1024), ([1] * 10, 512), ([3] * 1000, 3)):
+        w = packing.pack(sizes, cap)
+        assert sorted(i for x in w for i in x) == list(range(len(sizes))) and max(sum(sizes[i] for i in x) for x in w) <= cap
+        least = max(-(-sum(sizes) // cap), sum(2 * s > cap for s in sizes))  # two items of more than half never share a window
+        assert len(w) <= least + 1, (len(w), least)
+
+
 # ---- terms ---------------------------------------------------------------------------------------------
 
 
@@ -173,6 +182,22 @@ def test_garbled_twice_partly_escaped_lowered():
     assert mojibake.examine("By �507 the probe")[0] and mojibake.examine("a\x81b")[0] and mojibake.examine("donât go")[0]
 
 
+def test_single_byte_encodings_taken_for_one_another():
+    good = "Размер буфера ограничен, остальное отбрасывается; берём не всё"
+    for wrong, right in (("koi8_r", "cp1251"), ("cp1251", "koi8_r"), ("cp1252", "cp1251"), ("cp866", "cp1251")):
+        bad = good.encode(right).decode(wrong, "replace" if wrong == "x" else "strict")
+        assert mojibake.examine("see x.py: " + bad)[:2] == (True, "see x.py: " + good), (wrong, right)
+    for text in ("ОШИБКА в БУФЕРЕ", "ПРОВЕРКА", "żółć łąść", "ÄÖÜ ÀÉÈ"):
+        assert mojibake.examine(text)[:2] == (False, text)
+
+
+def test_quotations_of_any_length():
+    for text in ("`Ã© stands for é in cp1252 output`", "Output was `naÃ¯ve and cafÃ©`, see above", "- `Ã©`"):
+        assert mojibake.examine(text)[:2] == (False, text)
+    assert mojibake.examine("const s = `naÃ¯ve and cafÃ© ${x}`;")[:2] == (True, "const s = `naïve and café ${x}`;")
+    assert mojibake.examine("return `Menü and cafÃ© too`;")[0] and mojibake.examine("f(`cafÃ© and more`)")[0]
+
+
 @pytest.mark.parametrize("text", CLEAN)
 def test_clean_stays(text):
     assert mojibake.examine(text)[:2] == (False, text)
