@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.encoding import TOKENIZERS, encoder
+from tessera.llm.encoding import TOKENIZERS, encoder, ship_vocabulary
 from tessera.session import cut
 
 #: Containers' worth of tokens in a block; what part of a container compounds of tiny items make up at most.
@@ -43,6 +43,7 @@ def _sizes(folder: str):
 
 def token_sizes(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     """``doc_id, n_tokens``; no text leaves its task."""
+    ship_vocabulary(docs.sparkSession, folder)
     return docs.select("doc_id", "text").mapInArrow(_sizes(folder), "doc_id bigint, n_tokens bigint")
 
 

@@ -50,6 +50,39 @@ def test_chunks_join(monkeypatch, most):
         assert encoding.join_ids(parts, [enc(p) for p in parts], enc) == enc(t)
 
 
+def test_chunks_are_content_defined():
+    """A passage in one line gives the same chunks whatever stands before it."""
+    r = random.Random(7)
+    passage = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9))) for _ in range(400))
+    a, b = (set(encoding.chunks(head + passage)) for head in ("first ", "another begin of some length, here: " * 3))
+    assert len(a & b) > 0.7 * len(a) > 5
+
+
+def test_repair_reuses_ids():
+    """Only the text around a join is encoded anew; ids away from it are those that were given."""
+    enc = encoding.encoder().encode_ordinary
+    left, right = "some words before the cut and a brok", "en word then many words after the cut"
+    calls = []
+
+    def spy(text):
+        calls.append(text)
+        return enc(text)
+
+    assert encoding.join_ids([left, right], [enc(left), enc(right)], spy) == enc(left + right) and calls == [" broken"]
+    calls.clear()
+    parts = ["a" * 50, "b" * 50, "c d"]  # no anchor at all until the last part
+    assert encoding.join_ids(parts, [enc(p) for p in parts], spy) == enc("".join(parts))
+
+
+@pytest.mark.parametrize("copies", [3, 70])
+def test_hot_chunks_are_spread(spark, monkeypatch, copies):
+    monkeypatch.setattr(encoding, "HOT", 20)
+    licence = " ".join(f"word{i} of a licence" for i in range(200))
+    rows = [(i, f"{i} {licence} {i * 7}", None) for i in range(copies)]
+    enc = encoding.encoder().encode_ordinary
+    assert {r.doc_id: r.ids for r in encoding.encode_corpus(docs(spark, rows)).collect()} == {i: enc(t) for i, t, _ in rows}
+
+
 def test_packing(spark):
     rows = corpus(3)[:-4] + [(1007, "word " * 9000, None)]
     budgets = spark.createDataFrame([(1, "s", 64), (2, "m", 700), (3, "none", 0), (4, "null", None)], "budget_id int, budget_name string, capacity_tokens int")
