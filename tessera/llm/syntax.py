@@ -14,7 +14,6 @@ JSON are not; languages without a grammar are never cases; repeated rows of a fi
 
 from __future__ import annotations
 
-import json
 import re
 import warnings
 from collections.abc import Iterator
@@ -23,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.nested import parse_strict
 from tessera.session import current_rows
 
 # Extensions by language, and words that speak for a language.
@@ -39,16 +39,8 @@ _RANK = {
 _RANKS = {k: re.compile(v) for k, v in _RANK.items()}
 
 
-def _no_constant(name: str) -> None:
-    raise ValueError(name)
-
-
 def _json(text: str) -> bool:
-    try:
-        json.loads(text, parse_constant=_no_constant, parse_int=str, parse_float=str)
-    except (ValueError, RecursionError):
-        return False
-    return True
+    return parse_strict(text)[0]
 
 
 def _python(text: str) -> bool:
@@ -87,8 +79,7 @@ def examine(text: str, language: str) -> tuple[bool, str | None]:
         return True, None
     if text.strip():
         for other in ranked(text):
-            # TypeScript accepts what JavaScript accepts and more: as a foreign language it needs words of its own
-            if other != language and _RANKS[other].search(text) and parses(text, other):
+            if other != language and parses(text, other):
                 return False, other
     return False, None
 

@@ -83,7 +83,7 @@ def _build() -> Grammar:
     alias = "i(?:%KA|%KT)?'='?%TYPE"
     g.rule("inPV", f"(?:(?:{value}|{alias})(?:';'|$))*")
     g.rule("inKA", "(?:%E|'...')?|%E?':'%E?(?:':'%E)?")
-    g.rule("inKT", "(?:i(?:','i)*)?%TYPE(?:'|'%TYPE)*(?:','(?:i(?:','i)*)?%TYPE(?:'|'%TYPE)*)*','?")
+    g.rule("inKT", "(?:i(?:','i)*)?'~'?%TYPE(?:'|''~'?%TYPE)*(?:','(?:i(?:','i)*)?'~'?%TYPE(?:'|''~'?%TYPE)*)*','?")
     item = "(?:%E|%BL)(?:':'(?:%E|%BL))?"
     g.rule("inBL", f"(?:{item}(?:','{item})*','?)?")
     field = "(?:i(?:','i)*%TYPE|'*'?%QN(?:%KA|%KT)?)s?"

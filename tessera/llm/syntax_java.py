@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from tessera.llm.grammar import Grammar
+from tessera.llm.grammar import _BASE, Grammar
 
 _WORDS = """package import static class interface enum record extends implements permits throws public protected private final abstract
 native synchronized transient volatile strictfp default sealed return if else for while do switch case break continue try catch
@@ -44,9 +44,10 @@ def tokens(text: str, g: Grammar) -> list[str] | None:
 
 
 def _build() -> Grammar:
-    g = Grammar({"(": ["PA", "PF", "PT", "PR"], "[": ["KA", "KE"], "{": ["BB", "BC", "BE", "BA", "BW"]}, _WORDS, _SIGNS)
+    g = Grammar({"(": ["PA", "PF", "PT", "PR"], "[": ["KA", "KE"], "{": ["BB", "BC", "BE", "BA", "BW", "BM"]}, _WORDS, _SIGNS)
     g.cls("ID", "record permits sealed yield var when", "i")
     g.cls("MODW", "public protected private static final abstract native synchronized transient volatile strictfp default sealed")
+    g.cls("ASSIGN", "= += -= *= /= %= &= |= ^= <<=")
     g.cls("BINOP", "= += -= *= /= %= &= |= ^= <<= == != < <= << + - * / % & | ^ && ||")
     g.rule("QN", "%ID(?:'.'%ID)*")
     g.rule("ANNO", "'@'%QN%PA?")
@@ -87,19 +88,25 @@ def _build() -> Grammar:
     g.rule("inBC", f"(?:{member})*")
     const = "%ANNOS%ID%PA?%BC?"
     g.rule("inBE", f"(?:{const}(?:','{const})*','?)?(?:';'(?:{member})*)?")
-    head = "(?:'if'%PA|'else'|'for'%ANYP|'while'%PA|'do'|%ID':'(?!':'))"
+    # an expression that is a statement assigns, calls, creates or counts
+    ends = "".join(chr(_BASE["("] + m) + "-" + chr(_BASE["("] + m + 255) for m in (0,)) + "".join(re.escape(g.chars[x]) for x in ("++", "--")) + g.rules["BC"][1:-1]
+    g.rule("SE", f"(?:'++'|'--')?(?>%PRIM(?>%POST*))(?:(?:%ASSIGN|'>''>''>'?'=')(?:%INIT)|(?<=[{ends}]))|(?:'++'|'--')%OPERAND")
+    head = "(?:'for'%ANYP|'while'%PA|'do'|%ID':'(?!':'))"
     simple = (
         "(?:';'|%BB|%TYPEDECL|%LOCAL';'|'return'%E?';'|'throw'%E';'|(?:'break'|'continue')%ID?';'|'yield'%E';'|'assert'%E(?:':'%E)?';'|'while'%PA';'"
-        "|'try'(?:%ANYP)?%BB(?:'catch'%ANYP%BB)*(?:'finally'%BB)?|'switch'%PA%BW|'synchronized'%PA%BB|%E';')"
+        "|'try'(?:%ANYP)?%BB(?:'catch'%ANYP%BB)*(?:'finally'%BB)?|'switch'%PA%BW|'synchronized'%PA%BB|%SE';')"
     )
-    g.rule("STMT", f"(?>(?:{head})*{simple})")
+    g.defined["STMT"] = "(?!)"
+    g.rules["STMT"] = "(?&STMT)"
+    g.defined["STMT"] = g.expand(f"(?>(?:{head})*(?:'if'%PA(?&STMT)(?:'else'(?&STMT))?|{simple}))")
     g.rule("inBB", "(?:%STMT)*")
     label = "(?:'case'(?:'null'|%LOCAL|%TYPE%PR?%ID?|%E)(?:','(?:%TYPE%PR?%ID|%E|'default'))*(?:'when'%E)?|'default')"
     g.rule("inBW", f"(?:{label}(?:':'(?:%STMT)*|'->'(?:%BB|'throw'%E';'|%E';')))*")
     # heads of for, try and catch share the parentheses: one of the readings above, or one of these
     heads = f"(?:(?:%LOCAL|%E(?:','%E)*)?';'%E?';'(?:%E(?:','%E)*)?|(?:'final'|%ANNO)*%TYPE%ID':'%E|{res}(?:';'{res})*';'?|(?:'final'|%ANNO)*%TYPE(?:'|'%TYPE)*%ID)"
     g.rules["inPR"] = f"(?:{g.rules['inPR']}|{g.expand(heads)})"
-    g.rule("UNIT", "(?:%ANNOS'package'%QN';')?(?:'import''static'?%QN(?:'.''*')?';'|';')*(?:%TYPEDECL|';')*")
+    g.rule("inBM", "(?:i(?:'static'|i(?!'.'|';'|i';'))*%QN(?:i%QN(?:','%QN)*)?';')*")
+    g.rule("UNIT", "(?:%ANNOS'package'%QN';')?(?:'import''static'?%QN(?:'.''*')?';'|';')*(?:(?:%TYPEDECL|';')*|%ANNOS i?i%QN%BM';'*)")
     g.finish("UNIT")
     for name in ("BB", "BC"):
         g.repeats(name, ";", "{")

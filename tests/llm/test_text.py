@@ -369,6 +369,36 @@ def test_broken(language):
         assert not syntax.parses(t, language), t
 
 
+# Early errors of modules, targets of assignments, statements that are none; and what looks like one but is valid.
+EARLY = {
+    "javascript": ['const x;', 'with (a) {}', 'return 1', 'break;', '1 = x', 'f() = 1', 'a?.b = 1', 'let let = 1', 'let x = 08n;', 'var r = /(/;', 'for (let x of a, b) {}', 'if (a) b(); else c(); else d();', 'else {}', 'const {a};', 'continue', 'x = 010', '!a = 1'],
+    "java": ['class A { void f() { 1 + 2; } }', 'class A { void f() { else {} } }', 'class A { void f() { a; } }', 'class A { void f() { new int[3]; } }', 'class A { void f() { if (a) b(); else c(); else d(); } }'],
+}
+LATE = {
+    "javascript": ['const x = 1, {a} = b;', 'function f() { return 1 }', 'for (const x of y) { if (x) break; else continue }', 'a.b = c[d] = e', '[a, b] = [b, a]', '({a} = b)', 'x => y => z = 1', 'a ? b = 1 : c = 2', 'l: { break l }', 'switch (x) { case 1: break }', 'f(a => { return a })', 'class A { m() { return 1 } static x = 1 }', 'const o = { return() {}, break: 1, get continue() { return 1 } }', 'a.return(1)', 'if (a) { b() } else if (c) d(); else { e() }', 'if (a)\n  b()\nelse\n  c()\n', 'var r = /(?:a|(b))+?[(]/g;', 'let y = async (a) => { await a }', 'f()[0] = 1; f().x += 2; this.x = 1; new A().b = 3; (a) = 1', 'function* g() { const x = yield; yield* f(); x = yield 1 }', 'x >>>= 2; y >>= 1; a ??= b', 'for (;;) { while (1) { do { break } while (0) } }', 'try { return_() } catch (e) { f() }', 'export default (a) => a ? 1 : 2', 'const f = function () { return }', 'arr.forEach(function (x) { if (!x) return; y() })', 'for await (const x of y) { if (x) { continue } }', 'async function* f() { for (const k in o) delete o[k]; }', 'a = b ? c : d ? e : f', 'x = function () {}, y = class {}', 'const {a = 1, ...b} = c, [d, , e] = f', '`a${b}`.c = 1', 'a.b?.c.d()', 'if (x) return_; else { y = 1 }'],
+    "typescript": ['type A = abstract new () => void;', 'let x = <T>y;', 'const a = <Foo<Bar>>b.c();', "type B = typeof import('x');", "let q: import('y').Z<number>;", 'const x: number;', 'let f = <T>(a: T) => a;', 'if (a < b && c > d) {}', '(x as any).y = 1; x!.z = 2; (<any>w).v = 3', 'for (const a of b as c[]) {}', 'let a = f<string>(b);', 'class A<T> { private x?: T; constructor(private y = 1) { this.x = y as T } }', 'function f(a: number): a is string { return true }', 'x = y as unknown as Z;', 'const x = 1, {a} = b;', 'function f() { return 1 }', 'for (const x of y) { if (x) break; else continue }', 'a.b = c[d] = e', '[a, b] = [b, a]', '({a} = b)', 'x => y => z = 1', 'a ? b = 1 : c = 2', 'l: { break l }', 'switch (x) { case 1: break }', 'f(a => { return a })', 'class A { m() { return 1 } static x = 1 }', 'const o = { return() {}, break: 1, get continue() { return 1 } }', 'a.return(1)', 'if (a) { b() } else if (c) d(); else { e() }', 'if (a)\n  b()\nelse\n  c()\n', 'var r = /(?:a|(b))+?[(]/g;', 'let y = async (a) => { await a }', 'f()[0] = 1; f().x += 2; this.x = 1; new A().b = 3; (a) = 1', 'function* g() { const x = yield; yield* f(); x = yield 1 }', 'x >>>= 2; y >>= 1; a ??= b', 'for (;;) { while (1) { do { break } while (0) } }', 'try { return_() } catch (e) { f() }', 'export default (a) => a ? 1 : 2', 'const f = function () { return }', 'arr.forEach(function (x) { if (!x) return; y() })', 'for await (const x of y) { if (x) { continue } }', 'async function* f() { for (const k in o) delete o[k]; }', 'a = b ? c : d ? e : f', 'x = function () {}, y = class {}', 'const {a = 1, ...b} = c, [d, , e] = f', '`a${b}`.c = 1', 'a.b?.c.d()', 'if (x) return_; else { y = 1 }'],
+    "java": ['module a { requires b; requires transitive c.d; requires static e; exports f.g to h, i.j; opens k; uses l.M; provides n.O with p.Q, r.S; }', 'open module a.b { }', 'class A { void f() { a.b(); new B(); i++; --j; x = y = 1; a[0] += 2; this.f(); super.g(); A.<T>h(); new C() { int x; }; s >>>= 2; if (a) b(); else if (c) { d(); } else e(); } }', 'class A { A() { this(1); } void g() { (a).b(); ((B) c).d(); } }', 'class A { void f() { foo().bar().baz(x -> { return x; }); list.forEach(System.out::println); int[] a = {1, 2}; String s = a ? b : c; for (int i = 0; i < n; i++) sum += i; do { x--; } while (x > 0); label: for (;;) break label; } }'],
+    "go": ['package a\nfunc F[U ~int|~string](x U) {}\n', 'package a\ntype N interface { ~int | ~float64 }\nfunc G[K comparable, V ~int](m map[K]V) {}\n'],
+}
+
+
+@pytest.mark.parametrize("language", EARLY)
+def test_early_errors(language):
+    assert [t for t in EARLY[language] if syntax.parses(t, language)] == []
+
+
+@pytest.mark.parametrize("language", LATE)
+def test_no_early_error(language):
+    assert [t for t in LATE[language] if not syntax.parses(t, language)] == []
+
+
+def test_all_grammars_are_tried():
+    """A rejected text counts as whatever accepts it, also if it holds no word of that language."""
+    assert syntax.examine("x = 1 if y else 2", "rust") == (False, "python") and syntax.examine("[1]", "go")[1] is not None
+    assert syntax.examine("}{ ][", "go") == (False, None) and syntax.examine(" ", "json") == (False, None)
+    assert syntax.examine("[" * 5000 + "]" * 5000, "json")[0]  # nesting alone is no error
+
+
 @pytest.mark.parametrize("language", [k for k in VALID if k not in ("json",)])
 def test_truncations_are_rejected(language):
     """A text cut inside a bracket is never valid."""
