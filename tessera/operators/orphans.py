@@ -115,9 +115,10 @@ def orphans(refs: DataFrame, parent_keys: DataFrame, n_rows: int) -> DataFrame:
     coded = cut(dictionary(keys, max(8, n_rows // RANGE_BITS + 1)))  # read three times
     ref_maps = coded.select("range", "bit", F.explode("uses").alias("u")).groupBy("range", "u.ref_table", "u.ref_field", "u.period").agg(F.bitmap_construct_agg("bit").alias("b")).withColumn("ref_bits", _pack("b")).drop("b")
     parent_maps = coded.where("is_parent").groupBy("range").agg(F.bitmap_construct_agg("bit").alias("b")).withColumn("parent_bits", _pack("b")).drop("b")
-    left = ref_maps.join(parent_maps, "range", "left").mapInPandas(_and_not, "ref_table string, ref_field string, period string, range bigint, bit int")
-    decoded = left.join(coded.select("range", "bit", "k1", "k2"), ["range", "bit"]).select("ref_table", "ref_field", "k1", "k2").distinct()
+    # sides that grow with the tables are merged, never broadcast, however small they are
+    left = ref_maps.join(parent_maps.hint("merge"), "range", "left").mapInPandas(_and_not, "ref_table string, ref_field string, period string, range bigint, bit int")
+    decoded = left.join(coded.select("range", "bit", "k1", "k2").hint("merge"), ["range", "bit"]).select("ref_table", "ref_field", "k1", "k2").distinct()
     salted = decoded.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     on = ["ref_table", "ref_field", "k1", "k2", "salt"]
     spread = refs.withColumn("salt", F.pmod(F.xxhash64("ref_id"), F.lit(SALTS)).cast("int"))
-    return spread.join(salted, on, "left_semi").select("ref_table", "ref_id", "ref_field", "period").distinct()
+    return spread.join(salted.hint("merge"), on, "left_semi").select("ref_table", "ref_id", "ref_field", "period").distinct()
