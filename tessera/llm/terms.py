@@ -138,7 +138,10 @@ def count_terms(records: DataFrame) -> DataFrame:
     prefixes = lambda c: F.transform(F.sequence(F.lit(0), F.length(c)), lambda n: F.substring(F.col(c), F.lit(1), n))
     sizes = tries.groupBy("field", "prefix").agg(F.sum(F.size("terms")).alias("n"))
     weights = sizes.select("field", F.explode(prefixes("prefix")).alias("route"), "n").groupBy("field", "route").agg(F.sum("n").alias("weight"))
-    routed = sizes.select("field", "prefix", F.explode(prefixes("prefix")).alias("route")).join(weights, ["field", "route"])
+    # the empty prefix leads to all containers of a field, so it is settled without a join: one weight per field
+    whole = weights.where("route = ''").select("field", F.col("weight").alias("all_terms"))
+    routed = sizes.select("field", "prefix", F.explode(F.slice(prefixes("prefix"), 2, F.greatest(F.lit(1), F.length("prefix")))).alias("route")).where("route <> ''").join(weights, ["field", "route"])
+    routed = routed.unionByName(sizes.join(F.broadcast(whole), "field").select("field", "prefix", F.lit("").alias("route"), F.col("all_terms").alias("weight")))  # whole: a row per field
     best = F.min(F.when(F.col("weight") <= ROUTE_TERMS, F.struct(F.length("route").alias("length"), "route", "weight"))).alias("best")
     chosen = cut(routed.groupBy("field", "prefix").agg(best).select("field", "prefix", "best.route", "best.weight"))
     routes = chosen.where("route is not null").select("field", "route", "weight").distinct()
