@@ -80,9 +80,24 @@ def find_page(spark: SparkSession, d: str) -> DataFrame:
     """The listed files per class: twelve of code, four documents, four styles, best first."""
     f = _Find(spark, d)
     w = f.weights()
-    shown = P.partition(f.cand, f.files, P.evidence(f.cand, w, f.imports)).where("shown")
-    ranked = P.rank(f.cand, w, None).join(shown.select("file_id", "class"), "file_id")
-    return top_k(ranked, ["class"], [F.desc("score"), "file_id"], P.K.LISTED).where(F.col("place") <= F.when(F.col("class") == "code", P.K.LISTED).otherwise(P.K.DOCS_LISTED))
+    return P.listed(f.cand, w, f.files, P.evidence(f.cand, w, f.imports))
+
+
+def find_sections(spark: SparkSession, d: str) -> DataFrame:
+    """The page as a whole: roles, symbols to read, relations and their terms of the listed files."""
+    f = _Find(spark, d)
+    symbols = P.live_symbols(table(spark, d, "symbols"))
+    p = P.page(f.cand, f.weights(), f.files, symbols, f.imports, TERMS)
+    return p.select(*[F.array_join(c, ", ").alias(c) if t.startswith("array") else F.col(c) for c, t in p.dtypes])
+
+
+def find_bridged(spark: SparkSession, d: str) -> DataFrame:
+    f = _Find(spark, d)
+    w = f.weights()
+    top = P.cut(P.listed(f.cand, w, f.files, P.evidence(f.cand, w, f.imports)))
+    code = top.where("class = 'code'")
+    b = P.bridged(code.where(F.col("place") <= P.K.DETAILED), code, P.content_tokens(f.docs), f.files, f.imports, TERMS)
+    return b.withColumn("tokens", F.array_join("tokens", ", "))
 
 
 def line_mask(spark: SparkSession, d: str) -> DataFrame:
@@ -122,14 +137,10 @@ def cocitation_siblings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def via_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Why a file consumes another: the terms the definer declares and the consumer has, two with the best idf."""
+    """Why a file consumes another."""
     f = _Find(spark, d)
     w = f.weights()
-    ev = P.evidence(f.cand, w, f.imports).where("class = 'declares'").select(F.col("file_id").alias("b"), "term")
-    direct = P.relations(f.cand, f.imports).where("relation = 'consumes'").select("a", "b")
-    via = direct.join(ev, "b").join(f.cand.select(F.col("file_id").alias("a"), "term"), ["a", "term"], "left_semi").join(F.broadcast(w.where("is_disc").select("term", "idf")), "term")
-    place = F.row_number().over(P.Window.partitionBy("a", "b").orderBy(F.desc("idf"), "term"))
-    return via.withColumn("place", place.cast("bigint")).where("place <= 2").select("a", "b", "term", "place")
+    return P.via(P.relations(f.cand, f.imports).where("relation = 'consumes'").select("a", "b"), P.evidence(f.cand, w, f.imports), f.cand, w)
 
 
 def import_target_first(spark: SparkSession, d: str) -> DataFrame:
@@ -166,7 +177,7 @@ def name_echo(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NAMES = (
-    find_coverage, find_name_channel, find_union_channels, find_df, find_idf, find_rare_terms, find_disc_terms, find_rank, find_evidence_class, find_partition_classes, find_noise_floor, find_page,
+    find_coverage, find_name_channel, find_union_channels, find_df, find_idf, find_rare_terms, find_disc_terms, find_rank, find_evidence_class, find_partition_classes, find_noise_floor, find_page, find_sections, find_bridged,
     line_mask, line_convergence, gap_clusters, cluster_peaks, direct_relations, cocitation_siblings, via_terms, import_target_first, rare_postings, content_tokens, rare_token_bridge, related_files, bridge_gate, name_echo,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
@@ -263,5 +274,30 @@ SELECT a, b, n_shared, min_df FROM s WHERE (n_shared >= 2 OR quoted = 1 OR (min_
     "name_echo": _W.replace(_T, _T.replace("(VALUES ", "(VALUES ('roster', 'roster', 'roster'), ")) + f", h AS (SELECT DISTINCT file_id, term FROM cur, terms WHERE contains({_FOLD.format(chr(39).join(['regexp_extract(path, ', '[^/]*$', ')']))}, folded)) SELECT file_id, term FROM h WHERE term IN (SELECT term FROM h GROUP BY 1 HAVING count(*) <= 200)",
 }
 
+_LISTED = """, top AS (SELECT * FROM (SELECT file_id, score, coverage, class, row_number() OVER (PARTITION BY class ORDER BY score DESC, file_id) AS place FROM ranked JOIN part USING (file_id) WHERE shown) WHERE place <= CASE WHEN class = 'code' THEN 12 ELSE 4 END),
+code12 AS (SELECT file_id, place FROM top WHERE class = 'code')"""
+_ORDER = "CASE term " + " ".join(f"WHEN '{t}' THEN {n}" for n, t in enumerate(TERMS)) + " END"
+_FIRST3 = "array_to_string(list(o ORDER BY n)[1:3], ', ')"
+SQL["find_sections"] = _W + _REL.replace("among AS (SELECT DISTINCT file_id FROM cand)", "among AS (SELECT file_id FROM code12)").replace(",\ne AS", _LISTED + ",\ne AS", 1) + f""",
+role AS (SELECT file_id, {", ".join(f"coalesce(array_to_string(list(term ORDER BY {_ORDER}) FILTER (class = '{c}'), ', '), '') AS {c}" for c in ("declares", "in_path", "imports", "mentions"))} FROM ev1 GROUP BY 1),
+ms AS (SELECT s.file_id, symbol_id, s.name, start_line, end_line, round(sum(idf), 6) AS weight FROM sym s JOIN cur USING (file_id), terms JOIN w USING (term) WHERE is_disc AND line_count >= 80 AND contains({_FOLD.format('s.name')}, folded) GROUP BY ALL),
+mi AS (SELECT * FROM ms m WHERE NOT EXISTS (SELECT 1 FROM ms o WHERE o.file_id = m.file_id AND m.start_line <= o.start_line AND m.end_line >= o.end_line AND m.end_line - m.start_line > o.end_line - o.start_line)),
+mt AS (SELECT file_id, array_to_string(list(name || ' [L' || coalesce(start_line::VARCHAR, 'null') || '-' || coalesce(end_line::VARCHAR, 'null') || ']' ORDER BY start_line NULLS LAST, symbol_id), ', ') AS symbols FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY weight DESC, start_line NULLS LAST, symbol_id) AS r FROM mi) WHERE r <= 6 GROUP BY 1),
+us AS (SELECT a AS file_id, {_FIRST3} AS uses FROM (SELECT a, b AS o, place AS n FROM direct JOIN code12 ON b = file_id) GROUP BY 1),
+ub AS (SELECT b AS file_id, {_FIRST3} AS used_by FROM (SELECT b, a AS o, place AS n FROM direct JOIN code12 ON a = file_id) GROUP BY 1),
+nr AS (SELECT a AS file_id, {_FIRST3} AS near FROM (SELECT a, b AS o, place AS n FROM (SELECT a, b FROM sib UNION SELECT b, a FROM sib) JOIN code12 ON b = file_id) GROUP BY 1),
+vi AS (SELECT a AS file_id, array_to_string(list_sort(list(DISTINCT term)), ', ') AS via FROM (SELECT a, b, term, row_number() OVER (PARTITION BY a, b ORDER BY idf DESC, term) AS p FROM direct JOIN (SELECT file_id AS b, term FROM ev1 WHERE class = 'declares') USING (b) JOIN (SELECT term, idf FROM w WHERE is_disc) USING (term) WHERE (a, term) IN (SELECT (file_id, term) FROM cand)) WHERE p <= 2 GROUP BY 1)
+SELECT class, place, file_id, score, coverage, coalesce(declares, '') AS declares, coalesce(in_path, '') AS in_path, coalesce(imports, '') AS imports, coalesce(mentions, '') AS mentions, coalesce(symbols, '') AS symbols, coalesce(uses, '') AS uses, coalesce(used_by, '') AS used_by, coalesce(near, '') AS near, coalesce(via, '') AS via
+FROM top LEFT JOIN role USING (file_id) LEFT JOIN mt USING (file_id) LEFT JOIN us USING (file_id) LEFT JOIN ub USING (file_id) LEFT JOIN nr USING (file_id) LEFT JOIN vi USING (file_id)"""
+
 _B = SQL["rare_token_bridge"]
+SQL["find_bridged"] = "WITH bridge AS (" + _B + "), " + BASE + "," + _LINES + "," + _TOK + _LISTED + """, two AS (SELECT a AS source, b AS related, n_shared, min_df FROM bridge UNION ALL SELECT b, a, n_shared, min_df FROM bridge),
+mine AS (SELECT two.*, place AS rank FROM two JOIN code12 ON source = file_id WHERE place <= 3 AND related NOT IN (SELECT file_id FROM code12)),
+pf AS (SELECT token, unnest(files) AS f FROM post),
+nm2 AS (SELECT source, related, list_sort(list(DISTINCT x.token)) AS tokens FROM mine JOIN pf x ON x.f = source JOIN pf y ON y.f = related AND y.token = x.token GROUP BY 1, 2),
+stem AS (SELECT DISTINCT s FROM (SELECT unnest([low] || regexp_split_to_array(low, '[_\\W]+')) AS s FROM terms) WHERE length(s) >= 4),
+near3 AS (SELECT DISTINCT source, related FROM (SELECT source, related, unnest(tokens) AS t FROM nm2), stem WHERE contains(t, s) OR contains(s, t)),
+r3 AS (SELECT * FROM (SELECT mine.*, tokens, row_number() OVER (PARTITION BY source ORDER BY n_shared DESC, min_df, related) AS place FROM mine JOIN nm2 USING (source, related) WHERE (source, related) IN (SELECT (source, related) FROM near3)) WHERE place <= 3),
+o3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY related ORDER BY rank, place, source) AS o FROM r3) WHERE o = 1)
+SELECT source, related, array_to_string(tokens[1:3], ', ') AS tokens, row_number() OVER (ORDER BY rank, place) AS place FROM o3 ORDER BY place LIMIT 6"""
 SQL["related_files"] = "WITH bridge AS (" + _B + "), two AS (SELECT a AS file_id, b AS related, n_shared, min_df FROM bridge UNION ALL SELECT b, a, n_shared, min_df FROM bridge) SELECT file_id, related, n_shared, place FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY n_shared DESC, min_df, related) AS place FROM two) WHERE place <= 3"

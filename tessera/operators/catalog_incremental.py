@@ -9,7 +9,8 @@ from tessera.functions import text as X
 from tessera.operators import graph as G
 from tessera.operators import incremental as I
 from tessera.operators.catalog_graph import _files, _G
-from tessera.session import current_rows, table
+from tessera.session import current_rows, table, top_k
+from tessera.sources import files
 from tessera.streaming import sessions as S
 
 CUTOFF = "2025-07-01"
@@ -100,11 +101,10 @@ def search_streaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_rank(spark: SparkSession, d: str) -> DataFrame:
-    """Files a session touched by tool, most edits first, then most events; thirty a session."""
-    c = _hooks(spark, d).where("path is not null")
-    e = c.groupBy("session", "path").agg(F.sum((F.col("tool") == "Edit").cast("bigint")).alias("edits"), F.count(F.lit(1)).alias("events"))
-    place = F.row_number().over(S.Window.partitionBy("session").orderBy(F.desc("edits"), F.desc("events"), "path"))
-    return e.withColumn("place", place.cast("bigint")).where(F.col("place") <= S.MAX_CLAIM)
+    """Files a session touched by the tool calls of all hosts, most edits first, then most events; thirty a session."""
+    r = table(spark, d, "session_records").where(is_object("raw")).dropDuplicates(["record_id"])
+    e = files.tool_evidence(files.tool_calls(r))
+    return top_k(e, ["session"], [F.desc("edits"), F.desc("events"), "path"], S.MAX_CLAIM)
 
 
 def synthesis_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -151,7 +151,13 @@ from tessera.operators.catalog_notes import _F as _NF  # noqa: E402
 
 _HOOKS = "WITH h AS (SELECT DISTINCT session, seq, json_extract_string(raw, '$.tool_name') AS tool, json_extract_string(raw, '$.tool_input.command') AS command, CASE WHEN json_type(raw, '$.tool_input.path') = 'VARCHAR' THEN json_extract_string(raw, '$.tool_input.path') END AS path FROM session_records WHERE kind = 'hook' AND json_valid(raw) AND json_type(raw, '$.tool_name') = 'VARCHAR')"
 SQL = {
-    "evidence_rank": _HOOKS + ", e AS (SELECT session, path, CAST(sum((tool = 'Edit')::INT) AS BIGINT) AS edits, count(*) AS events FROM h WHERE path IS NOT NULL GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY edits DESC, events DESC, path) AS place FROM e) WHERE place <= 30",
+    "evidence_rank": """WITH r AS (SELECT DISTINCT record_id, session, kind, CAST(raw AS JSON) AS v FROM session_records WHERE raw IS NOT NULL AND json_valid(raw) AND json_type(raw) = 'OBJECT'),
+ev AS (SELECT session, v AS e FROM r WHERE kind = 'hook' UNION ALL SELECT session, json_extract(v, '$.postToolUse') FROM r WHERE kind = 'hook' AND json_type(v, '$.postToolUse') = 'OBJECT' UNION ALL SELECT session, unnest(CAST(json_extract(v, '$.postToolUse') AS JSON[])) FROM r WHERE kind = 'hook' AND json_type(v, '$.postToolUse') = 'ARRAY'),
+bl AS (SELECT session, unnest(CAST(json_extract(v, '$.message.content') AS JSON[])) AS b FROM r WHERE kind = 'transcript' AND json_type(v, '$.message.content') = 'ARRAY'),
+tc AS (SELECT session, json_extract_string(e, '$.tool_name') AS tool, CASE WHEN json_type(e, '$.tool_input.path') = 'VARCHAR' THEN json_extract_string(e, '$.tool_input.path') WHEN json_type(e, '$.tool_input.file_path') = 'VARCHAR' THEN json_extract_string(e, '$.tool_input.file_path') END AS path FROM ev
+ UNION ALL SELECT session, json_extract_string(b, '$.name'), CASE WHEN json_type(b, '$.input.path') = 'VARCHAR' THEN json_extract_string(b, '$.input.path') WHEN json_type(b, '$.input.file_path') = 'VARCHAR' THEN json_extract_string(b, '$.input.file_path') END FROM bl WHERE json_extract_string(b, '$.type') = 'tool_use'),
+e AS (SELECT session, path, CAST(sum((tool = 'Read')::INT) AS BIGINT) AS reads, CAST(sum((tool IN ('Edit', 'Write', 'MultiEdit', 'NotebookEdit'))::INT) AS BIGINT) AS edits, count(*) AS events FROM tc WHERE tool IS NOT NULL AND path IS NOT NULL AND path <> '' GROUP BY 1, 2)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY edits DESC, events DESC, path) AS place FROM e WHERE reads + edits > 0) WHERE place <= 30""",
     "search_streaks": _HOOKS + """, k AS (SELECT session, CAST(seq AS BIGINT) AS seq, CASE WHEN tool = 'Read' THEN 'read' WHEN tool = 'Bash' AND regexp_matches(command, '\\bfind\\b') THEN 'find' WHEN tool = 'Bash' AND regexp_matches(command, '\\bgs\\b') THEN 'gs' WHEN tool IN ('Grep', 'Glob') OR regexp_matches(command, '\\b(grep|rg|ls|cat)\\b') THEN 'search' ELSE 'other' END AS kind FROM h),
 w AS (SELECT *, sum((kind IN ('read', 'gs'))::INT) OVER (PARTITION BY session ORDER BY seq) AS rf, sum((kind IN ('read', 'gs', 'find'))::INT) OVER (PARTITION BY session ORDER BY seq) AS rs, row_number() OVER (PARTITION BY session ORDER BY seq) AS total FROM k),
 x AS (SELECT session, seq, kind, total, CAST(sum((kind = 'find')::INT) OVER (PARTITION BY session, rf ORDER BY seq) AS BIGINT) AS finds_since_read, CAST(sum((kind = 'search')::INT) OVER (PARTITION BY session, rs ORDER BY seq) AS BIGINT) AS searches_since_other FROM w)

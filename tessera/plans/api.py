@@ -31,8 +31,8 @@ class CodeIndex:
         for name, df in {**self.t, "files": self.files, "symbols": self.symbols}.items():
             df.createOrReplaceTempView(prefix + name)
 
-    def find(self, query: str, path: str | None = None, tests: bool = True, limit: int = K.JSON_LISTED) -> dict[str, Any]:
-        """Ranked files of a query and the sections of its page; ``path`` and ``tests`` are plain filters."""
+    def find(self, query: str, path: str | None = None, tests: bool = True, limit: int = K.JSON_LISTED, notes: Notebook | None = None) -> dict[str, Any]:
+        """Ranked files of a query, its page and the page's sections; ``path`` and ``tests`` are plain filters, ``notes`` adds the best note of each file."""
         terms = X.parse_terms(query)
         if not terms:
             return {"status": "no usable terms", "terms": []}
@@ -42,13 +42,16 @@ class CodeIndex:
         if not tests:
             files = files.where(~F.coalesce("is_test_file", X.is_test_path("path")))
         cand = P.candidates(self.t["documents"], files, P.symbol_names(self.t["symbols"]), terms)
-        n = files.count()
+        n = files.count()  # one number
         w = P.term_weights(cand, terms, n)
         ev = P.evidence(cand, w, self.t["edges"])
         conv = P.convergence(self.t["documents"], w, terms, n)
+        top = P.listed(cand, w, files, ev).where("class = 'code'")
+        noted = kb.note_map(notes.notes, notes.anchors, terms) if notes else None
         return {
             "status": "ok", "terms": terms, "rank": P.rank(cand, w, limit), "weights": w, "evidence": ev, "classes": P.partition(cand, files, ev), "relations": P.relations(cand, self.t["edges"]),
-            "preview": P.clusters(conv).where(F.col("peak_rank") <= K.PREVIEW_CLUSTERS), "targets": P.import_targets(cand, self.t["edges"]),
+            "preview": P.clusters(conv).where(F.col("peak_rank") <= K.PREVIEW_CLUSTERS), "targets": P.import_targets(cand, self.t["edges"]), "page": P.page(cand, w, files, self.symbols, self.t["edges"], terms, noted),
+            "related": P.bridged(top.where(F.col("place") <= K.DETAILED), top, P.content_tokens(self.t["documents"]), files, self.t["edges"], terms),
         }
 
     def gs(self, path: str, view: str | None = None, match: str | None = None, symbol: str | None = None) -> dict[str, Any]:

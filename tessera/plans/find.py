@@ -12,6 +12,7 @@ nothing; ties rank by file id.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import fixed as K
 from tessera.functions import text as X
+from tessera.operators.graph import drop_containers
 from tessera.session import current_rows, cut, top_k
 
 
@@ -291,3 +293,88 @@ def name_echo(files: DataFrame, terms: list[str], most: int = 200) -> DataFrame:
     hits = files.select("file_id", F.explode(matching(name, terms, True)).alias("term"))
     few = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most)
     return hits.join(few, "term", "left_semi").distinct()
+
+
+# ---- the page ----------------------------------------------------------------------------------------
+
+
+def matched_symbols(symbols: DataFrame, files: DataFrame, weights: DataFrame, terms: list[str]) -> DataFrame:
+    """(file_id, symbol_id, name, start_line, end_line, place): symbols of long files whose name has a discriminating term.
+
+    Those that contain another one are left out, the six with most weight kept, back in the order of their lines.
+    """
+    s = symbols.join(files.where(F.col("line_count") >= K.LONG_FILE).select("file_id"), "file_id", "left_semi")
+    met = s.select("file_id", "symbol_id", "name", "start_line", "end_line", F.explode(matching(F.col("name"), terms, True)).alias("term"))
+    disc = weights.where("is_disc").select("term", "idf")  # a row per term of the query
+    scored = met.join(F.broadcast(disc), "term").groupBy("file_id", "symbol_id", "name", "start_line", "end_line").agg(F.round(F.sum("idf"), 6).alias("weight"))
+    scored = cut(scored)  # read on both sides of the next join
+    inner = drop_containers(scored)
+    top = top_k(inner, ["file_id"], [F.desc("weight"), F.col("start_line").asc_nulls_last(), "symbol_id"], K.MATCHED_SYMBOLS)
+    back = F.row_number().over(Window.partitionBy("file_id").orderBy(F.col("start_line").asc_nulls_last(), "symbol_id"))  # six rows a file
+    return top.withColumn("place", back.cast("bigint")).select("file_id", "symbol_id", "name", "start_line", "end_line", "place")
+
+
+def listed(cand: DataFrame, weights: DataFrame, files: DataFrame, found: DataFrame) -> DataFrame:
+    """(file_id, class, score, coverage, place): the page's files, twelve of code, four documents, four styles, best first."""
+    shown = partition(cand, files, found).where("shown").select("file_id", "class")
+    ranked = rank(cand, weights, None).join(shown, "file_id")
+    return top_k(ranked, ["class"], [F.desc("score"), "file_id"], K.LISTED).where(F.col("place") <= F.when(F.col("class") == "code", K.LISTED).when(F.col("class") == "doc", K.DOCS_LISTED).otherwise(K.STYLES_LISTED))
+
+
+def via(pairs: DataFrame, found: DataFrame, cand: DataFrame, weights: DataFrame) -> DataFrame:
+    """(a, b, term, place): why ``a`` consumes ``b``: the discriminating terms that b declares and a has, two with the best idf."""
+    declared = found.where("class = 'declares'").select(F.col("file_id").alias("b"), "term")
+    both = pairs.join(declared, "b").join(cand.select(F.col("file_id").alias("a"), "term"), ["a", "term"], "left_semi").join(F.broadcast(weights.where("is_disc").select("term", "idf")), "term")
+    return top_k(both, ["a", "b"], [F.desc("idf"), "term"], 2).select("a", "b", "term", "place")
+
+
+def page(cand: DataFrame, weights: DataFrame, files: DataFrame, symbols: DataFrame, imports: DataFrame, terms: list[str], notes: DataFrame | None = None) -> DataFrame:
+    """One row per listed file: ``class, place, file_id, score, coverage``, what it does with the terms (``declares, in_path,
+    imports, mentions``), the symbols to read, its relations to other listed files of code (``uses, used_by, near``, three
+    each, and ``via`` terms of what it uses), and the best note of its path where ``notes(path, note_id)`` is given.
+
+    All that comes after ``listed`` is about two dozen files at most.
+    """
+    found = evidence(cand, weights, imports)
+    top = cut(listed(cand, weights, files, found))
+    ids = top.select("file_id")
+    order = {t: n for n, t in enumerate(terms)}
+    rank_of = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
+    words = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("class") == c, F.struct(rank_of[F.col("term")].alias("n"), "term")))), lambda x: x["term"]).alias(c)
+    role = found.join(ids, "file_id", "left_semi").groupBy("file_id").agg(*[words(c) for c in ("declares", "in_path", "imports", "mentions")])
+    read = matched_symbols(symbols.join(ids, "file_id", "left_semi"), files, weights, terms)
+    read = read.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.format_string("%s [L%s-%s]", "name", "start_line", "end_line").alias("t")))), lambda x: x["t"]).alias("symbols"))
+    code = top.where("class = 'code'").select("file_id", "place")
+    rel = cut(relations(code, imports))
+    place = lambda k, o: rel.join(code.select(F.col("file_id").alias(o), F.col("place").alias("n")), o)
+    three = lambda df, k, o, name: df.groupBy(F.col(k).alias("file_id")).agg(F.transform(F.slice(F.array_sort(F.collect_set(F.struct("n", F.col(o).alias("o")))), 1, 3), lambda x: x["o"]).alias(name))
+    uses = three(place("a", "b").where("relation = 'consumes'"), "a", "b", "uses")
+    used = three(place("b", "a").where("relation = 'consumes'"), "b", "a", "used_by")
+    sib = rel.where("relation = 'siblings'")
+    both = sib.select("a", "b").unionByName(sib.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(code.select(F.col("file_id").alias("b"), F.col("place").alias("n")), "b")
+    near = three(both, "a", "b", "near")
+    why = via(rel.where("relation = 'consumes'").select("a", "b"), found, cand, weights).groupBy(F.col("a").alias("file_id")).agg(F.array_sort(F.collect_set("term")).alias("via"))
+    out = top
+    for part in (role, read, uses, used, near, why):
+        out = out.join(part, "file_id", "left")
+    none = F.array().cast("array<string>")
+    lists = ["declares", "in_path", "imports", "mentions", "symbols", "uses", "used_by", "near", "via"]
+    out = out.select("class", "place", "file_id", "score", "coverage", *[F.coalesce(c, none).alias(c) for c in lists])
+    return out if notes is None else out.join(notes.select(F.col("path").alias("file_id"), "note_id"), "file_id", "left")
+
+
+def bridged(tops: DataFrame, shown: DataFrame, tokens: DataFrame, files: DataFrame, imports: DataFrame, terms: list[str], cap: int = K.BRIDGES_LISTED) -> DataFrame:
+    """(source, related, tokens, place): files that no import joins to one of ``tops(file_id, place)`` but rare names do, some of
+    them near the query; those ``shown`` aside, three a source, six in all, each once under its best source."""
+    post = rare_postings(tokens, files)
+    linked = bridges(post, tokens, imports)
+    two = linked.select(F.col("a").alias("source"), F.col("b").alias("related"), "n_shared", "min_df").unionByName(linked.select(F.col("b").alias("source"), F.col("a").alias("related"), "n_shared", "min_df"))
+    mine = two.join(tops.select(F.col("file_id").alias("source"), F.col("place").alias("rank")), "source").join(shown.select(F.col("file_id").alias("related")), "related", "left_anti")
+    where = post.select("token", F.explode("files").alias("file_id"))
+    names = mine.select("source", "related").join(where.withColumnRenamed("file_id", "source"), "source").join(where.select("token", F.col("file_id").alias("related")), ["related", "token"])
+    names = names.groupBy("source", "related").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    stems = query_stems(terms)
+    close = lambda t: reduce(lambda x, y: x | y, [t.contains(s) | F.lit(s).contains(t) for s in stems], F.lit(not stems))
+    rows = top_k(mine.join(names, ["source", "related"]).where(F.exists("tokens", close)), ["source"], [F.desc("n_shared"), "min_df", "related"], 3)
+    once = rows.groupBy("related").agg(F.min(F.struct("rank", "place", "source", F.slice("tokens", 1, 3).alias("tokens"))).alias("b")).select("related", "b.*").orderBy("rank", "place").limit(cap)
+    return once.select("source", "related", "tokens", F.row_number().over(Window.orderBy("rank", "place")).cast("bigint").alias("place"))  # over ``cap`` rows

@@ -249,10 +249,15 @@ def vcs_changes(spark: SparkSession, root: str, since: str | None = None) -> Dat
 
 
 def tool_calls(records: DataFrame) -> DataFrame:
-    """(session, seq, record_id, tool, call_id, command, path) of three shapes of agent records (hook, transcript, rollout)."""
+    """(session, seq, record_id, tool, call_id, command, path) of three shapes of agent records (hook, transcript, rollout).
+
+    A hook record is one event, or wraps one or several as ``postToolUse``.
+    """
     v = records.select("session", "seq", "record_id", "kind", F.try_parse_json("raw").alias("v")).where("v is not null")
     get = lambda c, p: F.try_variant_get(c, p, "string")
-    hook = v.where("kind = 'hook'").select("session", "seq", "record_id", get("v", "$.tool_name").alias("tool"), F.lit(None).cast("string").alias("call_id"), get("v", "$.tool_input.command").alias("command"), F.coalesce(get("v", "$.tool_input.path"), get("v", "$.tool_input.file_path")).alias("path"))
+    post = F.coalesce(F.try_variant_get("v", "$.postToolUse", "array<variant>"), F.array(F.try_variant_get("v", "$.postToolUse", "variant")))
+    events = v.where("kind = 'hook'").select("session", "seq", "record_id", F.explode(F.concat(F.array("v"), post)).alias("e"))
+    hook = events.select("session", "seq", "record_id", get("e", "$.tool_name").alias("tool"), F.lit(None).cast("string").alias("call_id"), get("e", "$.tool_input.command").alias("command"), F.coalesce(get("e", "$.tool_input.path"), get("e", "$.tool_input.file_path")).alias("path"))
     blocks = v.where("kind = 'transcript'").select("session", "seq", "record_id", F.explode(F.try_variant_get("v", "$.message.content", "array<variant>")).alias("b"))
     use = blocks.where(get("b", "$.type") == "tool_use").select("session", "seq", "record_id", get("b", "$.name").alias("tool"), get("b", "$.id").alias("call_id"), get("b", "$.input.command").alias("command"), F.coalesce(get("b", "$.input.path"), get("b", "$.input.file_path")).alias("path"))
     roll = v.where("kind = 'rollout'").where(get("v", "$.payload.type").isin("custom_tool_call", "function_call")).select("session", "seq", "record_id", get("v", "$.payload.name").alias("tool"), get("v", "$.payload.call_id").alias("call_id"), F.regexp_extract(get("v", "$.payload.input"), r'cmd"?\s*:\s*"((?:[^"\\]|\\.)*)"', 1).alias("command"), F.lit(None).cast("string").alias("path"))
