@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from tessera.operators import graph as G
 from tessera.operators.fold import NOTE_TYPES
 from tessera.plans import find as P
 from tessera.plans import gs, kb
+from tessera.session import top_k
 
 ID = re.compile(r"[a-z0-9][a-z0-9-]{0,99}")
 
@@ -26,6 +28,11 @@ class CodeIndex:
         self.spark, self.t = spark, tables
         self.files, self.symbols = P.live_files(tables["files"]), P.live_symbols(tables["symbols"])
 
+    @cached_property
+    def tokens(self) -> DataFrame:
+        """Content tokens of all files, read from the texts once per index."""
+        return P.content_tokens(self.t["documents"])
+
     def register(self, prefix: str = "") -> None:
         """Temporary views of the live tables, for queries in SQL."""
         for name, df in {**self.t, "files": self.files, "symbols": self.symbols}.items():
@@ -51,7 +58,7 @@ class CodeIndex:
         return {
             "status": "ok", "terms": terms, "rank": P.rank(cand, w, limit), "weights": w, "evidence": ev, "classes": P.partition(cand, files, ev), "relations": P.relations(cand, self.t["edges"]),
             "preview": P.clusters(conv).where(F.col("peak_rank") <= K.PREVIEW_CLUSTERS), "targets": P.import_targets(cand, self.t["edges"]), "page": P.page(cand, w, files, self.symbols, self.t["edges"], terms, noted),
-            "related": P.bridged(top.where(F.col("place") <= K.DETAILED), top, P.content_tokens(self.t["documents"]), files, self.t["edges"], terms),
+            "related": P.bridged(top.where(F.col("place") <= K.DETAILED), top, self.tokens, files, self.t["edges"], terms),
         }
 
     def gs(self, path: str, view: str | None = None, match: str | None = None, symbol: str | None = None) -> dict[str, Any]:
@@ -63,22 +70,49 @@ class CodeIndex:
         fid = hit["file_id"]
         own = self.symbols.where(F.col("file_id") == fid)
         out: dict[str, Any] = {"status": "ok" if known else "unknown view, all of it shown", "file_id": fid}
+        edges = self.t["symbol_edges"]
         if symbol:
-            picked = gs.pick_symbols(own, [s for s in re.split(r"[,|]", symbol) if s.strip()])
-            body = own.join(picked.select("symbol_id").distinct(), "symbol_id", "left_semi").withColumn("n_lines", F.col("end_line") - F.col("start_line") + 1)
-            out["slices"] = gs.line_budget(body, K.SLICE_LINES, ["start_line", "symbol_id"])
-            out["methods"] = gs.method_matches(P.lines(self.t["documents"].where(F.col("file_id") == fid)), own, P.matching(F.col("text"), X.parse_terms(symbol) or [symbol]))
-            return out
+            return out | self._slices(fid, own, symbol)
         if name in ("full", "symbols"):
             shown = gs.default_symbols_plain(own)
-            out["symbols"] = gs.display_names(gs.match_symbols(shown, X.match_predicate(match, "name")) if match else shown)
+            kept = gs.match_symbols(shown, X.match_predicate(match, "name")) if match else shown.join(gs.top_symbols(own, edges).select("symbol_id", "n_caller_files", "n_symbols"), "symbol_id")
+            out["symbols"] = gs.display_names(kept)
         if name in ("full", "imports"):
             out["imports"] = G.adjacency(self.t["edges"].where(F.col("src") == fid)).join(self.files.select(F.col("file_id").alias("dst")), "dst", "left_semi")
         if name in ("full", "importers"):
             out["importers"] = G.importers(self.t["edges"].where(F.col("dst") == fid), self.files)
         if name in ("full", "callers"):
             mine = self.symbols.where(F.col("is_exported") & (F.col("file_id") == fid)).select(F.col("symbol_id").alias("dst"))
-            out["callers"] = G.callers(self.t["symbol_edges"].join(mine, "dst", "left_semi"), self.symbols)
+            out["callers"] = G.callers(edges.join(mine, "dst", "left_semi"), self.symbols)
+        if name == "full":
+            linked = P.bridges(P.rare_postings(self.tokens, self.files), self.tokens, self.t["edges"])
+            out["related"] = P.related_files(linked.where((F.col("a") == fid) | (F.col("b") == fid))).where(F.col("file_id") == fid)
+            if match:
+                importers = G.adjacency(self.t["edges"].where(F.col("dst") == fid)).select(F.col("src").alias("file_id"))
+                shown = importers.unionByName(self.spark.createDataFrame([(fid,)], "file_id string"))
+                out["body_refs"] = gs.body_refs(self.tokens, self.files, X.match_predicate(match, "token"), shown)
+        return out
+
+    def _slices(self, fid: str, own: DataFrame, symbol: str) -> dict[str, Any]:
+        """The bodies of the named symbols within their line budget, their callers and callees; where no symbol has the name, the
+        methods around lines that hold the words (within a smaller budget), and the regions of such lines."""
+        picked = gs.pick_symbols(own, [s for s in re.split(r"[,|]", symbol) if s.strip()]).select("symbol_id").distinct()
+        sized = lambda df: df.withColumn("n_lines", F.col("end_line") - F.col("start_line") + 1)
+        body = sized(own.join(picked, "symbol_id", "left_semi"))
+        out: dict[str, Any] = {"slices": gs.line_budget(top_k(body, ["file_id"], ["start_line", "symbol_id"], K.SLICE_SYMBOLS), K.SLICE_LINES, ["start_line", "symbol_id"])}
+        edges = self.t["symbol_edges"]
+        exported = picked.join(self.symbols.where("is_exported"), "symbol_id", "left_semi").select(F.col("symbol_id").alias("dst"))
+        out["callers"] = G.callers(edges.join(exported, "dst", "left_semi"), self.symbols)
+        out["callees"] = G.callees(edges.join(picked.select(F.col("symbol_id").alias("src")), "src", "left_semi"), self.symbols)
+        text = self.t["documents"].where(F.col("file_id") == fid)
+        lines, terms = P.lines(text), X.parse_terms(symbol) or [symbol]
+        hit = P.matching(F.col("text"), terms)
+        methods = gs.method_matches(lines, own, hit).where(F.col("place") <= K.MATCH_SYMBOLS)
+        out["methods"] = gs.line_budget(sized(methods.join(own.select("symbol_id", "start_line", "end_line"), "symbol_id")), K.MATCH_LINES, ["place"])
+        lengths = text.where("text is not null").select("file_id", X.line_count("text").alias("n_lines"))
+        around = gs.regions(lines.where(F.size(hit) > 0).select("file_id", "line"), lengths).where(F.col("region") <= K.REGIONS)
+        region = around.withColumn("n_lines", F.col("last") - F.col("first") + 1)
+        out["regions"] = gs.line_budget(region.join(picked.limit(1).select(F.lit(fid).alias("file_id")), "file_id", "left_anti"), K.REGION_LINES, ["region"])
         return out
 
     def consumers(self, paths: list[str]) -> DataFrame:

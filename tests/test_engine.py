@@ -408,3 +408,44 @@ def test_queries_have_matching_columns(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
     assert all(re.fullmatch(r"[a-z0-9_]+", k) for k in e.queries())
     assert "find_rank" in e.queries() and K.JSON_LISTED == 40
+
+
+# ---- entry points ----------------------------------------------------------------------------------------
+
+
+def index(spark):
+    text = {"r/a.ts": "export function loadAlpha() {\n  return fetchBeta();\n}\n" + "// filler\n" * 90 + "const alpha_key = 'wire_name_x';\n", "r/alphaUse.ts": "import { loadAlpha } from './a';\nloadAlpha();\n", "r/lib/c.py": "def other():\n    alpha = WIRE\n    return 'wire_name_x'\n", "r/doc.md": "alpha is loaded"}
+    docs = spark.createDataFrame([(f, t, 1) for f, t in text.items()] + [(None, "alpha", 1)], "file_id string, text string, path int")
+    row = lambda f, t: (f, "r", f[2:], None, t.count("\n") + 1, len(t) // 4, False, False, 0.0, None, None, 0.0, len(t), 0, T, T, None, None, [])
+    T = None
+    files = spark.createDataFrame([row(f, t) for f, t in text.items()], "file_id string, repo string, path string, language string, line_count int, token_estimate int, is_barrel boolean, is_test_file boolean, reexport_ratio double, package_name string, hash string, mtime_ms double, size_bytes bigint, imported_by_count int, indexed_at timestamp, received_at timestamp, deleted_at timestamp, domain_map map<string,int>, exports array<string>")
+    sym = spark.createDataFrame([("r/a.ts#loadAlpha", "r/a.ts", "loadAlpha", "function", 1, 3, True, None, [], None, None), ("r/a.ts#fetchBeta", "r/a.ts", "fetchBeta", "function", 50, 52, True, None, [], None, None), ("r/alphaUse.ts#main", "r/alphaUse.ts", "main", "function", 1, 2, True, None, [], None, None)], "symbol_id string, file_id string, name string, kind string, start_line int, end_line int, is_exported boolean, extends_name string, implements array<string>, indexed_at timestamp, deleted_at timestamp")
+    calls = spark.createDataFrame([(1, "r/alphaUse.ts#main", "r/a.ts#loadAlpha", "calls", 2), (2, "r/a.ts#loadAlpha", "r/a.ts#fetchBeta", "calls", 2)], "edge_id bigint, src string, dst string, type string, line int")
+    edges = spark.createDataFrame([("r/alphaUse.ts", "r/a.ts", "import", "./a", 1)], "src string, dst string, type string, specifier string, ord int")
+    return api.CodeIndex(spark, {"documents": docs, "files": files, "symbols": sym, "symbol_edges": calls, "edges": edges})
+
+
+def test_find_page(spark):
+    ix = index(spark)
+    notes = spark.createDataFrame([("n1", "file", "active", "alpha", [], "")], "note_id string, type string, status string, title string, aliases array<string>, body string")
+    anchors = spark.createDataFrame([("n1", "r/a.ts", [], None)], "note_id string, path string, symbols array<string>, hash string")
+    out = ix.find("alpha fetchBeta", notes=api.Notebook(notes, anchors, anchors, anchors, anchors))
+    page = {r.file_id: r for r in out["page"].collect()}
+    a, b = page["r/a.ts"], page["r/alphaUse.ts"]
+    assert (a["class"], a.place, a.note_id, a.declares, a.used_by) == ("code", 1, "n1", ["alpha", "fetchBeta"], ["r/alphaUse.ts"]) and a.symbols == ["loadAlpha [L1-3]", "fetchBeta [L50-52]"]
+    assert b.uses == ["r/a.ts"] and b.via == ["alpha"] and page["r/doc.md"]["class"] == "doc" and ix.find("!!")["status"] == "no usable terms"
+    assert out["related"].collect() == []  # c.py shares a rare name, but is listed itself
+    assert len(out["rank"].collect()) == 4
+
+
+def test_gs_views(spark):
+    ix = index(spark)
+    full = ix.gs("./a.ts", match="wire_name")
+    assert [r.symbol_id for r in full["symbols"].collect()] and full["symbols"].where("missed").count() == 2 and [r.file_id for r in full["body_refs"].collect()] == ["r/lib/c.py"]
+    assert [(r.related, r.place) for r in full["related"].collect()] == [("r/lib/c.py", 1)] and [r.caller_file for r in full["callers"].collect()] == ["r/alphaUse.ts"]
+    cut = ix.gs("r/a.ts", symbol="loadAlpha")
+    assert [(r.symbol_id, r.take) for r in cut["slices"].collect()] == [("r/a.ts#loadAlpha", 3)] and [r.callee for r in cut["callees"].collect()] == ["r/a.ts#fetchBeta"] and [r.caller for r in cut["callers"].collect()] == ["main"]
+    assert cut["regions"].count() == 0
+    none = ix.gs("r/a.ts", symbol="alpha_key")
+    assert none["slices"].count() == 0 and [(r.first, r.last, r.take) for r in none["regions"].collect()] == [(91, 94, 4)]
+    assert ix.gs("nope.ts")["status"] == "not found" and ix.gs("a.ts", view="odd")["status"].startswith("unknown")
