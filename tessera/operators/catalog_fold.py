@@ -72,11 +72,14 @@ def fold_warnings(spark: SparkSession, d: str) -> DataFrame:
 
 def fold_full(spark: SparkSession, d: str) -> DataFrame:
     """The state of every note in one row."""
-    v = _valid(spark, d)
-    al = L.union_with_tombstones(v, F.col("aliases"), "alias").unionByName(L.demoted_titles(v)).groupBy("note_id", "value").agg(F.min("first").alias("first"))
+    v = L.own_records(_valid(spark, d))
+    al = L.union_with_tombstones(v, F.col("aliases"), "alias", True).unionByName(L.demoted_titles(v, True)).groupBy("note_id", "value").agg(F.min("first").alias("first"))
     al = al.groupBy("note_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "value"))), lambda x: x["value"]).alias("aliases"))
-    an = L.anchors(v).groupBy("note_id").agg(F.array_sort(F.collect_list(F.struct("path", "symbols", "hash"))).alias("anchors"))
-    return L.scalars(v).join(al, "note_id", "left").join(an, "note_id", "left").join(L.incidents(v), "note_id", "left").select("note_id", "type", "title", "summary", "status", "edits", "incident", X.cap_aliases("aliases").alias("aliases"), "anchors")
+    one = F.concat_ws("|", "path", F.array_join("symbols", "+"), "hash")
+    an = L.anchors(v, True).groupBy("note_id").agg(F.array_join(F.array_sort(F.collect_list(one)), ";").alias("anchors"))
+    inv = L.union_with_tombstones(v, F.col("invariants"), "invariant", True).groupBy("note_id").agg(F.array_join(F.array_sort(F.collect_set("value")), ",").alias("invariants"))
+    joined = L.scalars(v).join(al, "note_id", "left").join(an, "note_id", "left").join(inv, "note_id", "left").join(L.incidents(v, True), "note_id", "left")
+    return joined.select("note_id", "type", "title", "summary", "head", "status", "superseded_by", "edits", F.array_join("incident", ",").alias("incident"), F.array_join(X.cap_aliases("aliases"), ",").alias("aliases"), "anchors", "invariants")
 
 
 def _alias_lists(spark, d):
@@ -122,5 +125,14 @@ SQL = {
     "alias_cap": _REC + f"SELECT note_id, array_to_string({_CAP}, ',') AS aliases FROM lists",
     "alias_hidden": _REC + f"SELECT note_id, len(aliases) AS n_aliases, array_to_string(list_sort(list_filter(aliases, lambda q: NOT list_contains({_CAP}, q))), ',') AS hidden FROM lists",
 }
+_PART = lambda k: SQL[k].removeprefix(_REC)
+SQL["fold_full"] = _REC + ", " + ", ".join(f"{k}_ AS ({('WITH ' + _PART(k).removeprefix(', ')) if _PART(k).startswith(', ') else _PART(k)})" for k in ("fold_lww", "fold_status", "fold_incident_replace", "fold_keyed_upsert", "fold_tombstone", "fold_title_demote")) + """,
+alv AS (SELECT note_id, value, min(first) AS first FROM (SELECT note_id, value, first.b AS first FROM un UNION ALL SELECT note_id, value, first_event FROM fold_title_demote_) GROUP BY 1, 2),
+ord_ AS (SELECT event_id, ts FROM events),
+all_ AS (SELECT note_id, list(value ORDER BY ts, event_id, value) AS l FROM alv JOIN ord_ ON event_id = first GROUP BY 1),
+an_ AS (SELECT note_id, array_to_string(list_sort(list(concat_ws('|', path, symbols, hash))), ';') AS anchors FROM fold_keyed_upsert_ GROUP BY 1),
+in_ AS (SELECT note_id, array_to_string(list_sort(list(DISTINCT value)), ',') AS invariants FROM fold_tombstone_ GROUP BY 1)
+SELECT note_id, type, title, summary, head, status, superseded_by, edits, incident, array_to_string(l[greatest(1, len(l) - 11):], ',') AS aliases, anchors, invariants
+FROM fold_lww_ JOIN fold_status_ USING (note_id) LEFT JOIN fold_incident_replace_ USING (note_id) LEFT JOIN all_ USING (note_id) LEFT JOIN an_ USING (note_id) LEFT JOIN in_ USING (note_id)"""
 
 RECORDS_SQL = SQL

@@ -92,3 +92,10 @@ arr AS (
   UNION ALL SELECT record_id, key, path || '[' || (n - 1) || '].content', json_extract(e, '$.content') FROM (SELECT record_id, key, path, unnest(CAST(a AS JSON[])) AS e, generate_subscripts(CAST(a AS JSON[]), 1) AS n FROM arr) WHERE json_type(e) = 'OBJECT' AND json_type(e, '$.content') = 'ARRAY'),
 item AS (SELECT record_id, path || '[' || (n - 1) || '].' || key AS path, json_extract(e, '$.' || key) AS c FROM (SELECT record_id, key, path, unnest(CAST(a AS JSON[])) AS e, generate_subscripts(CAST(a AS JSON[]), 1) AS n FROM arr) WHERE json_type(e) = 'OBJECT')
 SELECT DISTINCT record_id, path AS item_path, {_VALUE.format('c')} AS value FROM (SELECT * FROM cmd UNION ALL SELECT * FROM item) WHERE {_STRING.format('c')}"""
+
+SQL["p3_sharing"] = """
+WITH r AS (SELECT DISTINCT record_id, kind, CAST(raw AS JSON) AS v FROM session_records WHERE raw IS NOT NULL AND json_valid(raw)),
+u AS (SELECT record_id, kind, CASE WHEN kind = 'rollout' AND json_type(v, '$.payload.output') = 'VARCHAR' AND json_valid(json_extract_string(v, '$.payload.output')) AND json_type(json_extract_string(v, '$.payload.output')) = 'ARRAY' THEN json_merge_patch(v, json_object('payload', json_object('output', CAST(json_extract_string(v, '$.payload.output') AS JSON)))) ELSE v END AS v FROM r),
+t AS (SELECT record_id, kind, v, (SELECT list_sort(list(fullkey || '=' || type || '=' || coalesce(CAST(atom AS VARCHAR), ''))) FROM json_tree(v)) AS sig FROM u),
+d AS (SELECT DISTINCT record_id, kind, sig, CASE json_type(v) WHEN 'OBJECT' THEN len(json_keys(v)) WHEN 'ARRAY' THEN json_array_length(v) ELSE 0 END AS kids FROM t)
+SELECT kind, count(*) AS records, count(DISTINCT sig) AS distinct_roots, CAST((SELECT sum(k) FROM (SELECT DISTINCT sig, kids AS k FROM d e WHERE e.kind IS NOT DISTINCT FROM d.kind)) AS BIGINT) AS root_children FROM d GROUP BY kind"""

@@ -9,7 +9,7 @@ The type of a note is that of its first valid record and records of another type
 per (note, type) until the type is known, which saves a second pass.
 
 Expected columns: note_id, type, op (put, retract, supersede), ord, valid, and the payload: title, summary, body, head,
-aliases, incident, invariants, anchor (path, symbols, hash), facet, kind/key of a retract, by, verified.
+aliases, incident, invariants, anchor (path, symbols, hash), facet, kind/key of a retract, by, verified. With ``settled`` the records are those of ``own_records`` and types aren't looked up again.
 
 Defined cases: invalid records (see ``validate``) are left out and listed; a note without a valid record has no state;
 a null payload field changes nothing; an empty log gives no note.
@@ -23,6 +23,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 NOTE_TYPES = ("file", "flow", "lesson")
 RETRACT_KINDS = ("behavior", "feature", "facet", "anchor", "invariant", "alias", "note")
 
@@ -49,8 +51,13 @@ def applied() -> Column:
     return F.when(F.col("op") == "retract", F.coalesce(F.col("kind").isin(*RETRACT_KINDS), F.lit(False))).when(F.col("op") == "supersede", F.col("by").isNotNull()).otherwise(True)
 
 
-def _of_type(per_type: DataFrame, types: DataFrame, *keys: str) -> DataFrame:
-    return per_type.join(types, ["note_id", "type"], "left_semi")
+def _of_type(per_type: DataFrame, types: DataFrame | None) -> DataFrame:
+    return per_type if types is None else per_type.join(types, ["note_id", "type"], "left_semi")
+
+
+def own_records(valid: DataFrame) -> DataFrame:
+    """The valid records that are of their note's type, written once: what the parts of one fold read with ``settled``."""
+    return cut(valid.join(note_types(valid), ["note_id", "type"], "left_semi"))
 
 
 def note_types(valid: DataFrame) -> DataFrame:
@@ -73,21 +80,21 @@ def scalars(valid: DataFrame) -> DataFrame:
     return best.withColumn("status", status).drop("p", "r", "s")
 
 
-def union_with_tombstones(valid: DataFrame, values: Column, kind: str) -> DataFrame:
+def union_with_tombstones(valid: DataFrame, values: Column, kind: str, settled: bool = False) -> DataFrame:
     """(note_id, value, first): texts ever put that no later retract of ``kind`` took back; ``first`` is the put that brought them in.
 
     After a retract a text starts anew, so ``first`` is the first put behind its last retract.
     """
-    types = note_types(valid)
+    types = None if settled else note_types(valid)
     puts = valid.where("op = 'put'").select("note_id", "type", "ord", F.explode(values).alias("value")).where("value is not null")
     gone = valid.where((F.col("op") == "retract") & (F.col("kind") == kind)).groupBy("note_id", "type", F.col("key").alias("value")).agg(F.max("ord").alias("gone"))
     alive = puts.join(gone, ["note_id", "type", "value"], "left").where("gone is null or ord > gone")
     return _of_type(alive.groupBy("note_id", "type", "value").agg(F.min("ord").alias("first")), types).select("note_id", "value", "first")
 
 
-def demoted_titles(valid: DataFrame) -> DataFrame:
+def demoted_titles(valid: DataFrame, settled: bool = False) -> DataFrame:
     """(note_id, value, first): titles that a later one replaced, as aliases. A title put again last isn't demoted by itself, but stays one if it was."""
-    types = note_types(valid)
+    types = None if settled else note_types(valid)
     t = valid.where("op = 'put' and title is not null").select("note_id", "type", F.trim("title").alias("value"), "ord").where("value <> ''")
     spans = t.groupBy("note_id", "type", "value").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"))
     ends = t.groupBy("note_id", "type").agg(F.max("ord").alias("last"), F.max_by("value", "ord").alias("title"))
@@ -100,12 +107,12 @@ def demoted_titles(valid: DataFrame) -> DataFrame:
     return _of_type(joined, types).select("note_id", "value", F.col("lo").alias("first"))
 
 
-def incidents(valid: DataFrame) -> DataFrame:
+def incidents(valid: DataFrame, settled: bool = False) -> DataFrame:
     """(note_id, incident): the symptom words of the last put with a summary or body; an empty list replaces too.
 
     Words that a later retract names are taken out.
     """
-    types = note_types(valid)
+    types = None if settled else note_types(valid)
     put = valid.where("op = 'put' and (summary is not null or body is not null)").groupBy("note_id", "type").agg(F.max(F.struct("ord", F.coalesce("incident", F.array().cast("array<string>")).alias("words"))).alias("b"))
     gone = valid.where("op = 'retract' and kind = 'alias' and key is not null").groupBy("note_id", "type", "key").agg(F.max("ord").alias("gone"))
     words = put.select("note_id", "type", F.col("b.ord").alias("ord"), F.explode_outer(F.array_distinct("b.words")).alias("key"))
@@ -113,9 +120,9 @@ def incidents(valid: DataFrame) -> DataFrame:
     return _of_type(left, types).select("note_id", "incident")
 
 
-def anchors(valid: DataFrame) -> DataFrame:
+def anchors(valid: DataFrame, settled: bool = False) -> DataFrame:
     """(note_id, path, symbols, hash): keyed by path; symbols are united, the hash is the last one, a retract starts anew."""
-    types = note_types(valid)
+    types = None if settled else note_types(valid)
     puts = valid.where("op = 'put' and anchor.path is not null").select("note_id", "type", "ord", "anchor.*")
     gone = valid.where("op = 'retract' and kind = 'anchor'").groupBy("note_id", "type", F.col("key").alias("path")).agg(F.max("ord").alias("gone"))
     alive = puts.join(gone, ["note_id", "type", "path"], "left").where("gone is null or ord > gone")
@@ -124,12 +131,12 @@ def anchors(valid: DataFrame) -> DataFrame:
     return _of_type(per.join(sym, ["note_id", "type", "path"]), types).select("note_id", "path", "symbols", "hash")
 
 
-def keyed_last(valid: DataFrame, entries: Column, kind: str) -> DataFrame:
+def keyed_last(valid: DataFrame, entries: Column, kind: str, settled: bool = False) -> DataFrame:
     """(note_id, key, value): the last value put for a key behind the last retract of it; for behaviours, features and facets.
 
     ``entries`` is an array of structs (key, value). A null value keeps an earlier one, as a feature put without a role does.
     """
-    types = note_types(valid)
+    types = None if settled else note_types(valid)
     puts = valid.where("op = 'put'").select("note_id", "type", "ord", F.explode(entries).alias("e")).select("note_id", "type", "ord", "e.key", "e.value").where("key is not null")
     gone = valid.where((F.col("op") == "retract") & (F.col("kind") == kind)).groupBy("note_id", "type", "key").agg(F.max("ord").alias("gone"))
     alive = puts.join(gone, ["note_id", "type", "key"], "left").where("gone is null or ord > gone")
@@ -137,16 +144,16 @@ def keyed_last(valid: DataFrame, entries: Column, kind: str) -> DataFrame:
     return _of_type(per, types).select("note_id", "key", "value")
 
 
-def last_whole(valid: DataFrame, column: str) -> DataFrame:
+def last_whole(valid: DataFrame, column: str, settled: bool = False) -> DataFrame:
     """(note_id, value): a field that is replaced as a whole (steps, scope), by its last put that has it."""
-    types = note_types(valid)
+    types = None if settled else note_types(valid)
     per = valid.where(F.col("op") == "put").where(F.col(column).isNotNull()).groupBy("note_id", "type").agg(F.max_by(column, "ord").alias("value"))
     return _of_type(per, types).select("note_id", "value")
 
 
-def extra_fields(valid: DataFrame, fields: str = "extra") -> DataFrame:
+def extra_fields(valid: DataFrame, fields: str = "extra", settled: bool = False) -> DataFrame:
     """(note_id, key, value): unknown fields (a map column), each by its last put."""
-    types = note_types(valid)
+    types = None if settled else note_types(valid)
     rows = valid.where("op = 'put'").select("note_id", "type", "ord", F.explode(fields).alias("key", "value"))
     return _of_type(rows.groupBy("note_id", "type", "key").agg(F.max_by("value", "ord").alias("value")), types).select("note_id", "key", "value")
 
