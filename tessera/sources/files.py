@@ -11,8 +11,10 @@ import os
 import re
 import subprocess
 import time
+import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -107,22 +109,89 @@ def list_ids(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(os.path.join(folder, "*.jsonl")).select(F.regexp_extract("path", r"([^/]+)\.jsonl$", 1).alias("note_id")).distinct().orderBy("note_id")
 
 
+class Store:
+    """A folder on any file system that Spark reaches, through its own client: existence, whole small files, exclusive creation, atomic replacement."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.jvm, self.conf, self.folder = spark._jvm, spark._jsc.hadoopConfiguration(), folder
+        self.fs = self.path().getFileSystem(self.conf)
+
+    def path(self, *parts: str):
+        return self.jvm.org.apache.hadoop.fs.Path("/".join((self.folder.rstrip("/"), *parts)))
+
+    def exists(self, *parts: str) -> bool:
+        return self.fs.exists(self.path(*parts))
+
+    def names(self) -> list[str]:
+        return [f.getPath().getName() for f in self.fs.listStatus(self.path())] if self.exists() else []
+
+    def read(self, *parts: str) -> str | None:
+        if not self.exists(*parts):
+            return None
+        stream = self.fs.open(self.path(*parts))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def create(self, text: str, *parts: str) -> bool:
+        """Create a file unless it is there; of several writers one succeeds."""
+        try:
+            out = self.fs.create(self.path(*parts), False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception) or "already exists" in str(e.java_exception):
+                return False
+            raise
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        return True
+
+    def replace(self, text: str, *parts: str) -> None:
+        """Write a file beside its place and move it there in one step."""
+        *folder, name = parts
+        part = (*folder, f".{name}-{uuid.uuid4().hex}")
+        self.create(text, *part)
+        self.remove(*folder, f".{name}.crc")  # a local file's checksum would outlive it
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
+        rename = self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+        how = SparkSession.active().sparkContext._gateway.new_array(getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        how[0] = next(x for x in rename.getEnumConstants() if x.toString() == "OVERWRITE")
+        context.rename(self.path(*part), self.path(*parts), how)
+
+    def remove(self, *parts: str) -> None:
+        self.fs.delete(self.path(*parts), True)
+
+
+#: Folders of a log that its notes are dealt to by a hash of their ids.
+LOG_BUCKETS = 64
+
+
 def append_records(records: DataFrame, folder: str, head: str | None = None, live: DataFrame | None = None, exclusive: bool = False) -> None:
-    """Append ``note_id, record (JSON)`` to a partitioned log: version, time and head are stamped, verified paths hashed.
+    """Append ``note_id, record (JSON)`` to a log in buckets: version, time and head are stamped, verified paths hashed.
 
-    With ``exclusive`` a note that has a log already is an error, checked before anything is written.
+    With ``exclusive`` a note that has a log already is an error. The ids of the batch, as few as the specs it was made of, are claimed by
+    exclusive creation before anything is written, so of two writers of one new note one fails.
     """
     spark = records.sparkSession
-    if exclusive and os.path.isdir(folder):
-        known = spark.read.parquet(folder).select("note_id").distinct()
-        if not records.join(known, "note_id", "left_semi").isEmpty():
+    store = Store(spark, folder)
+    if exclusive:
+        ids = [r.note_id for r in records.select("note_id").distinct().collect()]  # the specs of one call
+        if any(n.startswith("bucket=") for n in store.names()) and not records.join(spark.read.parquet(folder).select("note_id").distinct(), "note_id", "left_semi").isEmpty():
             raise ValueError("a note of this id exists")
-    out = records.withColumns({"v": F.lit(1), "ts": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), "head": F.lit(head)})
+        claimed = [i for i in ids if store.create("", "_claims", i)]
+        if len(claimed) < len(ids):
+            for i in claimed:
+                store.remove("_claims", i)
+            raise ValueError("a note of this id exists")
+    out = records.withColumns({"v": F.lit(1), "ts": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), "head": F.lit(head).cast("string")})
     if live is not None:
         paths = out.select("note_id", F.explode(F.from_json("record", "struct<verified:array<string>>")["verified"]).alias("path")).join(live, "path", "left")
         hashed = paths.groupBy("note_id").agg(F.collect_list(F.struct("path", F.coalesce("hash", F.lit("missing")).alias("hash"))).alias("hashes"))
         out = out.join(hashed, "note_id", "left")
-    out.write.mode("append").partitionBy("note_id").parquet(folder)
+    bucket = F.pmod(F.xxhash64("note_id"), F.lit(LOG_BUCKETS)).cast("int")
+    out.withColumn("bucket", bucket).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(folder)
 
 
 # ---- snapshots ------------------------------------------------------------------------------------------
@@ -131,45 +200,33 @@ def append_records(records: DataFrame, folder: str, head: str | None = None, liv
 def save_snapshot(tables: dict[str, DataFrame], folder: str, head: str | None = None, expected: tuple[str, ...] = ()) -> int:
     """Write the next generation of all tables, then the marker; generations two or more behind are swept.
 
-    A partial set of tables is refused, as it would lose the others.
+    A partial set of tables is refused, as it would lose the others. A generation's number is claimed by exclusive creation,
+    so two writers never share one, and the marker is replaced in one step, never by that of an earlier generation.
     """
     missing = [t for t in expected if t not in tables]
     if missing:
         raise ValueError(f"partial snapshot: {missing}")
-    meta = read_meta(folder)
-    gen = (meta["gen"] if meta else 0) + 1
+    store = Store(SparkSession.active(), folder)
+    of = lambda names: [int(m[1]) for n in names if (m := re.fullmatch(r"gen=(\d+)", n))]
+    gen = max([*of(store.names()), (read_meta(folder) or {}).get("gen", 0)], default=0) + 1
+    while not store.create("", f"gen={gen}", "_claim"):
+        gen += 1
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(os.path.join(folder, f"gen={gen}", name))
-    _write_meta(folder, {"version": VERSION, "gen": gen, "head": head, "tables": sorted(tables), "saved_at": time.time()})
-    for old in os.listdir(folder):
-        if (m := re.fullmatch(r"gen=(\d+)", old)) and int(m[1]) <= gen - 2:
-            _remove(os.path.join(folder, old))
+        df.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/gen={gen}/{name}")
+    if (read_meta(folder) or {}).get("gen", 0) < gen:
+        store.replace(json.dumps({"version": VERSION, "gen": gen, "head": head, "tables": sorted(tables), "saved_at": time.time()}), "_meta.json")
+    for old in of(store.names()):
+        if old <= gen - 2:
+            store.remove(f"gen={old}")
     return gen
 
 
-def _remove(path: str) -> None:
-    for base, dirs, names in os.walk(path, topdown=False):
-        for n in names:
-            os.unlink(os.path.join(base, n))
-        for d in dirs:
-            os.rmdir(os.path.join(base, d))
-    os.rmdir(path)
-
-
-def _write_meta(folder: str, meta: dict) -> None:
-    os.makedirs(folder, exist_ok=True)
-    part = os.path.join(folder, f".meta-{os.getpid()}-{time.time_ns()}")
-    with open(part, "w") as out:
-        json.dump(meta, out)
-    os.replace(part, os.path.join(folder, "_meta.json"))
-
-
 def read_meta(folder: str) -> dict | None:
     try:
-        with open(os.path.join(folder, "_meta.json")) as f:
-            return json.load(f)
-    except (OSError, ValueError):
+        meta = json.loads(Store(SparkSession.active(), folder).read("_meta.json") or "")
+    except (ValueError, Py4JJavaError):  # no JSON, or a file whose checksum is wrong
         return None
+    return meta if isinstance(meta, dict) else None
 
 
 def load_snapshot(spark: SparkSession, folder: str, tables: tuple[str, ...] | None = None) -> dict[str, DataFrame] | None:
@@ -179,7 +236,7 @@ def load_snapshot(spark: SparkSession, folder: str, tables: tuple[str, ...] | No
         return None
     wanted = [t for t in meta["tables"] if tables is None or t in tables]
     try:
-        return {t: spark.read.parquet(os.path.join(folder, f"gen={meta['gen']}", t)) for t in wanted}
+        return {t: spark.read.parquet(f"{folder.rstrip('/')}/gen={meta['gen']}/{t}") for t in wanted}
     except Exception:  # a generation that lost files is as good as none
         return None
 
@@ -189,7 +246,7 @@ def update_head(folder: str, head: str) -> bool:
     meta = read_meta(folder)
     if not meta:
         return False
-    _write_meta(folder, meta | {"head": head})
+    Store(SparkSession.active(), folder).replace(json.dumps(meta | {"head": head}), "_meta.json")
     return True
 
 

@@ -120,6 +120,31 @@ def test_snapshot(spark, tables, tmp_path):
     assert S.load_snapshot(spark, d) is None
 
 
+def test_two_writers(spark, tables, tmp_path):
+    """Writers that start from one generation take different numbers; the later marker stays; all of it by URI."""
+    d = "file://" + str(tmp_path / "snap")
+    assert S.save_snapshot({"edges": tables["edges"]}, d, "h1") == 1
+    assert S.Store(spark, d).create("", "gen=2", "_claim")  # another writer is at work on the second generation
+    assert S.save_snapshot({"edges": tables["edges"]}, d, "h3") == 3 and S.read_meta(d)["head"] == "h3"
+    S.Store(spark, d).replace('{"gen": 9, "version": "1", "tables": []}', "_meta.json")
+    assert S.save_snapshot({"edges": tables["edges"]}, d, "h10") == 10 and S.update_head(d, "x") and S.read_meta(d) | {"saved_at": 0} == {"version": "1", "gen": 10, "head": "x", "tables": ["edges"], "saved_at": 0}
+    assert S.read_meta(d + "none") is None and not S.update_head(d + "none", "x")
+
+
+def test_exclusive_append(spark, tmp_path):
+    d = "file://" + str(tmp_path / "log")
+    rec = lambda *ids: spark.createDataFrame([(i, "{}") for i in ids], "note_id string, record string")
+    S.append_records(rec("a", "b"), d, "h", exclusive=True)
+    S.append_records(rec("a"), d)
+    with pytest.raises(ValueError):
+        S.append_records(rec("c", "a"), d, exclusive=True)
+    assert S.Store(spark, d).create("", "_claims", "d") and not S.Store(spark, d).create("", "_claims", "d")
+    with pytest.raises(ValueError):
+        S.append_records(rec("d"), d, exclusive=True)  # claimed by another writer
+    S.append_records(rec("c"), d, exclusive=True)
+    assert sorted(r.note_id for r in spark.read.parquet(d).collect()) == ["a", "a", "b", "c"]
+
+
 def test_probe(tables):
     p = build.probe(tables)
     stats = {r.language: r.ratio for r in p["stats"].collect()}
