@@ -63,6 +63,7 @@ def is_generated_name(c: Column | str) -> Column:
     return _col(c).rlike(r"(\.generated\.|\.pb\.|_generated\.|_pb\.)")
 
 
+# The patterns of the next functions, of test files, documents, styles and vendored paths.
 def is_test_filename(name: Column) -> Column:
     lower, stem = F.lower(name), F.regexp_replace(name, r"\.[^.]+$", "")
     return (

@@ -56,8 +56,8 @@ def patch_edges(old_edges: DataFrame, plan: DataFrame, fresh_edges: DataFrame) -
 def audit_sample(files: DataFrame, cursor: int, sample: int = K.AUDIT_SAMPLE) -> DataFrame:
     """The ``sample`` files from a cursor on, wrapping around, by the order of their ids.
 
-    Only ids near the cursor are ranked: the place of a file is its rank in its repository behind the files of the
-    repositories before it, so no task ever orders all files.
+    The place of a file is its rank among the files of its repository, behind those of the repositories before it. Only the
+    repositories that the sample reaches are ranked, so the rest of the index is counted, not ordered.
     """
     per = files.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
     n = per.agg(F.sum("n")).first()[0] or 0
@@ -66,7 +66,9 @@ def audit_sample(files: DataFrame, cursor: int, sample: int = K.AUDIT_SAMPLE) ->
     first = per.withColumn("before", F.sum("n").over(Window.orderBy("repo").rowsBetween(Window.unboundedPreceding, -1)))  # a row per repository
     start, size = cursor % n, min(sample, n)
     lo, hi = start, start + size
-    placed = files.select("repo", "file_id").join(first.select("repo", F.coalesce("before", F.lit(0)).alias("before")), "repo").withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("repo").orderBy("file_id")) - 1)
+    first = first.withColumn("before", F.coalesce("before", F.lit(0)))
+    reached = first.where(((F.col("before") < hi) & (F.col("before") + F.col("n") > lo)) | (F.col("before") + n < hi)).select("repo", "before")
+    placed = files.select("repo", "file_id").join(reached, "repo").withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("repo").orderBy("file_id")) - 1)
     inside = (F.col("at") >= lo) & (F.col("at") < hi) | (F.col("at") + n < hi)
     return placed.where(inside).select("file_id")
 

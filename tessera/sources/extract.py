@@ -219,6 +219,7 @@ def python(text: str, path: str = "") -> Result:
     return r
 
 
+# Names of the standard library that are no references of a project.
 _JDK = frozenset("String Object Integer Long Double Float Boolean Byte Short Character Math System List Map Set Collection Iterable Exception RuntimeException Override Deprecated Thread Runnable Number Void Class Enum Record Comparable StringBuilder".split())
 
 

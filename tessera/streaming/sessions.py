@@ -37,9 +37,30 @@ def first_seen(events: DataFrame, keys: list[str], time: str, order: str, ttl_se
     return events.withColumn("gap", gap).where(F.col("gap").isNull() | (F.col("gap") > ttl_seconds * 1_000_000)).drop("gap")
 
 
-def first_seen_stream(events: DataFrame, keys: list[str], time: str, ttl: str = "24 hours") -> DataFrame:
-    """The stream's form: duplicates within the watermark are dropped and the state expires with it."""
-    return events.withWatermark(time, ttl).dropDuplicatesWithinWatermark(keys)
+def first_seen_stream(events: DataFrame, keys: list[str], time: str, ttl_seconds: int = 86400) -> DataFrame:
+    """The stream's form: a key's state is its last sighting, which every sighting renews, and leaves with the watermark.
+
+    Rows of a key come in the order of their time within a chunk of a batch; what is older than the watermark is dropped.
+    """
+    ttl = ttl_seconds * 1_000_000
+
+    def run(key, chunks, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        for rows in chunks:
+            rows = rows.sort_values(time, kind="stable")
+            fresh = []
+            for t in rows[time].astype("datetime64[us]").astype("int64"):
+                fresh.append(last is None or t - last > ttl)
+                last = t if last is None else max(last, t)
+            yield rows[fresh]
+        state.update((last,))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (last + ttl) // 1000 + 1))
+
+    known = events.where(F.col(time).isNotNull()).withWatermark(time, f"{ttl_seconds} seconds")
+    return known.groupBy(*keys).applyInPandasWithState(run, events.schema, "last bigint", "append", "EventTimeTimeout")
 
 
 # ---- capture trigger ----------------------------------------------------------------------------------

@@ -347,6 +347,12 @@ def test_debounce_and_seen(spark, tmp_path):
     q = S.first_seen_stream(src, ["key", "item"], "ts").writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.key, r.item) for r in spark.table("seen").collect()) == [("a", "x"), ("a", "y"), ("a", "z"), ("b", "x")]
+    for n in range(4):  # a sighting a batch, each renews the time to live
+        e.where(F.col("id") == n + 1).coalesce(1).write.mode("append").parquet(str(tmp_path / "in2"))
+    src = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in2"))
+    q = S.first_seen_stream(src, ["key"], "ts").writeStream.format("memory").queryName("seen2").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r.id for r in spark.table("seen2").collect()) == [1, 4]
 
 
 def test_streaks(spark):
