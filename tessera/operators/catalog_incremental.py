@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators import graph as G
 from tessera.operators import incremental as I
-from tessera.operators.catalog_graph import _files, _G
-from tessera.session import current_rows, table, top_k
+from tessera.operators.catalog_graph import _files, _G, _TOKS
+from tessera.session import current_rows, cut, table, top_k
 from tessera.sources import files
 from tessera.streaming import sessions as S
 
@@ -55,6 +55,35 @@ def patch_equals_rebuild(spark: SparkSession, d: str) -> DataFrame:
     return rebuilt.agg(F.count(F.lit(1)).alias("n_edges")).withColumn("n_differences", F.lit(diff.count()).cast("bigint"))
 
 
+def patch_index(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens, their document frequencies and symbol edges, patched from the cutoff and built anew: rows, and those on one side only."""
+    f = table(spark, d, "files")
+    cols = [c for c in f.columns if c not in ("file_id", "indexed_at", "received_at")]
+    old_files, new_files = current_rows(f.where(F.col("indexed_at") < F.lit(CUTOFF).cast("timestamp")), *cols).where("deleted_at is null"), current_rows(f, *cols).where("deleted_at is null")
+    o, n = _old(spark, d), _new(spark, d)
+    touched = cut(I.patch_plan(I.reconcile(o, n), o, n).where("action <> 'refresh'").select("path"))
+    tokens = lambda x: G.file_tokens(x).select("file_id", "token").distinct()
+    before, after = tokens(old_files), tokens(new_files)
+    count = lambda t: t.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    e = table(spark, d, "symbol_edges").where("src is not null").select("edge_id", F.substring_index("src", "#", 1).alias("file_id")).distinct()
+    of = lambda x: e.join(x.select("file_id"), "file_id", "left_semi")
+    parts = [("tokens", I.patch_rows(before, after, touched), after), ("token_df", I.patch_counts(count(before), before, after, touched), count(after)), ("symbol_edges", I.patch_rows(of(old_files), of(new_files), touched), of(new_files))]
+    out = None
+    for name, patched, rebuilt in parts:
+        diff = patched.exceptAll(rebuilt.select(*patched.columns)).unionByName(rebuilt.select(*patched.columns).exceptAll(patched))
+        row = rebuilt.agg(F.count(F.lit(1)).alias("n")).crossJoin(diff.agg(F.count(F.lit(1)).alias("n_differences"))).withColumn("part", F.lit(name))  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out.select("part", "n", "n_differences")
+
+
+def search_redundant(spark: SparkSession, d: str) -> DataFrame:
+    """Searches that only meet files met before, of the event log read as calls: a view finds, a click searches, a purchase slices."""
+    e = table(spark, d, "events").where("user_id is not null").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    kind = F.when(F.col("event_type") == "view", "find").when(F.col("event_type") == "click", "search").when(F.col("event_type") == "purchase", "gs").otherwise("other")
+    name = lambda m: F.concat(F.lit("f"), (F.col("k") % m).cast("string"))
+    return S.redundant_searches(e.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), kind.alias("kind"), F.array(name(40), name(7)).alias("files"), (F.col("k") % 5 == 0).alias("is_empty")))
+
+
 def audit_sample(spark: SparkSession, d: str) -> DataFrame:
     return I.audit_sample(_files(spark, d), CURSOR)
 
@@ -139,7 +168,7 @@ def coverage_worklist(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    reconcile_diff, patch_plan, patch_decision, patch_equals_rebuild, audit_sample, debounce_batches, seen_ttl, capture_trigger, capture_totals, search_streaks, evidence_rank, synthesis_segments, bad_records, coverage_worklist,
+    reconcile_diff, patch_plan, patch_decision, patch_equals_rebuild, patch_index, search_redundant, audit_sample, debounce_batches, seen_ttl, capture_trigger, capture_totals, search_streaks, evidence_rank, synthesis_segments, bad_records, coverage_worklist,
 )}
 
 _I = _G + f""",
@@ -162,6 +191,11 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY edits
 w AS (SELECT *, sum((kind IN ('read', 'gs'))::INT) OVER (PARTITION BY session ORDER BY seq) AS rf, sum((kind IN ('read', 'gs', 'find'))::INT) OVER (PARTITION BY session ORDER BY seq) AS rs, row_number() OVER (PARTITION BY session ORDER BY seq) AS total FROM k),
 x AS (SELECT session, seq, kind, total, CAST(sum((kind = 'find')::INT) OVER (PARTITION BY session, rf ORDER BY seq) AS BIGINT) AS finds_since_read, CAST(sum((kind = 'search')::INT) OVER (PARTITION BY session, rs ORDER BY seq) AS BIGINT) AS searches_since_other FROM w)
 SELECT session, seq, kind, finds_since_read, searches_since_other, CASE WHEN kind = 'find' AND finds_since_read = 2 THEN 'read' WHEN kind = 'search' AND searches_since_other = 3 THEN 'find' WHEN total % 12 = 0 THEN 'checkpoint' END AS nudge FROM x""",
+    "patch_index": _G + _TOKS + ", t AS (SELECT DISTINCT file_id, token FROM toks) SELECT 'tokens' AS part, count(*) AS n, 0 AS n_differences FROM t UNION ALL SELECT 'token_df', count(DISTINCT token), 0 FROM t UNION ALL SELECT 'symbol_edges', count(*), 0 FROM (SELECT DISTINCT edge_id, split_part(src, '#', 1) AS file_id FROM symbol_edges WHERE src IS NOT NULL) WHERE file_id IN (SELECT file_id FROM cur)",
+    "search_redundant": """WITH c AS (SELECT user_id AS session, event_id AS seq, event_type AS t, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE user_id IS NOT NULL),
+m AS (SELECT DISTINCT session, seq, f FROM (SELECT session, seq, unnest(['f' || (k % 40), 'f' || (k % 7)]) AS f FROM c) WHERE f IS NOT NULL), fi AS (SELECT session, f, min(seq) AS first FROM m GROUP BY 1, 2),
+o AS (SELECT session, seq FROM m JOIN fi USING (session, f) GROUP BY 1, 2 HAVING max(first) < seq), aw AS (SELECT session, min(seq) AS aware FROM c WHERE t IN ('view', 'purchase') GROUP BY 1)
+SELECT session, seq FROM (SELECT session, seq, row_number() OVER (PARTITION BY session ORDER BY seq) AS r FROM c JOIN o USING (session, seq) JOIN aw USING (session) WHERE t = 'click' AND coalesce(k % 5, 1) <> 0 AND aware < seq) WHERE r <= 6""",
     "reconcile_diff": _I + "SELECT path, change FROM rcc",
     "patch_plan": _I + "SELECT CASE WHEN change = 'deleted' THEN 'delete' WHEN change = 'new' THEN 'insert' WHEN oh = nh THEN 'refresh' ELSE 'update' END AS action, count(*) AS n FROM rcc GROUP BY 1",
     "patch_decision": _I + "SELECT *, n_changed <= threshold AS patch FROM (SELECT (SELECT count(*) FROM rcc) AS n_changed, CAST(greatest(30, ceil(0.2 * (SELECT count(*) FROM o))) AS BIGINT) AS threshold)",

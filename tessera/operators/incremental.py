@@ -53,6 +53,22 @@ def patch_edges(old_edges: DataFrame, plan: DataFrame, fresh_edges: DataFrame) -
     return kept.unionByName(fresh_edges.join(affected, "src", "left_semi").select(*kept.columns))
 
 
+def patch_rows(old: DataFrame, fresh: DataFrame, touched: DataFrame, key: str = "file_id") -> DataFrame:
+    """Rows after a patch of what belongs to one file each (tokens, symbols, edges of its symbols): the old ones of files
+    not ``touched(path)``, the fresh ones of the others."""
+    t = touched.select(F.col("path").alias(key)).distinct()
+    return old.join(t, key, "left_anti").unionByName(fresh.join(t, key, "left_semi").select(*old.columns))
+
+
+def patch_counts(old_counts: DataFrame, old: DataFrame, fresh: DataFrame, touched: DataFrame, term: str = "token", count: str = "df", key: str = "file_id") -> DataFrame:
+    """Document frequencies after a patch: the old ones, less what touched files held, plus what they hold now; nothing else is read."""
+    t = touched.select(F.col("path").alias(key)).distinct()
+    change = lambda df, n: df.join(t, key, "left_semi").select(key, term).distinct().groupBy(term).agg((F.count(F.lit(1)) * n).alias("d"))
+    delta = change(old, -1).unionByName(change(fresh, 1)).groupBy(term).agg(F.sum("d").alias("d"))
+    both = old_counts.join(delta, term, "full").select(term, (F.coalesce(F.col(count), F.lit(0)) + F.coalesce("d", F.lit(0))).alias(count))
+    return both.where(F.col(count) > 0)
+
+
 def audit_sample(files: DataFrame, cursor: int, sample: int = K.AUDIT_SAMPLE) -> DataFrame:
     """The ``sample`` files from a cursor on, wrapping around, by the order of their ids.
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import fixed as K
+from tessera.session import top_k
 
 MAX_CLAIM = 30
 
@@ -194,6 +195,17 @@ def empty_nudges(calls: DataFrame, cap: int = 2) -> DataFrame:
     return calls.where("kind in ('search', 'find') and is_empty").withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap).select("session", "seq")
 
 
+def redundant_searches(calls: DataFrame, cap: int = 6) -> DataFrame:
+    """(session, seq): searches that brought nothing new, the first six of a session: after a find, slice or notebook call, with a result, and
+    all of their ``files`` were met by earlier calls of the session."""
+    met = calls.select("session", "seq", F.explode(F.array_distinct("files")).alias("file")).where("file <> ''")
+    first = met.groupBy("session", "file").agg(F.min("seq").alias("first"))
+    old = met.join(first, ["session", "file"]).groupBy("session", "seq").agg(F.max("first").alias("newest")).where("newest < seq")
+    aware = calls.where("kind in ('find', 'gs', 'kb')").groupBy("session").agg(F.min("seq").alias("aware"))
+    hits = calls.where("kind = 'search' and not coalesce(is_empty, false)").select("session", "seq").join(old, ["session", "seq"], "left_semi").join(aware, "session").where("aware < seq")
+    return top_k(hits.select("session", "seq"), ["session"], ["seq"], cap).select("session", "seq")
+
+
 def repeat_guesses(calls: DataFrame) -> DataFrame:
     """(session, seq, file): slices of a file right after a slice of it that only gave its menu."""
     w = Window.partitionBy("session").orderBy("seq")

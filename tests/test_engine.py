@@ -370,6 +370,15 @@ def test_nudges_and_breaker(spark):
     assert [S.retry_delay(n) for n in (1, 3, 4)] == [60, 180, None]
 
 
+def test_redundant_searches(spark):
+    """Only what earlier calls met, after a find, with a result; six a session."""
+    rows = [("s", 1, "search", ["a"], False), ("s", 2, "search", ["a"], False), ("s", 3, "find", ["a", "b"], False), ("s", 4, "search", ["a", "b"], False), ("s", 5, "search", ["a", "c"], False), ("s", 6, "search", [], False), ("s", 7, "search", ["c", "c"], True), ("s", 8, "search", None, None)]
+    rows += [("s", 10 + n, "search", ["c"], None) for n in range(9)] + [("t", 1, "search", ["a"], False)]
+    c = spark.createDataFrame(rows, "session string, seq int, kind string, files array<string>, is_empty boolean")
+    assert sorted((r.session, r.seq) for r in S.redundant_searches(c).collect()) == [("s", 4)] + [("s", 10 + n) for n in range(5)]
+    assert S.redundant_searches(c.limit(0)).count() == 0
+
+
 def test_bridges_and_links(spark):
     toks = [("a/x.py", "limit_choices_to", 1), ("b/y.py", "limit_choices_to", 1), ("a/x.py", "child_node", 1), ("c/z.py", "child_node", 1), ("a/x.py", "in_text", 2), ("d/w.py", "in_text", 1), ("a/twin.py", "limit_choices_to", 1), ("e/v.py", "two_a", 1), ("f/u.py", "two_a", 1), ("e/v.py", "two_b", 1), ("f/u.py", "two_b", 1)]
     t = spark.createDataFrame(toks, "file_id string, token string, bits int")
