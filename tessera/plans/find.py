@@ -224,10 +224,11 @@ def content_tokens(docs: DataFrame) -> DataFrame:
     """(file_id, token, bits), written once: shaped names of the code (1) and of its string literals (2), comments left out."""
     code = F.array_join(F.transform(F.filter("lines", lambda x: ~x["excluded"]), lambda x: x["text"]), "\n")
     literal = F.lit("\"[^\"\n]*\"|'[^'\n]*'")
-    shaped = lambda c: F.array_distinct(F.transform(F.filter(F.regexp_extract_all(c, F.lit("[A-Za-z][A-Za-z0-9_]*"), F.lit(0)), X.is_shaped_token), F.lower))
-    both = masked_lines(docs).select("file_id", code.alias("code")).select("file_id", shaped(F.regexp_replace("code", literal, F.lit(" "))).alias("bare"), shaped(F.array_join(F.regexp_extract_all("code", literal, F.lit(0)), " ")).alias("quoted"))
-    bit = lambda c, n: F.transform(F.col(c), lambda t: F.struct(t.alias("token"), F.lit(n).alias("bit")))
-    one = both.select("file_id", F.explode(F.concat(bit("bare", 1), bit("quoted", 2))).alias("t")).select("file_id", "t.token", "t.bit")
+    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("[A-Za-z][A-Za-z0-9_]*"), F.lit(0)))
+    both = masked_lines(docs).select("file_id", code.alias("code")).select("file_id", words(F.regexp_replace("code", literal, F.lit(" "))).alias("bare"), words(F.array_join(F.regexp_extract_all("code", literal, F.lit(0)), " ")).alias("quoted"))
+    # distinct words leave the row, so their shape is judged in generated code
+    bit = lambda c, n: F.transform(F.col(c), lambda t: F.struct(t.alias("word"), F.lit(n).alias("bit")))
+    one = both.select("file_id", F.explode(F.concat(bit("bare", 1), bit("quoted", 2))).alias("w")).select("file_id", "w.word", "w.bit").where(X.is_shaped_token("word")).select("file_id", F.lower("word").alias("token"), "bit")
     return cut(one.groupBy("file_id", "token").agg(F.bit_or("bit").alias("bits")))
 
 
