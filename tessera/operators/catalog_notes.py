@@ -135,15 +135,15 @@ def anchor_lane(spark: SparkSession, d: str) -> DataFrame:
     return N.anchor_lane(_declared(spark, d), TERMS)
 
 
-def _asked(spark, d):
+def _asked(spark, d, known=None):
     """Lessons ask for two words of their title, half of them in some files only."""
     words = F.filter(X.symbol_tokens("title"), lambda t: F.length(t) >= 4)
     globs = F.when(F.length("note_id") % 2 == 0, F.array(F.lit("*.ts"), F.lit("*.py"))).otherwise(F.array().cast("array<string>"))
-    return notes(spark, d).where("type = 'lesson'").select("note_id", F.array_distinct(F.slice(words, 1, 2)).alias("terms"), globs.alias("globs")).where("size(terms) > 0")
+    return (notes(spark, d) if known is None else known).where("type = 'lesson'").select("note_id", F.array_distinct(F.slice(words, 1, 2)).alias("terms"), globs.alias("globs")).where("size(terms) > 0")
 
 
-def _stamped_absence(spark, d):
-    return N.absence_stamp(_asked(spark, d), table(spark, d, "documents").where("file_id is not null and text is not null").select("file_id", "text"))
+def _stamped_absence(spark, d, known=None):
+    return N.absence_stamp(_asked(spark, d, known), table(spark, d, "documents").where("file_id is not null and text is not null").select("file_id", "text"))
 
 
 def absence_stamp(spark: SparkSession, d: str) -> DataFrame:
@@ -189,7 +189,8 @@ def dup_jaccard(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lint_findings(spark: SparkSession, d: str) -> DataFrame:
-    f = N.lint(notes(spark, d), anchors(spark, d), _stamped(spark, d), IGNORE, _stamped_absence(spark, d), L.warnings(fold_records(table(spark, d, "events"))))
+    n, a = N.cut(notes(spark, d)), N.cut(anchors(spark, d).where("path is not null"))  # each is read by several checks
+    f = N.lint(n, a, N.stamp(a, live(spark, d), _renames(spark, d)), IGNORE, _stamped_absence(spark, d, n), L.warnings(fold_records(table(spark, d, "events"))))
     return f.groupBy("check").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("note_id").alias("n_notes"))
 
 
